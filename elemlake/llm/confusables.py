@@ -72,10 +72,11 @@ def fold_character(c: str) -> str:
     if not tag:
         return c
     shown = "".join(chr(int(p, 16)) for p in points.split())
-    # Widths and fonts change no letter; joined letters are letters joined; other compatible forms (raised, circled, fractions) look different.
+    # Widths and fonts change no letter; joined letters are letters joined; other compatible forms (raised, circled, fractions, symbol variants) look different.
     if tag in ("<wide", "<narrow", "<font", "<noBreak", "<initial", "<medial", "<final", "<isolated"):
         return "".join(map(fold_character, shown))
-    if tag == "<compat" and c != "\u017f" and all(unicodedata.category(x)[0] == "L" for x in shown) and unicodedata.category(c) in ("Ll", "Lu", "Lt", "Nl"):
+    joined = len(shown) > 1 or kind == "Nl" or c == "\u00b5"
+    if tag == "<compat" and joined and kind in ("Ll", "Lu", "Lt", "Nl") and all(unicodedata.category(x)[0] == "L" for x in shown):
         return "".join(map(fold_character, shown))
     return c
 
