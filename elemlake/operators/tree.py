@@ -1,8 +1,9 @@
-"""Walking down the element tree, a level at a time.
+"""Walking down the element tree.
 
-Each level is one equi join of the frontier with the edges and an anti join
-with what was seen, so loops end and repeated nodes count once. Levels are written to the
-shared folder, which keeps the plan of level k from holding those before it.
+Without a depth limit by links of doubling length; with one, a level at a
+time: one equi join of the frontier with the edges and an anti join with
+what was seen, so loops end and repeated nodes count once. Rounds are written
+to the shared folder, so that no plan holds those before it.
 For all nodes at once use operators.hierarchy, whose rounds grow with the logarithm of the depth.
 """
 
@@ -23,20 +24,56 @@ def child_edges(versions: DataFrame) -> DataFrame:
 def descend(roots: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(dbnum, ref0, ref1, depth) of everything below the roots, each node at its least depth. max_depth None is unlimited, 0 the roots only."""
     edges = written(edges, "edges")
-    frontier = written(roots.select(*ELEMENT).distinct().withColumn("depth", F.lit(0)), "level")
-    seen, levels, depth = frontier, [frontier], 0
+    roots = roots.select(*ELEMENT).distinct().withColumn("depth", F.lit(0))
+    if max_depth is None:
+        found = _by_doubling(roots, edges)
+        if found is not None:
+            return found
+    return _by_level(roots, edges, max_depth)
+
+
+def _parents(nodes: DataFrame, *more: str) -> DataFrame:
+    return nodes.select("dbnum", F.col("ref0").alias("parent0"), F.col("ref1").alias("parent1"), *more)
+
+
+def _by_doubling(roots: DataFrame, edges: DataFrame) -> DataFrame | None:
+    """Links over 1, 2, 4, ... levels reach everything in log2(depth) rounds; None if many nodes have several parents, whose links multiply.
+
+    Depths have no gaps, so a round that reaches nothing new is the last.
+    """
+    hops, most, step = edges, 2 * edges.count(), 1
+    reached = written(roots, "reached")
+    size = reached.count()
+    while True:
+        far = _parents(reached, "depth").join(hops, ["dbnum", "parent0", "parent1"]).select(*ELEMENT, (F.col("depth") + step).alias("depth"))
+        after = written(reached.unionByName(far).groupBy(*ELEMENT).agg(F.min("depth").alias("depth")), "reached")
+        count = after.count()
+        release(reached)
+        reached = after
+        if count == size:
+            return reached
+        size, step = count, step * 2
+        middle = hops.select("dbnum", "parent0", "parent1", F.col("ref0").alias("middle0"), F.col("ref1").alias("middle1"))
+        below = hops.select("dbnum", F.col("parent0").alias("middle0"), F.col("parent1").alias("middle1"), "ref0", "ref1")
+        longer = written(middle.join(below, ["dbnum", "middle0", "middle1"]).drop("middle0", "middle1").distinct(), "hops")
+        if longer.count() > most:
+            return None
+        hops = longer
+
+
+def _by_level(roots: DataFrame, edges: DataFrame, max_depth: int | None) -> DataFrame:
+    frontier = written(roots, "level")
+    seen, depth = frontier, 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        below = frontier.select("dbnum", F.col("ref0").alias("parent0"), F.col("ref1").alias("parent1")).join(edges, ["dbnum", "parent0", "parent1"])
+        below = _parents(frontier).join(edges, ["dbnum", "parent0", "parent1"])
         frontier = written(below.select(*ELEMENT).distinct().join(seen, ELEMENT, "left_anti").withColumn("depth", F.lit(depth)), "level")
-        if frontier.limit(1).count() == 0:
+        if frontier.isEmpty():
             release(frontier)
             break
-        levels.append(frontier)
         seen = seen.unionByName(frontier)
         if depth % 16 == 0:  # keeps the union of seen levels short in deep trees
             seen = written(seen, "seen")
-            levels = [seen]
     return seen
 
 

@@ -266,3 +266,24 @@ def test_blocks_equal_plain_windows(spark, blocks):
     for g, o, _, a in sorted(data, key=lambda x: x[1]):
         assert numbered[g, o] == (count.get(g, 0), total.get(g, 0))
         count[g], total[g] = count.get(g, 0) + 1, total.get(g, 0) + a
+
+
+# Trees by level and by doubling
+
+
+@pytest.mark.parametrize("several", [False, True])
+def test_descend(spark, several):
+    from elemlake.operators.tree import _by_level, descend
+
+    rng = random.Random(several)
+    pairs = {(rng.randrange(max(1, i)) if several else i - 1, i) for i in range(1, 60) for _ in range(4 if several else 1)} | {(59, 30), (70, 71), (71, 70)}
+    edges = spark.createDataFrame([(1, 1, a, 1, b) for a, b in pairs], "dbnum int, parent0 bigint, parent1 bigint, ref0 bigint, ref1 bigint")
+    roots = spark.createDataFrame([(1, 1, 0), (1, 1, 0)], "dbnum int, ref0 bigint, ref1 bigint")
+    want, level, depth = {0: 0}, {0}, 0
+    while level:
+        depth += 1
+        level = {b for a, b in pairs if a in level} - set(want)
+        want |= {b: depth for b in level}
+    assert {r.ref1: r.depth for r in descend(roots, edges).collect()} == want
+    limited = _by_level(roots.distinct().withColumn("depth", F.lit(0)), edges, 2)
+    assert {r.ref1: r.depth for r in limited.collect()} == {k: d for k, d in want.items() if d <= 2}
