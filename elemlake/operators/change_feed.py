@@ -19,8 +19,9 @@ deliveries that differ, the one with details and then the lowest change_id
 counts; an attribute both removed and set by one operation is set; an empty
 feed leaves the base.
 
-Group sizes: windows run inside blocks of the order (plans.skew), so an
-element or attribute with a third of all operations is spread over the blocks.
+Group sizes: elements with more than a block's share of all operations (there
+are fewer of them than blocks) are cut into blocks of the order (plans.skew),
+so one with a third of all operations is spread; the others are one block each.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from elemlake.plans.skew import block_of, carry_forward, cut_points
+from elemlake.plans.skew import block_of, carry_forward, cut_points, hot_keys, is_one_of
+from elemlake.plans.workspace import written
 
 ELEMENT = ["ref0", "ref1"]
 
@@ -59,14 +61,15 @@ def operations(changes: DataFrame) -> DataFrame:
     return rows.groupBy(*ELEMENT, "at").agg(F.min("delivery").alias("d")).select(*ELEMENT, "at", "d.kind", "d.details")
 
 
-def lives(ops: DataFrame, cuts: list) -> DataFrame:
-    """ops with the life each belongs to: the last add or delete at or before it (`life`), and the one before that (`last_life`).
+def lives(ops: DataFrame, cuts: list, hot: list[tuple]) -> DataFrame:
+    """ops with the life each belongs to: the last add or delete at or before it (`life`), and the one it ends, if any (`ended_life`).
 
     Operations that take no effect are left out.
     """
-    blocked = ops.withColumn("block", block_of(F.col("at"), cuts))
+    is_hot = is_one_of(ELEMENT, hot)
+    blocked = ops.withColumn("block", F.when(is_hot, block_of(F.col("at"), cuts)).otherwise(F.lit(0)))
     mark = F.when(F.col("kind").isin("add", "delete"), F.struct("at", "kind"))
-    before = carry_forward(blocked, ELEMENT, "block", ["at"], mark, "last_life", inclusive=False)
+    before = carry_forward(blocked, ELEMENT, "block", ["at"], mark, "last_life", inclusive=False, split=is_hot if hot else False)
     exists = F.coalesce(F.col("last_life.kind") == "add", F.lit(False))
     effective = (F.col("kind") == "add") | (F.col("kind").isin("modify", "delete") & exists)
     life = F.when(F.col("kind") == "modify", F.col("last_life.at")).otherwise(F.col("at"))
@@ -75,36 +78,42 @@ def lives(ops: DataFrame, cuts: list) -> DataFrame:
 
 
 def attribute_events(effective: DataFrame) -> DataFrame:
-    """(ELEMENT, attr, at, block, life, sets, value): what each operation does to each attribute."""
-    parsed = effective.where(F.col("kind").isin("add", "modify")).withColumn("d", F.from_json("details", _DETAILS))
-    none = "cast(array() as array<struct<attr:string,sets:boolean,value:variant>>)"
-
-    def items(field: str, sets: bool, value: str) -> str:
-        return f"coalesce(transform(map_entries(d.{field}), e -> struct(e.key as attr, {str(sets).lower()} as sets, {value} as value)), {none})"
-
+    """(ELEMENT, attr, at, block, life, sets, value): what each operation does to each attribute; a row without attr ends a life."""
+    parsed = effective.withColumn("d", F.from_json(F.when(F.col("kind") != "delete", F.col("details")), _DETAILS))
+    parsed = parsed.select("*", *[F.map_keys(f"d.{f}").alias(f"{f}_keys") for f in ("added_attrs", "modified_attrs")])
+    none = "cast(array() as array<struct<attr:string,life:bigint,sets:boolean,value:variant>>)"
+
+    def items(field: str, sets: bool, value: str, but: str = "") -> str:
+        entries = f"map_entries(d.{field})"
+        for keys in but.split():
+            entries = f"filter({entries}, e -> not array_contains(coalesce({keys}, cast(array() as array<string>)), e.key))"
+        return f"coalesce(transform({entries}, e -> struct(e.key as attr, life as life, {str(sets).lower()} as sets, {value} as value)), {none})"
+
+    # Each attribute once an operation: modified before added before deleted.
     new = "coalesce(try_variant_get(e.value, '$[1]', 'variant'), parse_json('null'))"
     whole = items("whole_attmap", True, "e.value")
-    part = f"concat({items('added_attrs', True, 'e.value')}, {items('modified_attrs', True, new)}, {items('deleted_attrs', False, 'cast(null as variant)')})"
-    events = parsed.select(*ELEMENT, "at", "block", "life", F.explode(F.expr(f"if(kind = 'add', {whole}, {part})")).alias("e"))
-    rows = events.select(*ELEMENT, "e.attr", "at", "block", "life", "e.sets", F.to_json("e.value").alias("value"))
-    return rows.groupBy(*ELEMENT, "attr", "at", "block", "life").agg(F.max("sets").alias("sets"), F.max(F.when(F.col("sets"), F.col("value"))).alias("value"))
+    part = f"concat({items('modified_attrs', True, new)}, {items('added_attrs', True, 'e.value', 'modified_attrs_keys')}, {items('deleted_attrs', False, 'cast(null as variant)', 'modified_attrs_keys added_attrs_keys')})"
+    end = f"if(ended_life is null, {none}, array(struct(cast(null as string) as attr, ended_life as life, false as sets, cast(null as variant) as value)))"
+    events = parsed.select(*ELEMENT, "at", "block", F.explode(F.expr(f"concat({end}, case kind when 'add' then {whole} when 'modify' then {part} else {none} end)")).alias("e"))
+    return events.select(*ELEMENT, "e.attr", "at", "block", "e.life", "e.sets", F.to_json("e.value").alias("value"))
 
 
-def contributions(effective: DataFrame, events: DataFrame) -> DataFrame:
-    """Signed rows (ELEMENT, attr, at, value, m)."""
-    row = [*ELEMENT, "attr", "at", "value", "m"]
-    after = events.where("sets").select(*ELEMENT, "attr", "at", "value", F.lit(1).alias("m"))
+def contributions(events: DataFrame, hot: list[tuple]) -> DataFrame:
+    """Signed rows (ELEMENT, attr, at, value, m). Only after-images carry values; a before-image names its row by the writer."""
+    nothing = F.lit(None).cast("string").alias("value")
+    acts = events.where("attr is not null")
+    after = acts.where("sets").select(*ELEMENT, "attr", "at", "value", F.lit(1).alias("m"))
 
     # Within a life: each event replaces the write before it.
-    written = F.struct("at", "value", "sets")
-    replaced = carry_forward(events, [*ELEMENT, "attr", "life"], "block", ["at"], written, "before", inclusive=False)
-    before = replaced.where("before.sets").select(*ELEMENT, "attr", F.col("before.at").alias("at"), F.col("before.value").alias("value"), F.lit(-1).alias("m"))
+    slim = acts.select(*ELEMENT, "attr", "life", "block", "at", "sets")
+    replaced = carry_forward(slim, [*ELEMENT, "attr", "life"], "block", ["at"], F.struct("at", "sets"), "before", inclusive=False, split=is_one_of(ELEMENT, hot) if hot else False)
+    before = replaced.where("before.sets").select(*ELEMENT, "attr", F.col("before.at").alias("at"), nothing, F.lit(-1).alias("m"))
 
     # The end of a life replaces all that it left.
-    left = events.groupBy(*ELEMENT, "attr", "life").agg(F.max(F.struct("at", "sets", "value")).alias("x")).where("x.sets")
-    ends = effective.where("ended_life is not null").select(*ELEMENT, F.col("ended_life").alias("life"))
-    closed = left.join(ends, [*ELEMENT, "life"]).select(*ELEMENT, "attr", "x.at", "x.value", F.lit(-1).alias("m"))
-    return after.unionByName(before).unionByName(closed).select(*row)
+    ends = events.where("attr is null").select(*ELEMENT, "life")
+    left = slim.join(ends, [*ELEMENT, "life"], "left_semi").groupBy(*ELEMENT, "attr", "life").agg(F.max(F.struct("at", "sets")).alias("x")).where("x.sets")
+    closed = left.select(*ELEMENT, "attr", "x.at", nothing, F.lit(-1).alias("m"))
+    return after.unionByName(before).unionByName(closed)
 
 
 def current_attributes(changes: DataFrame, base: DataFrame | None = None, blocks: int | None = None) -> DataFrame:
@@ -121,8 +130,9 @@ def current_attributes(changes: DataFrame, base: DataFrame | None = None, blocks
         changes = start.unionByName(changes.select(*start.columns))
     blocks = blocks or min(64, max(4, int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     cuts = cut_points(changes, position(), blocks)
-    effective = lives(operations(changes), cuts)
-    signed = contributions(effective, attribute_events(effective))
+    hot = hot_keys(changes.where("ref0 is not null and ref1 is not null"), ELEMENT, blocks)
+    events = written(attribute_events(lives(operations(changes), cuts, hot)), "attribute-events")  # read several times below
+    signed = contributions(events, hot)
     state = signed.groupBy(*ELEMENT, "attr", "at").agg(F.sum("m").alias("m"), F.max("value").alias("value")).where("m > 0")
     sesno, op_no = F.shiftright("at", 32).cast("int"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
     out = state.select(*ELEMENT, "attr", "value", sesno.alias("sesno"), op_no.alias("op_no"))

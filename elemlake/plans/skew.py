@@ -35,16 +35,38 @@ def block_of(order: Column, cuts: list) -> Column:
     return tree(0, len(cuts))
 
 
-def carry_forward(df: DataFrame, keys: list[str], block: str, order: list[str], value: Column, out: str, inclusive: bool) -> DataFrame:
+def hot_keys(df: DataFrame, keys: list[str], blocks: int) -> list[tuple]:
+    """Keys that hold more than a block's share of all rows: fewer than there are blocks, so the driver may know them."""
+    total = df.count()
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * blocks > total)
+    return [tuple(r[k] for k in keys) for r in counts.collect()]
+
+
+def is_one_of(keys: list[str], found: list[tuple]) -> Column:
+    out = F.lit(False)
+    for values in found:
+        same = F.lit(True)
+        for k, v in zip(keys, values):
+            same = same & F.col(k).eqNullSafe(F.lit(v))
+        out = out | same
+    return out
+
+
+def carry_forward(df: DataFrame, keys: list[str], block: str, order: list[str], value: Column, out: str, inclusive: bool, split: Column | bool = True) -> DataFrame:
     """Adds the last non-null value at (inclusive) or before each row of its group, in the given order.
 
     block is an integer column that rises with order. Work inside (keys,
-    block) is a window; across blocks goes one row each.
+    block) is a window; across blocks goes one row each. split says which
+    rows are of groups in several blocks, so that others stay out of that;
+    False means that there are none.
     """
     last = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     inside = df.withColumn("_value", value).withColumn("_inside", F.last("_value", ignorenulls=True).over(last))
+    if split is False:
+        return inside.withColumn(out, F.col("_inside")).drop("_value", "_inside")
     rank = F.struct(*order)
-    tails = df.withColumn("_value", value).groupBy(*keys, block).agg(F.max_by(F.when(F.col("_value").isNotNull(), F.col("_value")), F.when(F.col("_value").isNotNull(), rank)).alias("_tail"))
+    several = df if split is True else df.where(split)
+    tails = several.withColumn("_value", value).groupBy(*keys, block).agg(F.max_by(F.when(F.col("_value").isNotNull(), F.col("_value")), F.when(F.col("_value").isNotNull(), rank)).alias("_tail"))
     earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     carried = tails.withColumn("_carried", F.last("_tail", ignorenulls=True).over(earlier)).where(F.col("_carried").isNotNull()).drop("_tail")
     return inside.join(carried, [*keys, block], "left").withColumn(out, F.coalesce("_inside", "_carried")).drop("_value", "_inside", "_carried")
