@@ -87,28 +87,31 @@ def read_cells(lines: DataFrame, layout: DataFrame) -> DataFrame:
 
     kind, v = F.col("attr_type"), F.col("v")
 
-    def length(at: int) -> Column:
-        number = F.regexp_extract(v, POSITION_PATTERN, at)
-        return F.when(number != "", number.cast("double") * _unit(F.regexp_extract(v, POSITION_PATTERN, at + 1)))
+    def groups(of: str, pattern: str, n: int) -> Column:
+        """All groups of a pattern from one match, null if it is another type or does not match."""
+        return F.when((kind == of) & v.rlike(pattern), F.split(F.regexp_replace(v, pattern, "|".join(f"${i}" for i in range(1, n + 1))), r"\|"))
 
-    is_position = v.rlike(POSITION_PATTERN)
-    axis = [F.translate(F.regexp_extract(v, POSITION_PATTERN, i), *AXES) for i in (1, 4, 7)]
-    along = [length(i) for i in (2, 5, 8)]
-    position_ok = is_position & (F.concat(*axis).rlike("^(xyz|xzy|yxz|yzx|zxy|zyx)$"))
+    rows = rows.select("*", groups("Real", REAL_PATTERN, 2).alias("r"), groups("Position", POSITION_PATTERN, 9).alias("p"))
+
+    def length(found: str, at: int) -> Column:
+        return F.get(found, F.lit(at)).cast("double") * _unit(F.get(found, F.lit(at + 1)))
+
+    axis = [F.translate(F.get("p", F.lit(i)), *AXES) for i in (0, 3, 6)]
+    along = [length("p", i) for i in (1, 4, 7)]
+    position_ok = F.concat(*axis).isin("xyz", "xzy", "yxz", "yzx", "zxy", "zyx")
 
     def on(letter: str) -> Column:
         return F.coalesce(*[F.when(a == letter, x) for a, x in zip(axis, along)])
 
     lower = F.lower(v)
     boolean = F.when(F.lit("true").startswith(lower), F.lit(1.0)).when(F.lit("false").startswith(lower), F.lit(0.0))
-    real = F.when(v.rlike(REAL_PATTERN), F.regexp_extract(v, REAL_PATTERN, 1).cast("double") * _unit(F.regexp_extract(v, REAL_PATTERN, 2)))
     x = (
         F.when(kind == "Integer", F.when(v.rlike(INTEGER_PATTERN), v.cast("double")))
-        .when(kind == "Real", real)
+        .when(kind == "Real", length("r", 0))
         .when(kind == "Boolean", boolean)
         .when(kind == "Position", F.when(position_ok, on("x")))
     )
-    y, z = (F.when((kind == "Position") & position_ok, on(c)) for c in "yz")
+    y, z = (F.when(position_ok, on(c)) for c in "yz")
     text = F.when(kind == "Reference", F.when(v.rlike(REFERENCE_PATTERN), v)).when(
         kind.isin("Text", "Enum") | ~kind.isin(*_STORED),
         F.when(v.rlike("(?s)^'.*'$") & (F.length(v) > 1), F.expr("substring(v, 2, length(v) - 2)")).otherwise(v),
