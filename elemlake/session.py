@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -20,3 +23,20 @@ def local_session(cpus: int | str | None = None, app: str = "elemlake", memory:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+_SHIPPED: dict[str, str] = {}
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once an application; a cluster need not have it installed."""
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="elemlake-package-")) / "elemlake_package.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, source.relative_to(package.parent).as_posix())
+    spark.sparkContext.addPyFile(str(target))
+    _SHIPPED[application] = str(target)
