@@ -153,3 +153,34 @@ def record_lengths(versions: DataFrame, bits: int = 16) -> DataFrame:
     firsts = starts.groupBy("dbnum", "block").agg(F.min("byte_offset").alias("first"))
     following = firsts.withColumn("next_first", F.lead("first").over(Window.partitionBy("dbnum").orderBy("block"))).drop("first")
     return starts.withColumn("next_in", F.lead("byte_offset").over(inside)).join(following, ["dbnum", "block"]).select("dbnum", "byte_offset", F.coalesce("next_in", "next_first").alias("next_offset"))
+
+
+def resolve_versions(asked: DataFrame, versions: DataFrame, sessions: DataFrame) -> DataFrame:
+    """asked (ELEMENT, s, s_db) with the session whose version is meant, and whether it is the newest.
+
+    With s and s_db: the newest version dated at or before session s of
+    database s_db. With s alone: the newest version at or before s. Without
+    s: the newest. Elements without such a version have null.
+    """
+    dated = sessions_once(sessions)
+    moments = dated.select(F.col("dbnum").alias("s_db"), F.col("sesno").alias("s"), F.col("ts").alias("moment"))
+    own = standing(versions).select(*VERSION).join(dated.select("dbnum", "sesno", "ts"), ["dbnum", "sesno"], "left")
+    newest = own.groupBy(*ELEMENT).agg(F.max("sesno").alias("newest"))
+    rows = asked.join(moments, ["s_db", "s"], "left").join(own, ELEMENT, "left")
+    fits = F.when(F.col("s").isNotNull() & F.col("s_db").isNotNull(), F.col("ts") <= F.col("moment")).when(F.col("s").isNotNull(), F.col("sesno") <= F.col("s")).otherwise(F.lit(True))
+    found = rows.groupBy(*ELEMENT, "s", "s_db").agg(F.max(F.when(fits, F.col("sesno"))).alias("sesno"))
+    return found.join(newest, ELEMENT, "left").select(*ELEMENT, "s", "s_db", "sesno", F.coalesce(F.col("sesno") == F.col("newest"), F.lit(False)).alias("is_latest"))
+
+
+def database_names(files: DataFrame, by_number: DataFrame, by_field: DataFrame) -> DataFrame:
+    """files (path, dbnum, field_no) with a name: by database number, else by field number, else the file's own."""
+    names = by_number.select("dbnum", F.col("name").alias("_n")).dropDuplicates(["dbnum"])
+    fields = by_field.select("field_no", F.col("name").alias("_f")).dropDuplicates(["field_no"])
+    own = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    return files.join(names, "dbnum", "left").join(fields, "field_no", "left").select(*files.columns, F.coalesce("_n", "_f", own).alias("name"))
+
+
+def slot_lengths(offsets: DataFrame, group: list[str], offset: str, total: str) -> DataFrame:
+    """offsets with the length of each slot: up to the next offset of its group, or to the group's total. A group is one index page."""
+    following = F.lead(offset).over(Window.partitionBy(*group).orderBy(offset))
+    return offsets.withColumn("length", F.coalesce(following, F.col(total)) - F.col(offset))

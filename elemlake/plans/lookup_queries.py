@@ -382,3 +382,19 @@ def siblings(spark, sf):
 @query(f"with {STANDING} select dbnum, ref0, ref1, coalesce(len(children), 0) as n_listed, coalesce(len(list_distinct(children)), 0) as n_distinct from now")
 def child_counts(spark, sf):
     return tree.child_counts(table(spark, sf, "element_versions"))
+
+
+@query(f"""with {STANDING}, own as (select v.dbnum, v.ref0, v.ref1, v.sesno, s.ts from standing v left join sess s on s.dbnum = v.dbnum and s.sesno = v.sesno),
+  newest as (select dbnum, ref0, ref1, max(sesno) as newest from own group by 1, 2, 3),
+  found as (select o.dbnum, o.ref0, o.ref1, max(o.sesno) filter (o.ts <= m.ts) as sesno from own o left join sess m on m.dbnum = o.dbnum and m.sesno = {SESSION} group by 1, 2, 3)
+  select dbnum, ref0, ref1, sesno, coalesce(sesno = newest, false) as is_latest from found join newest using (dbnum, ref0, ref1)""")
+def resolve_as_of(spark, sf):
+    versions = table(spark, sf, "element_versions")
+    asked = versions.select(*lookup.ELEMENT, F.lit(SESSION).alias("s"), F.col("dbnum").alias("s_db")).distinct()
+    return lookup.resolve_versions(asked, versions, table(spark, sf, "sessions")).drop("s", "s_db")
+
+
+@query(f"with {VALID}, d as (select distinct dbnum, child_pgno, offset_words from valid) select *, coalesce(lead(offset_words) over (partition by dbnum, child_pgno order by offset_words), 1024) - offset_words as length from d")
+def record_slots(spark, sf):
+    rows = lookup.valid_entries(table(spark, sf, "index_entries")).select("dbnum", "child_pgno", "offset_words").distinct()
+    return lookup.slot_lengths(rows.withColumn("total", F.lit(1024)), ["dbnum", "child_pgno"], "offset_words", "total").drop("total")
