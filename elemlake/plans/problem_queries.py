@@ -213,6 +213,15 @@ found as (select l.ref0, l.ref1, coalesce(d.root_ref0, 0) as root_ref0, coalesce
 select ref0, ref1, root_ref0, root_ref1, depth from found
 """
 
+_P6_PATHS = _P6.replace("0 as depth from links", "0 as depth, [ref0 || '/' || ref1] as path from links").replace("d.depth + 1 from down", "d.depth + 1, list_append(d.path, k.ref0 || '/' || k.ref1) from down")
+_P6_PATHS = (
+    _P6_PATHS[: _P6_PATHS.index("found as (")]
+    + """below as (select a as node, count(*) as n from (select unnest(path[:-2]) as a from down) group by 1)
+select l.ref0, l.ref1, coalesce(d.depth, -1) as depth, case when d.depth is not null then coalesce(b.n, 0) end as n_descendants, array_to_string(d.path, ' > ') as path
+from links l left join down d using (ref0, ref1) left join below b on b.node = l.ref0 || '/' || l.ref1
+"""
+)
+
 ORACLES: dict[str, str] = {
     "p1_found": f"with {_P1_LINES} select source, elem_no, attr as key from cells where bad",
     "p2_found": _P2 + "select dbnum, ses_no, ref0, ref1, diff_type, attr from found",
@@ -222,4 +231,5 @@ ORACLES: dict[str, str] = {
     "p5_found": _P5 + "select * from found",
     "p5_report": _P5 + "select ref_field, dbnum, sesno, miss_kind, count(*) as n_references, count(distinct (target_ref0, target_ref1)) as n_targets from found group by 1, 2, 3, 4",
     "p6_found": _P6,
+    "p6_paths": _P6_PATHS,
 }

@@ -48,7 +48,7 @@ def bucketed(df: DataFrame, name: str, keys: list[str], partition_by: list[str]
     writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    table = "elemlake_" + path.rsplit("-", 1)[1]
+    table = _table_name(path)
     writer.format("parquet").option("path", path).saveAsTable(table)
     out = spark.table(table)
     out._elemlake_path, out._elemlake_table = path, table
@@ -73,6 +73,10 @@ def _new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _table_name(path: str) -> str:
+    return "elemlake_" + path.rsplit("-", 1)[1]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -83,6 +87,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def _clean() -> None:
     for path, spark in list(_WRITTEN.items()):
         try:
+            spark.sql(f"DROP TABLE IF EXISTS {_table_name(path)}")
             _delete(spark, path)
         except Exception:
             pass
