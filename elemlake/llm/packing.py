@@ -8,7 +8,8 @@ holds lengths over half the capacity, tier 1 over a quarter, and so on. Tiers
 are packed from the longest: a window is opened for a length, its gap is
 filled from the longest lengths that still fit (of its own and shorter tiers), and
 that filling is repeated for as many windows as the histogram allows at once.
-The outcome is a plan of patterns, again bounded by the capacity.
+The outcome is a plan of patterns, again bounded by the capacity; container
+for container it is that of first fit decreasing over all pieces.
 
 Executors then number the pieces of each length (block-wise, so a length that
 a third of all documents have is spread) and look up the container of each
