@@ -34,6 +34,9 @@ from elemlake.plans.workspace import written
 
 ELEMENT = ["ref0", "ref1"]
 
+# The sesno of a base, before every other and before null.
+BASE = -(1 << 31)
+
 # Spellings of the operation types, compared without outer blanks and case.
 OPERATIONS = {"新增": "add", "ADD": "add", "修改": "modify", "MODIFIED": "modify", "删除": "delete", "DELETED": "delete", "无操作": "none", "NONE": "none"}
 
@@ -50,8 +53,14 @@ def operation(label: Column) -> Column:
 
 
 def position(sesno: str = "sesno", op_no: str = "op_no") -> Column:
-    """The order of operations as one integer."""
-    return F.shiftleft(F.coalesce(F.col(sesno), F.lit(-1)).cast("bigint"), 32) + F.coalesce(F.col(op_no), F.lit(-1)).cast("bigint")
+    """The order of operations as one integer: sesno in the high word, -1 if null; op_no plus one in the low word, 0 if null."""
+    return F.shiftleft(F.coalesce(F.col(sesno), F.lit(-1)).cast("bigint"), 32) + F.coalesce(F.col(op_no).cast("bigint") + 1, F.lit(0).cast("bigint"))
+
+
+def place(at: Column) -> tuple[Column, Column]:
+    """sesno and op_no of a position."""
+    sesno, op_no = F.shiftright(at, 32).cast("int"), at.bitwiseAND(F.lit((1 << 32) - 1)) - 1
+    return F.when(sesno != -1, sesno), F.when(op_no >= 0, op_no).cast("int")
 
 
 def operations(changes: DataFrame) -> DataFrame:
@@ -126,7 +135,7 @@ def current_attributes(changes: DataFrame, base: DataFrame | None = None, blocks
         # A base element is one life, begun before every operation of the feed.
         fields = F.map_from_entries(F.collect_list(F.struct("attr", F.expr("parse_json(value)"))))
         begun = base.groupBy(*ELEMENT).agg(F.to_json(F.struct(fields.alias("whole_attmap"))).alias("details"))
-        start = begun.select(*ELEMENT, F.lit(None).cast("int").alias("sesno"), F.lit(None).cast("int").alias("op_no"), F.lit(None).cast("bigint").alias("change_id"), F.lit("Add").alias("operation_type"), "details")
+        start = begun.select(*ELEMENT, F.lit(BASE).cast("int").alias("sesno"), F.lit(None).cast("int").alias("op_no"), F.lit(None).cast("bigint").alias("change_id"), F.lit("Add").alias("operation_type"), "details")
         changes = start.unionByName(changes.select(*start.columns))
     blocks = blocks or min(64, max(4, int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     cuts = cut_points(changes, position(), blocks)
@@ -134,10 +143,10 @@ def current_attributes(changes: DataFrame, base: DataFrame | None = None, blocks
     events = written(attribute_events(lives(operations(changes), cuts, hot)), "attribute-events")  # read several times below
     signed = contributions(events, hot)
     state = signed.groupBy(*ELEMENT, "attr", "at").agg(F.sum("m").alias("m"), F.max("value").alias("value")).where("m > 0")
-    sesno, op_no = F.shiftright("at", 32).cast("int"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    sesno, op_no = place(F.col("at"))
     out = state.select(*ELEMENT, "attr", "value", sesno.alias("sesno"), op_no.alias("op_no"))
     if base is None:
         return out
     untouched = base.select(*ELEMENT, "attr", F.col("sesno").alias("base_sesno"), F.col("op_no").alias("base_op_no"))
-    from_base = F.col("sesno") < 0
+    from_base = F.col("sesno").eqNullSafe(F.lit(BASE))
     return out.join(untouched, [*ELEMENT, "attr"], "left").select(*ELEMENT, "attr", "value", F.when(from_base, F.col("base_sesno")).otherwise(F.col("sesno")).alias("sesno"), F.when(from_base, F.col("base_op_no")).otherwise(F.col("op_no")).alias("op_no"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from elemlake.functions.expressions import Options, compile_expression, encode_words, opcode_counts, to_text, tree_of_payload
 from elemlake.functions.names import name_of_hash, parse_refno, python_name_hash, refno_text
 from elemlake.operators import chunks, lookup, search
-from elemlake.operators.change_feed import operation
+from elemlake.operators.change_feed import operation, place
 from elemlake.plans.workspace import shared_dir, written
 from elemlake.sources.dictionary import schema_filter
 from elemlake.streaming import feed
@@ -249,7 +249,8 @@ def stream_last_operation(spark, sf):
     """The keyed state of every element after the whole feed."""
     rows = _collected(feed.follow_elements(_feed(spark, sf)), spark, "follow", "update")
     last = rows.groupBy("ref0", "ref1").agg(F.max(F.struct("n", "last")).alias("x"))
-    return last.select("ref0", "ref1", F.shiftright("x.last", 32).cast("int").alias("sesno"), F.col("x.last").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("op_no"), F.col("x.n").alias("n"))
+    sesno, op_no = place(F.col("x.last"))
+    return last.select("ref0", "ref1", sesno.alias("sesno"), op_no.alias("op_no"), F.col("x.n").alias("n"))
 
 
 @query("select distinct dbnum, sesno, op_no from changes")

@@ -175,6 +175,24 @@ def test_feed_edges(spark):
     assert rows(current_attributes(spark.createDataFrame(data, CHANGES)).select("ref1", "attr", "value", "sesno", "op_no")) == [(1, "A", '"v"', 1, 4)]
 
 
+def test_feed_nulls_and_base(spark):
+    add = lambda i, r, s, o, kind="Add", d='{"whole_attmap":{"A":1,"B":1}}': (i, 1, 1, r, s, o, kind, None, None, d)
+    names = ["ref1", "attr", "sesno", "op_no"]
+    first = current_attributes(spark.createDataFrame([add(1, 1, 5, None), add(2, 2, None, None), add(3, 3, None, 0), add(4, 4, 0, 0)], CHANGES))
+    places = {1: (5, None), 2: (None, None), 3: (None, 0), 4: (0, 0)}
+    assert rows(first.select(*names)) == sorted([(r, a, *at) for r, at in places.items() for a in "AB"], key=repr)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # Null sesno and op_no in the later feed come after the base, and are the writer's own.
+        later = [add(5, 1, None, None, "Modified", '{"added_attrs":{"A":2}}'), add(6, 4, 6, None, "Modified", '{"added_attrs":{"B":2}}')]
+        again = current_attributes(spark.createDataFrame(later, CHANGES), first)
+        want = {(r, a): at for r, at in places.items() for a in "AB"} | {(1, "A"): (None, None), (4, "B"): (6, None)}
+        assert rows(again.select(*names)) == sorted([(r, a, *at) for (r, a), at in want.items()], key=repr)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 # 5
 
 
