@@ -142,6 +142,38 @@ def primary_status(versions: DataFrame) -> DataFrame:
     return counts.select(*ELEMENT, F.when(F.col("deleted"), "Deleted").when(F.col("n") == 1, "Add").otherwise("Modified").alias("operation"))
 
 
+def primary_status_by_owner(versions: DataFrame) -> DataFrame:
+    """(ELEMENT, operation) of the newest version, judged by the owners' present child lists.
+
+    In order: a removal is Deleted; no earlier version that is not a removal is Add;
+    an owner that does not list the element is Deleted; so is an element whose
+    previous owner lists a child that the present owner does not; else Modified.
+    An element without an owner is in no list and is not judged by one; a given
+    owner that does not exist lists nothing (a SITE may lack its owner); a
+    previous owner that does not exist vouches for no child.
+    """
+    rows = standing(versions)
+    previous = F.max(F.when(~F.col("deleted"), F.struct("sesno", "owner_ref0", "owner_ref1"))).over(Window.partitionBy(*ELEMENT).orderBy("sesno").rowsBetween(Window.unboundedPreceding, -1))
+    newest = Window.partitionBy(*ELEMENT).orderBy(F.desc("sesno"))
+    last = rows.withColumn("prev", previous).withColumn("k", F.row_number().over(newest)).where("k = 1").select(*ELEMENT, "deleted", "noun", "owner_ref0", "owner_ref1", "prev")
+    last = last.withColumn("prev0", F.col("prev.owner_ref0")).withColumn("prev1", F.col("prev.owner_ref1"))
+
+    now = existing(versions).select("dbnum", F.col("ref0").alias("owner_ref0"), F.col("ref1").alias("owner_ref1"), F.coalesce("children", F.array()).alias("list"))
+    owners = now.select("dbnum", "owner_ref0", "owner_ref1", F.lit(True).alias("has_owner"))
+    listed = now.select("dbnum", "owner_ref0", "owner_ref1", F.explode("list").alias("c")).select("dbnum", "owner_ref0", "owner_ref1", F.col("c.ref0").alias("ref0"), F.col("c.ref1").alias("ref1")).distinct().withColumn("in_list", F.lit(True))
+
+    # Lists meet once per pair of owners, not once per element.
+    moves = last.where("not deleted and prev is not null and not (owner_ref0 <=> prev0 and owner_ref1 <=> prev1)").select("dbnum", "owner_ref0", "owner_ref1", "prev0", "prev1").distinct()
+    before = now.select("dbnum", F.col("owner_ref0").alias("prev0"), F.col("owner_ref1").alias("prev1"), F.col("list").alias("prev_list"))
+    both = moves.join(before, ["dbnum", "prev0", "prev1"]).join(now, ["dbnum", "owner_ref0", "owner_ref1"])
+    lost = both.where(F.size(F.array_except("prev_list", "list")) > 0).select("dbnum", "owner_ref0", "owner_ref1", "prev0", "prev1", F.lit(True).alias("lost"))
+
+    out = last.join(owners, ["dbnum", "owner_ref0", "owner_ref1"], "left").join(listed, [*ELEMENT, "owner_ref0", "owner_ref1"], "left").join(lost, ["dbnum", "owner_ref0", "owner_ref1", "prev0", "prev1"], "left")
+    none = F.col("owner_ref0").isNull() | F.col("owner_ref1").isNull() | ((F.col("owner_ref0") == 0) & (F.col("owner_ref1") == 0))
+    dropped = ~none & F.when(F.col("has_owner").isNull(), F.coalesce(F.col("noun") != "SITE", F.lit(True))).otherwise(F.col("in_list").isNull())
+    return out.select(*ELEMENT, F.when(F.col("deleted"), "Deleted").when(F.col("prev").isNull(), "Add").when(dropped | F.col("lost").isNotNull(), "Deleted").otherwise("Modified").alias("operation"))
+
+
 def increments(versions: DataFrame, attrs: DataFrame, sessions: DataFrame | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
     """operation_status() of a range of sessions, filtered before nothing but the answer: the versions before the range are needed to compare with."""
     rows = operation_status(versions, attrs)

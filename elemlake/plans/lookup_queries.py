@@ -254,6 +254,20 @@ def primary_status(spark, sf):
     return changes.primary_status(table(spark, sf, "element_versions"))
 
 
+@query(f"""with {STANDING},
+  prev as (select dbnum, ref0, ref1, arg_max(struct_pack(o0 := owner_ref0, o1 := owner_ref1), sesno) as p from ranked where k > 1 and not deleted group by 1, 2, 3),
+  last as (select r.*, p is not null as has_prev, p.o0 as p0, p.o1 as p1 from ranked r left join prev using (dbnum, ref0, ref1) where k = 1),
+  judged as (
+    select l.*, o.ref0 is not null as has_owner, list_contains(coalesce(o.children, []), struct_pack(ref0 := l.ref0, ref1 := l.ref1)) as in_list,
+      o.ref0 is not null and len(list_filter(coalesce(b.children, []), lambda c: not list_contains(coalesce(o.children, []), c))) > 0 as lost
+    from last l left join now o on o.dbnum = l.dbnum and o.ref0 = l.owner_ref0 and o.ref1 = l.owner_ref1 left join now b on b.dbnum = l.dbnum and b.ref0 = l.p0 and b.ref1 = l.p1)
+  select dbnum, ref0, ref1, case when deleted then 'Deleted' when not has_prev then 'Add'
+    when not (owner_ref0 is null or owner_ref1 is null or (owner_ref0 = 0 and owner_ref1 = 0)) and case when has_owner then not in_list else noun is distinct from 'SITE' end then 'Deleted'
+    when lost then 'Deleted' else 'Modified' end as operation from judged""")
+def primary_status_by_owner(spark, sf):
+    return changes.primary_status_by_owner(table(spark, sf, "element_versions"))
+
+
 @query(f"with {STANDING}, {PAIRS}, gone as (select dbnum, sesno, ref0, ref1, unnest(p_children) as c, children from pairs where not deleted and not p_deleted) select distinct dbnum, sesno, ref0, ref1, c.ref0 as child_ref0, c.ref1 as child_ref1 from gone where not list_contains(coalesce(children, []), c)")
 def dropped_children(spark, sf):
     return changes.dropped_children(table(spark, sf, "element_versions"))
