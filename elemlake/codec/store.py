@@ -9,6 +9,7 @@ them, until one root is left.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -196,8 +197,8 @@ class Store:
             session.first_pgno = last.end_pgno + 1
         return found
 
-    def entries(self, root: int) -> Iterator[Entry]:
-        """All entries below a root, each page once. A start marker leads to what lies left of its page's first key."""
+    def entries(self, root: int, strict: bool = False) -> Iterator[Entry]:
+        """All entries below a root, each page once; pages that cannot be read are passed over, or an error if strict. A start marker leads to what lies left of its page's first key."""
         waiting, seen = [root], set()
         while waiting:
             pgno = waiting.pop()
@@ -207,19 +208,65 @@ class Store:
             try:
                 rows = read_entries(self.page(pgno), pgno)
             except StoreError:
+                if strict:
+                    raise
                 continue
             for e in rows:
                 yield e
                 if e.level > 0:
                     waiting.append(e.child_pgno)
 
+    def cut(self, sessions: list[Session]) -> int:
+        """The page before the oldest of the sessions found if it cannot be read, else 0."""
+        before = sessions[0].prev_ses_pgno if sessions else self.header["latest_ses_pgno"] or self.header["session_page_no"]
+        return 0 if before in {s.ses_pgno for s in sessions} else before
+
+    def damage(self) -> list[int]:
+        """Pages that the header, the chain of sessions or an index names and that cannot be read as such."""
+        sessions = self.sessions()
+        bad = {self.cut(sessions)} - {0}
+        waiting, seen = [s.index_root_pgno for s in sessions], set()
+        while waiting:
+            pgno = waiting.pop()
+            if not pgno or pgno in seen:
+                continue
+            seen.add(pgno)
+            try:
+                waiting += [e.child_pgno for e in read_entries(self.page(pgno), pgno) if e.level > 0]
+            except StoreError:
+                bad.add(pgno)
+        return sorted(bad)
+
+    def known_ref0s(self, bytes_: int) -> set[int]:
+        """The first halves of all keys in the leaf pages of the file, whether a root leads to them or not."""
+        found = set()
+        for pgno in range(1, bytes_ // self.page_size):
+            try:
+                found |= {e.ref0 for e in read_entries(self.page(pgno), pgno) if e.level == 0}
+            except StoreError:
+                continue
+        return found - {0, START_MARKER}
+
+    def scan(self, ref0s: set[int], start: int, end: int) -> Iterator[tuple[int, "Element"]]:
+        """Records that begin in [start, end), found by their words; they may end beyond it."""
+        data = self.read(start, end - start + 16)
+        marks = re.compile(rb"(?=\0\0\0[\x06-\xff](?:" + b"|".join(re.escape(struct.pack(">I", r)) for r in sorted(ref0s)) + b"))", re.DOTALL)
+        for m in marks.finditer(data):
+            at = m.start()
+            if (start + at) % 2 or start + at >= end or at + 16 > len(data) or not word(data, at + 8) or not python_name_of_hash(word(data, at + 12)):
+                continue
+            try:
+                yield start + at, self.record(start + at)
+            except (StoreError, struct.error):
+                continue
+
     def address(self, e: Entry) -> int:
         return e.child_pgno * self.page_size + e.offset_words * 2
 
-    def newest(self, root: int) -> dict[Refno, Entry]:
+    def newest(self, root: int, strict: bool = False) -> dict[Refno, Entry]:
         """Leaf entry of every key; of several the one furthest back in the store wins."""
         out: dict[Refno, Entry] = {}
-        for e in self.entries(root):
+        for e in self.entries(root, strict):
             key = (e.ref0, e.ref1)
             if e.level == 0 and key != (START_MARKER, START_MARKER) and (key not in out or self.address(e) > self.address(out[key])):
                 out[key] = e

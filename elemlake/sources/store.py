@@ -7,6 +7,11 @@ Tables: headers, sessions, index, elements, attributes. The options
 min_sesno and max_sesno prune sessions before any of their pages are read;
 table and columns keep element decoding out of header and index reads.
 Only files that the driver and all executors can open by path are read.
+
+elements and attributes need every index page of their session; one that cannot be
+read is an error. read_store() reads such files by a scan for records
+instead (tables damage, scanned_elements and scanned_attributes), a partition
+per segment_bytes of a file.
 """
 
 from __future__ import annotations
@@ -26,7 +31,11 @@ SCHEMAS = {
     "index": "dbnum int, sesno int, page_no bigint, level int, ord int, ref0 bigint, ref1 bigint, child_pgno bigint, offset_words int, flag int",
     "elements": "dbnum int, ref0 bigint, ref1 bigint, sesno int, byte_offset bigint, noun string, owner_ref0 bigint, owner_ref1 bigint, name string, children array<struct<ref0:bigint,ref1:bigint>>",
     "attributes": "dbnum int, ref0 bigint, ref1 bigint, sesno int, key string, tag string, v_int bigint, v_double double, v_bool boolean, v_str string, v_ints array<int>, v_doubles array<double>, v_refs array<struct<ref0:bigint,ref1:bigint>>",
+    "damage": "path string, pages array<bigint>, ref0s array<bigint>",
 }
+SCHEMAS["scanned_elements"] = f"path string, {SCHEMAS['elements']}"
+SCHEMAS["scanned_attributes"] = f"path string, byte_offset bigint, {SCHEMAS['attributes']}"
+SEGMENT_BYTES = 16 << 20
 EXTENSIONS_SKIPPED = ("com", "mis")
 
 
@@ -38,9 +47,12 @@ class _Part(InputPartition):
     end_pgno: int = 0
     root: int = 0
 
-    def __init__(self, path: str, sesno: int | None = None, first_pgno: int = 0, end_pgno: int = 0, root: int = 0):
+    start: int = 0
+    end: int = 0
+
+    def __init__(self, path: str, sesno: int | None = None, first_pgno: int = 0, end_pgno: int = 0, root: int = 0, start: int = 0, end: int = 0):
         super().__init__(0)
-        self.path, self.sesno, self.first_pgno, self.end_pgno, self.root = path, sesno, first_pgno, end_pgno, root
+        self.path, self.sesno, self.first_pgno, self.end_pgno, self.root, self.start, self.end = path, sesno, first_pgno, end_pgno, root, start, end
 
 
 def _store(path: str):
@@ -55,6 +67,16 @@ def _store(path: str):
     return Store(read)
 
 
+def _sessions(path: str) -> list:
+    from elemlake.codec.store import StoreError
+
+    store = _store(path)
+    found = store.sessions()
+    if not found and store.cut(found):
+        raise StoreError(f"no session page can be read in {path}")
+    return found
+
+
 class StoreSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -71,13 +93,17 @@ class StoreReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.table = options.get("table", "elements")
         self.low, self.high = int(options.get("min_sesno", "0")), int(options.get("max_sesno", str(1 << 31)))
+        self.segment = int(options.get("segment_bytes", str(SEGMENT_BYTES)))
+        self.ref0s = {p: set(x) for p, x in json.loads(options.get("ref0s", "{}")).items()}
         self.paths = sorted(p for pattern in options["path"].split(",") for p in (glob.glob(pattern) if glob.has_magic(pattern) else [pattern]) if not p.endswith(EXTENSIONS_SKIPPED))
 
     def partitions(self) -> list[InputPartition]:
-        if self.table in ("headers", "sessions"):
+        if self.table in ("headers", "sessions", "damage"):
             return [_Part(p) for p in self.paths]
+        if self.table.startswith("scanned_"):
+            return [_Part(p, start=at, end=min(at + self.segment, size)) for p in self.paths for size in [os.path.getsize(p)] for at in range(0, size, self.segment)]
         # Only headers and session pages are read here: a few pages a session.
-        return [_Part(p, s.sesno, s.first_pgno, s.end_pgno, s.index_root_pgno) for p in self.paths for s in _store(p).sessions() if self.low <= s.sesno <= self.high]
+        return [_Part(p, s.sesno, s.first_pgno, s.end_pgno, s.index_root_pgno) for p in self.paths for s in _sessions(p) if self.low <= s.sesno <= self.high]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         store = _store(partition.path)
@@ -93,29 +119,74 @@ class StoreReader(DataSourceReader):
             for e in store.entries(partition.root):
                 if partition.first_pgno <= e.page <= partition.end_pgno:  # pages that this session wrote
                     yield db, partition.sesno, e.page, e.level, e.ord, e.ref0, e.ref1, e.child_pgno, e.offset_words, e.flag
+        elif self.table == "damage":
+            pages = store.damage()
+            yield partition.path, pages, sorted(store.known_ref0s(os.path.getsize(partition.path))) if pages else []
+        elif self.table.startswith("scanned_"):
+            yield from self._scanned(store, db, partition)
         else:
             yield from self._elements(store, db, partition)
 
     def _elements(self, store, db: int, part: InputPartition) -> Iterator[tuple]:
         from elemlake.codec.store import StoreError
 
-        for key, e in store.newest(part.root).items():
+        for key, e in store.newest(part.root, strict=True).items():
             if not part.first_pgno <= e.child_pgno <= part.end_pgno:
                 continue  # written by an earlier session, whose partition reads it
             try:
                 x = store.record(store.address(e))
             except StoreError:
                 continue  # unreadable records are left out; index rows still name them
-            if self.table == "elements":
-                yield db, *key, part.sesno, store.address(e), x.noun, *x.owner, x.attrs.get("NAME", (None, None))[1], x.children
-                continue
-            for name, (kind, value) in x.attrs.items():
-                refs = [value] if kind == "element" else value if kind == "refs" else None
-                yield (
-                    db, *key, part.sesno, name, kind,
-                    value if kind == "int" else None, value if kind == "double" else None, value if kind == "bool" else None, value if kind == "string" else None,
-                    value if kind in ("ints", "words") else None, value if kind == "doubles" else None, refs,
-                )
+            yield from self._rows(db, key, part.sesno, store.address(e), x)
+
+    def _scanned(self, store, db: int, part: InputPartition) -> Iterator[tuple]:
+        sessions = store.sessions()
+        if store.cut(sessions):  # where the oldest session that is left begins is not known
+            sessions = sessions[1:]
+        for at, x in store.scan(self.ref0s[part.path], part.start, part.end):
+            sesno = next((s.sesno for s in sessions if s.first_pgno <= at // store.page_size <= s.end_pgno), None)
+            if sesno is None or self.low <= sesno <= self.high:
+                first = (part.path,) if self.table == "scanned_elements" else (part.path, at)
+                for row in self._rows(db, x.refno, sesno, at, x):
+                    yield *first, *row
+
+    def _rows(self, db: int, key: tuple[int, int], sesno: int | None, at: int, x) -> Iterator[tuple]:
+        if self.table.endswith("elements"):
+            yield db, *key, sesno, at, x.noun, *x.owner, x.attrs.get("NAME", (None, None))[1], x.children
+            return
+        for name, (kind, value) in x.attrs.items():
+            refs = [value] if kind == "element" else value if kind == "refs" else None
+            yield (
+                db, *key, sesno, name, kind,
+                value if kind == "int" else None, value if kind == "double" else None, value if kind == "bool" else None, value if kind == "string" else None,
+                value if kind in ("ints", "words") else None, value if kind == "doubles" else None, refs,
+            )
+
+
+def read_store(spark, path: str, table: str = "elements", **options):
+    """elements or attributes of stores, whether their index can be read or not.
+
+    Files with an unreadable index or session page are scanned by segments. Of the records of a key
+    the one with the largest address stays per session, or at all where the
+    session is not known. Removals are not seen by a scan. A file without any readable leaf
+    page is an error, as a scan does not know its keys.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from elemlake.codec.store import StoreError
+
+    read = lambda t, paths, **o: spark.read.format("elemlake_store").option("table", t).options(**options, **o).load(paths)
+    files = read("damage", path).collect()  # a row per file
+    whole, broken = ([f for f in files if bool(f.pages) is bad] for bad in (False, True))
+    if lost := [f.path for f in broken if not f.ref0s]:
+        raise StoreError(f"no leaf page can be read in {lost}")
+    parts = [read(table, ",".join(glob.escape(f.path) for f in whole) or path)] if whole or not broken else []
+    if broken:
+        scanned = read(f"scanned_{table}", ",".join(glob.escape(f.path) for f in broken), ref0s=json.dumps({f.path: f.ref0s for f in broken}))
+        newest = F.max("byte_offset").over(Window.partitionBy("path", "ref0", "ref1", "sesno"))
+        parts.append(scanned.withColumn("_newest", newest).where("byte_offset = _newest").select(*StructType.fromDDL(SCHEMAS[table]).names))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def save_offsets(index_map, path: str, page_size: int) -> None:

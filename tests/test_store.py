@@ -140,6 +140,41 @@ def test_data_source(spark, tmp_path):
         load_offsets(spark, str(tmp_path / "saved"), 4096)
 
 
+def test_damaged_index_is_scanned(spark, tmp_path):
+    from elemlake.sources.store import StoreSource, read_store
+
+    data = bytearray(store_of_three_sessions())
+    (tmp_path / "whole.db").write_bytes(data)
+    spark.dataSource.register(StoreSource)
+    tables = {t: sorted(map(repr, read_store(spark, f"{tmp_path}/whole.db", t).collect())) for t in ("elements", "attributes")}
+    assert len(tables["elements"]) == 401
+    for s in store_of_bytes(bytes(data)).sessions():  # every root
+        data[s.index_root_pgno * 2048 : s.index_root_pgno * 2048 + 2048] = bytes(2048)
+    (tmp_path / "broken.db").write_bytes(data)
+    with pytest.raises(Exception, match="StoreError"):
+        spark.read.format("elemlake_store").option("table", "elements").load(f"{tmp_path}/broken.db").count()
+    for t, want in tables.items():
+        for size in ("3001", "16777216"):  # records over the ends of segments
+            assert sorted(map(repr, read_store(spark, f"{tmp_path}/broken.db", t, segment_bytes=size).collect())) == want
+    assert sorted(map(repr, read_store(spark, f"{tmp_path}/*.db").collect())) == sorted(tables["elements"] * 2)
+
+
+def test_unreadable_session_pages(spark, tmp_path):
+    from elemlake.sources.store import StoreSource, read_store
+
+    spark.dataSource.register(StoreSource)
+    sessions = store_of_bytes(store_of_three_sessions()).sessions()
+    for lost, known in ((0, {(3, 1), (None, 399)}), (2, {(None, 400)})):  # what lies before the next session left, or all
+        data = bytearray(store_of_three_sessions())
+        data[sessions[lost].ses_pgno * 2048 : sessions[lost].ses_pgno * 2048 + 2048] = bytes(2048)
+        (tmp_path / f"{lost}.db").write_bytes(data)
+        found = read_store(spark, f"{tmp_path}/{lost}.db")
+        assert {tuple(r) for r in found.groupBy("sesno").count().collect()} == known
+        assert found.where("ref1 = 17").first().noun == "ZONE"  # the larger address
+    with pytest.raises(Exception, match="no session page"):
+        spark.read.format("elemlake_store").option("table", "elements").load(f"{tmp_path}/2.db").count()
+
+
 def test_read_dumps(spark, tmp_path):
     from elemlake.sources.dblist import read_cases, read_dumps
 
