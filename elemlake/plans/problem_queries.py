@@ -63,8 +63,13 @@ def p6_paths(spark: SparkSession, sf: str) -> DataFrame:
     return element_hierarchy(table(spark, sf, "element_versions"), paths=True).select("ref0", "ref1", "depth", "n_descendants", "path")
 
 
+def p6_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    """The descendants of an element are those of its root whose preorder lies in (preorder, last_descendant]; siblings may come in any order, so there is no SQL for the numbers."""
+    return element_hierarchy(table(spark, sf, "element_versions")).select("ref0", "ref1", "root_ref0", "root_ref1", "preorder", "last_descendant")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_wide, p2_found, p2_summary, p3_found, p3_satellites, p4_found, p5_found, p5_report, p6_found, p6_paths)
+    f.__name__: f for f in (p1_found, p1_wide, p2_found, p2_summary, p3_found, p3_satellites, p4_found, p5_found, p5_report, p6_found, p6_paths, p6_descendants)
 }
 
 _P1_LINES = r"""
