@@ -25,6 +25,11 @@ def touched_entries(index_entries: DataFrame, sessions: DataFrame, include_initi
     return rows.select(*VERSION).distinct()
 
 
+def touched_versions(versions: DataFrame, index_entries: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The standing versions that touched_entries() names; entries without a version of their session have none to show."""
+    return standing(versions).join(touched_entries(index_entries, sessions), VERSION, "left_semi")
+
+
 def attribute_hashes(attrs: DataFrame, ignore: tuple[str, ...] = BOOKKEEPING) -> DataFrame:
     """(VERSION, kind, key, h): one row per set attribute of a version."""
     value = value_text()
@@ -59,10 +64,17 @@ def attribute_deltas(versions: DataFrame, attrs: DataFrame, ignore: tuple[str, .
 
     Found by one window per (element, attribute) instead of a join of neighbouring maps: each attribute row knows which session follows it.
     """
-    sessions = standing(versions).where("not deleted").select(*VERSION)
+    return _deltas(_neighbours(standing(versions)), attrs, ignore)
+
+
+def _neighbours(rows: DataFrame) -> DataFrame:
+    """Versions that are not removals, with the sessions of those before and after; what standing versions have besides stays."""
     order = Window.partitionBy(*ELEMENT).orderBy("sesno")
-    neighbours = sessions.withColumn("prev_sesno", F.lag("sesno").over(order)).withColumn("next_sesno", F.lead("sesno").over(order))
-    rows = attribute_hashes(attrs, ignore).join(neighbours, VERSION)
+    return rows.where("not deleted").withColumn("prev_sesno", F.lag("sesno").over(order)).withColumn("next_sesno", F.lead("sesno").over(order))
+
+
+def _deltas(neighbours: DataFrame, attrs: DataFrame, ignore: tuple[str, ...]) -> DataFrame:
+    rows = attribute_hashes(attrs, ignore).join(neighbours.select(*VERSION, "prev_sesno", "next_sesno"), VERSION)
     own = Window.partitionBy(*ELEMENT, "kind", "key").orderBy("sesno")
     seen = rows.withColumn("at_before", F.lag("sesno").over(own)).withColumn("h_before", F.lag("h").over(own)).withColumn("at_after", F.lead("sesno").over(own))
     came = F.col("prev_sesno").isNotNull() & ~F.col("at_before").eqNullSafe(F.col("prev_sesno"))
@@ -101,20 +113,50 @@ def top_changes(counts: DataFrame, n: int) -> DataFrame:
     return counts.orderBy(F.desc("n"), "change_key").limit(n)
 
 
-def operation_status(versions: DataFrame, attrs: DataFrame) -> DataFrame:
+def _owner_as_of(pairs: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Owners and their lists at the session of the version that names them: (dbnum, owner, sesno) with owner_sesno, and the children of (dbnum, owner, owner_sesno).
+
+    Asked sessions are distinct, so a window holds at most twice the sessions of a database, however many elements name one owner.
+    """
+    owner = ["dbnum", "owner_ref0", "owner_ref1"]
+    states = standing(versions).select("dbnum", F.col("ref0").alias("owner_ref0"), F.col("ref1").alias("owner_ref1"), "sesno", "deleted", "children")
+    asked = pairs.select(*owner, "sesno").where("owner_ref0 is not null and owner_ref1 is not null").distinct()
+    known = states.select(*owner, "sesno", F.struct("sesno", "deleted").alias("state"), F.lit(0).alias("side"))
+    both = known.unionByName(asked.withColumn("side", F.lit(1)), allowMissingColumns=True)
+    upto = Window.partitionBy(*owner).orderBy("sesno", "side").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("state", F.last("state", ignorenulls=True).over(upto)).where("side = 1 and not state.deleted").select(*owner, "sesno", F.col("state.sesno").alias("owner_sesno"))
+    lists = states.where("not deleted").select(*owner, F.col("sesno").alias("owner_sesno"), F.explode("children").alias("c"))
+    return found, lists.select(*owner, "owner_sesno", F.col("c.ref0").alias("ref0"), F.col("c.ref1").alias("ref1")).distinct()
+
+
+def operation_status(versions: DataFrame, attrs: DataFrame, owner_as_of: str = "latest") -> DataFrame:
     """What each session did to each element: (VERSION, operation, children_changed, n_attributes).
 
     In order: a removal is Deleted; no version before is Add; an owner that is
-    given but does not exist now, or exists but does not list the element, is Deleted (a SITE may lack
+    given but does not exist, or exists but does not list the element, is Deleted (a SITE may lack
     its owner); a difference in the set of children, noun, name, owner or any attribute is Modified; without
-    difference there is no row. The owner is the current one.
+    difference there is no row. A version that passes the owner's test also makes every child that it
+    lists no more Deleted in its session, unless the child has a row of its own there.
+    owner_as_of: the owner is read as it is now (``latest``) or as it was in the version's session (``session``).
     """
-    pairs = _pairs(versions)
-    now = existing(versions)
-    owners = now.select("dbnum", F.col("ref0").alias("owner_ref0"), F.col("ref1").alias("owner_ref1"), F.lit(True).alias("has_owner"))
-    listed = now.select("dbnum", F.col("ref0").alias("owner_ref0"), F.col("ref1").alias("owner_ref1"), F.explode("children").alias("c")).select("dbnum", "owner_ref0", "owner_ref1", F.col("c.ref0").alias("ref0"), F.col("c.ref1").alias("ref1")).distinct().withColumn("in_list", F.lit(True))
-    deltas = attribute_deltas(versions, attrs, BOOKKEEPING).groupBy(*VERSION).agg(F.count(F.lit(1)).alias("n_attributes"))
-    rows = pairs.join(owners, ["dbnum", "owner_ref0", "owner_ref1"], "left").join(listed, [*ELEMENT, "owner_ref0", "owner_ref1"], "left").join(deltas, VERSION, "left")
+    return _status(_pairs(versions), versions, attribute_deltas(versions, attrs, BOOKKEEPING), owner_as_of)
+
+
+def _status(pairs: DataFrame, versions: DataFrame, deltas: DataFrame, owner_as_of: str) -> DataFrame:
+    """The rules over pairs of neighbouring versions; versions are those that owners are looked up in."""
+    if owner_as_of not in ("latest", "session"):
+        raise ValueError(f"owners are read as of latest or session, not {owner_as_of}")
+    owner = ["dbnum", "owner_ref0", "owner_ref1"]
+    deltas = deltas.groupBy(*VERSION).agg(F.count(F.lit(1)).alias("n_attributes"))
+    if owner_as_of == "latest":
+        now = existing(versions).select("dbnum", F.col("ref0").alias("owner_ref0"), F.col("ref1").alias("owner_ref1"), "children")
+        owners = now.select(*owner, F.lit(True).alias("has_owner"))
+        listed = now.select(*owner, F.explode("children").alias("c")).select(*owner, F.col("c.ref0").alias("ref0"), F.col("c.ref1").alias("ref1")).distinct().withColumn("in_list", F.lit(True))
+        rows = pairs.join(owners, owner, "left").join(listed, [*ELEMENT, "owner_ref0", "owner_ref1"], "left")
+    else:
+        found, lists = _owner_as_of(pairs, versions)
+        rows = pairs.join(found.withColumn("has_owner", F.lit(True)), [*owner, "sesno"], "left").join(lists.withColumn("in_list", F.lit(True)), [*ELEMENT, "owner_ref0", "owner_ref1", "owner_sesno"], "left")
+    rows = rows.join(deltas, VERSION, "left")
 
     none = F.coalesce((F.col("owner_ref0") == 0) & (F.col("owner_ref1") == 0), F.lit(True)) | F.col("owner_ref0").isNull()
     gone = ~none & F.when(F.col("has_owner").isNull(), F.coalesce(F.col("noun") != "SITE", F.lit(True))).otherwise(F.col("in_list").isNull())
@@ -125,8 +167,13 @@ def operation_status(versions: DataFrame, attrs: DataFrame) -> DataFrame:
         other = other | ~F.col(c).eqNullSafe(F.col(f"prev.{c}"))
     first = F.col("prev").isNull() | F.col("prev.deleted")
     operation = F.when(F.col("deleted"), "Deleted").when(first, "Add").when(gone, "Deleted").when(children_changed | other | F.col("n_attributes").isNotNull(), "Modified")
-    out = rows.select(*VERSION, operation.alias("operation"), F.when(operation == "Modified", children_changed).otherwise(F.lit(False)).alias("children_changed"), F.when(operation == "Modified", F.coalesce("n_attributes", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("n_attributes"))
-    return out.where("operation is not null")
+    judged = rows.select(*VERSION, operation.alias("operation"), (operation == "Modified").alias("m"), children_changed.alias("c"), F.coalesce("n_attributes", F.lit(0)).alias("n"), F.when(~F.col("deleted") & ~first & ~gone, F.array_except(F.coalesce("prev.children", F.array()), F.coalesce("children", F.array()))).alias("dropped"))
+    own = judged.where("operation is not null").select(*VERSION, "operation", F.when(F.col("m"), F.col("c")).otherwise(F.lit(False)).alias("children_changed"), F.when(F.col("m"), F.col("n")).otherwise(F.lit(0)).cast("bigint").alias("n_attributes"), F.lit(0).alias("from_parent"))
+    lost = judged.where(F.size("dropped") > 0).select("dbnum", "sesno", F.explode("dropped").alias("x")).where("x.ref0 is not null and x.ref1 is not null")
+    lost = lost.select("dbnum", F.col("x.ref0").alias("ref0"), F.col("x.ref1").alias("ref1"), "sesno", F.lit("Deleted").alias("operation"), F.lit(False).alias("children_changed"), F.lit(0).cast("bigint").alias("n_attributes"), F.lit(1).alias("from_parent"))
+    # One row per element and session; its own comes before what a parent says of it. Both sides meet in one aggregation, not in a join.
+    best = own.unionByName(lost).groupBy(*VERSION).agg(F.min(F.struct("from_parent", "operation", "children_changed", "n_attributes")).alias("x"))
+    return best.select(*VERSION, "x.operation", "x.children_changed", "x.n_attributes")
 
 
 def dropped_children(versions: DataFrame) -> DataFrame:
@@ -136,13 +183,13 @@ def dropped_children(versions: DataFrame) -> DataFrame:
     return rows.select("dbnum", "sesno", "ref0", "ref1", F.explode(gone).alias("c")).select("dbnum", "sesno", "ref0", "ref1", F.col("c.ref0").alias("child_ref0"), F.col("c.ref1").alias("child_ref1"))
 
 
-def primary_status(versions: DataFrame) -> DataFrame:
-    """(ELEMENT, operation) of the newest version, coarsely: Deleted if removed, Add if there is one version, else Modified."""
+def version_status(versions: DataFrame) -> DataFrame:
+    """(ELEMENT, operation) of the newest version by the number of versions alone: Deleted if removed, Add if there is one version, else Modified."""
     counts = standing(versions).groupBy(*ELEMENT).agg(F.count(F.lit(1)).alias("n"), F.max_by("deleted", "sesno").alias("deleted"))
     return counts.select(*ELEMENT, F.when(F.col("deleted"), "Deleted").when(F.col("n") == 1, "Add").otherwise("Modified").alias("operation"))
 
 
-def primary_status_by_owner(versions: DataFrame) -> DataFrame:
+def primary_status(versions: DataFrame) -> DataFrame:
     """(ELEMENT, operation) of the newest version, judged by the owners' present child lists.
 
     In order: a removal is Deleted; no earlier version that is not a removal is Add;
@@ -174,14 +221,30 @@ def primary_status_by_owner(versions: DataFrame) -> DataFrame:
     return out.select(*ELEMENT, F.when(F.col("deleted"), "Deleted").when(F.col("prev").isNull(), "Add").when(dropped | F.col("lost").isNotNull(), "Deleted").otherwise("Modified").alias("operation"))
 
 
-def increments(versions: DataFrame, attrs: DataFrame, sessions: DataFrame | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
-    """operation_status() of a range of sessions, filtered before nothing but the answer: the versions before the range are needed to compare with."""
-    rows = operation_status(versions, attrs)
-    if first is not None:
-        rows = rows.where(F.col("sesno") >= first)
-    if last is not None:
-        rows = rows.where(F.col("sesno") <= last)
-    return rows if sessions is None else rows.join(sessions, ["dbnum", "sesno"], "left_semi")
+def increments(versions: DataFrame, attrs: DataFrame, sessions: DataFrame | None = None, first: int | None = None, last: int | None = None, owner_as_of: str = "latest", only_latest: bool = False) -> DataFrame:
+    """operation_status() of some sessions: a range, a table of (dbnum, sesno), or both.
+
+    Only the versions of those sessions and the version before each are compared, and only their attributes are
+    hashed; what is read of the others are the owners. only_latest keeps what versions say that are their element's newest.
+    """
+    rows = standing(versions if last is None else versions.where(F.col("sesno") <= last))
+    asked = F.lit(True) if first is None else F.col("sesno") >= first
+    if sessions is not None:
+        chosen = sessions.select("dbnum", "sesno").distinct().withColumn("_chosen", F.lit(True))
+        rows = rows.join(chosen, ["dbnum", "sesno"], "left")  # a row per session: small beside the versions
+        asked = asked & F.col("_chosen").isNotNull()
+    rows = rows.withColumn("_asked", asked)
+    order = Window.partitionBy(*ELEMENT).orderBy("sesno")
+    fields = ["sesno", "noun", "owner_ref0", "owner_ref1", "name", "children", "deleted"]
+    near = rows.withColumn("prev", F.lag(F.struct(*fields)).over(order))
+    pairs = near.where("_asked").select(*VERSION, "byte_offset", *fields[1:], "prev")
+    if only_latest:
+        newest = versions.groupBy(*ELEMENT).agg(F.max("sesno").alias("sesno"))
+        pairs = pairs.join(newest, VERSION, "left_semi")
+    order_asked = F.coalesce(F.lead("_asked").over(order), F.lit(False))
+    wanted = _neighbours(rows).withColumn("_next", order_asked).where("_asked or _next")
+    deltas = _deltas(wanted, attrs.join(wanted.select(*VERSION), VERSION, "left_semi"), BOOKKEEPING)
+    return _status(pairs, versions, deltas, owner_as_of)
 
 
 def recent_sessions(sessions: DataFrame, n: int = 1) -> DataFrame:

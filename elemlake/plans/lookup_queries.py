@@ -171,6 +171,13 @@ def session_touched(spark, sf):
     return changes.touched_entries(table(spark, sf, "index_entries"), table(spark, sf, "sessions"))
 
 
+@query(f"with {STANDING}, ranges as (select dbnum, sesno, lag(end_pgno) over (partition by dbnum order by sesno) as after, end_pgno from sess), touched as (select distinct i.dbnum, i.ref0, i.ref1, i.sesno from index_entries i join ranges r on r.dbnum = i.dbnum and r.sesno = i.sesno where i.flag = 1 and i.child_pgno > r.after and i.child_pgno < r.end_pgno) select dbnum, ref0, ref1, sesno, byte_offset, noun, deleted from standing semi join touched using (dbnum, ref0, ref1, sesno)")
+def session_elements(spark, sf):
+    """The versions that the index says their session touched."""
+    rows = changes.touched_versions(table(spark, sf, "element_versions"), table(spark, sf, "index_entries"), table(spark, sf, "sessions"))
+    return rows.select("dbnum", "ref0", "ref1", "sesno", "byte_offset", "noun", "deleted")
+
+
 VALUE = "case when v_int is not null then 'n' || (cast(cast(v_int as double) as float) + 0::float)::varchar when v_double is not null then 'n' || (cast(v_double as float) + 0::float)::varchar when v_bool is not null then 'b' || v_bool::varchar when v_str is not null then 's' || v_str when v_doubles is not null then '[' || array_to_string([(cast(x as float) + 0::float)::varchar for x in v_doubles], ',') || ']' when v_refs is not null then 'r' || v_refs::varchar end"
 DELTAS = f"""
 vals as (select dbnum, ref0, ref1, sesno, kind, key, max({VALUE}) as v from attrs_long group by 1, 2, 3, 4, 5, 6 having max({VALUE}) is not null),
@@ -214,17 +221,31 @@ def change_counts_top(spark, sf):
     return changes.top_changes(change_counts(spark, sf), 10)
 
 
-STATUS = f"""{STANDING}, {DELTAS.replace("from attrs_long group by", "from attrs_long where key not in ('PGNO', 'SESNO') group by")}, {PAIRS},
+def _status_sql(owner: str = "now o on o.dbnum = p.dbnum and o.ref0 = p.owner_ref0 and o.ref1 = p.owner_ref1", exists: str = "o.dbnum is not null") -> str:
+    child_sets = "list_sort(list_distinct(coalesce(p.children, []))) <> list_sort(list_distinct(coalesce(p.p_children, [])))"
+    return f"""{STANDING}, {DELTAS.replace("from attrs_long group by", "from attrs_long where key not in ('PGNO', 'SESNO') group by")}, {PAIRS},
 nd as (select dbnum, ref0, ref1, sesno, count(*) as n from deltas group by 1, 2, 3, 4),
-judged as (
-  select p.dbnum, p.ref0, p.ref1, p.sesno, coalesce(nd.n, 0) as n_attributes,
-    list_sort(list_distinct(coalesce(p.children, []))) <> list_sort(list_distinct(coalesce(p.p_children, []))) as children_changed,
-    case when p.deleted then 'Deleted' when p.p_deleted is null or p.p_deleted then 'Add'
-      when not (p.owner_ref0 is null or p.owner_ref1 is null or (p.owner_ref0 = 0 and p.owner_ref1 = 0)) and (case when o.dbnum is null then coalesce(p.noun <> 'SITE', true) else not list_contains(coalesce(o.children, []), {{'ref0': p.ref0, 'ref1': p.ref1}}) end) then 'Deleted'
-      when list_sort(list_distinct(coalesce(p.children, []))) <> list_sort(list_distinct(coalesce(p.p_children, []))) or p.noun is distinct from p.p_noun or p.name is distinct from p.p_name or p.owner_ref0 is distinct from p.p_owner0 or p.owner_ref1 is distinct from p.p_owner1 or nd.n is not null then 'Modified' end as operation
-  from pairs p left join now o on o.dbnum = p.dbnum and o.ref0 = p.owner_ref0 and o.ref1 = p.owner_ref1
+ruled as (
+  select p.*, coalesce(nd.n, 0) as n_attributes, {child_sets} as children_changed,
+    case when p.deleted then 'removed' when p.p_deleted is null or p.p_deleted then 'first'
+      when not (p.owner_ref0 is null or p.owner_ref1 is null or (p.owner_ref0 = 0 and p.owner_ref1 = 0)) and (case when not ({exists}) then coalesce(p.noun <> 'SITE', true) else not list_contains(coalesce(o.children, []), {{'ref0': p.ref0, 'ref1': p.ref1}}) end) then 'lost'
+      when {child_sets} or p.noun is distinct from p.p_noun or p.name is distinct from p.p_name or p.owner_ref0 is distinct from p.p_owner0 or p.owner_ref1 is distinct from p.p_owner1 or nd.n is not null then 'differs' else 'same' end as rule
+  from pairs p left join {owner}
     left join nd on nd.dbnum = p.dbnum and nd.ref0 = p.ref0 and nd.ref1 = p.ref1 and nd.sesno = p.sesno),
-status as (select dbnum, ref0, ref1, sesno, operation, operation = 'Modified' and children_changed as children_changed, case when operation = 'Modified' then n_attributes else 0 end as n_attributes from judged where operation is not null)"""
+own as (
+  select dbnum, ref0, ref1, sesno, case rule when 'first' then 'Add' when 'differs' then 'Modified' else 'Deleted' end as operation, rule = 'differs' and children_changed as children_changed, case when rule = 'differs' then n_attributes else 0 end as n_attributes, sesno as by_sesno, dbnum as by_dbnum, ref0 as by_ref0, ref1 as by_ref1
+  from ruled where rule <> 'same'),
+dropped as (
+  select dbnum, c.ref0 as ref0, c.ref1 as ref1, sesno, ref0 as by_ref0, ref1 as by_ref1 from (select dbnum, sesno, ref0, ref1, unnest(list_filter(p_children, lambda x: not list_contains(coalesce(children, []), x))) as c from ruled where rule in ('differs', 'same') and p_children is not null)
+  where c.ref0 is not null and c.ref1 is not null),
+status as (
+  select dbnum, ref0, ref1, sesno, operation, children_changed, n_attributes from own
+  union all
+  select distinct dbnum, ref0, ref1, sesno, 'Deleted', false, 0 from dropped d where not exists (select 1 from own o where o.dbnum = d.dbnum and o.ref0 = d.ref0 and o.ref1 = d.ref1 and o.sesno = d.sesno))"""
+
+
+STATUS = _status_sql()
+STATUS_THEN = _status_sql("(select k.dbnum, k.k0, k.k1, k.s, v.children, v.deleted from (select distinct dbnum, owner_ref0 as k0, owner_ref1 as k1, sesno as s from standing) k asof join standing v on v.dbnum = k.dbnum and v.ref0 = k.k0 and v.ref1 = k.k1 and k.s >= v.sesno) o on o.dbnum = p.dbnum and o.k0 = p.owner_ref0 and o.k1 = p.owner_ref1 and o.s = p.sesno", "o.dbnum is not null and not o.deleted")
 
 
 @query(f"with {STATUS} select * from status")
@@ -232,6 +253,12 @@ def operation_status(spark, sf):
     return changes.operation_status(table(spark, sf, "element_versions"), table(spark, sf, "attrs_long"))
 
 
+@query(f"with {STATUS_THEN} select * from status")
+def operation_status_then(spark, sf):
+    """The owner as it was in the session of the version."""
+    return changes.operation_status(table(spark, sf, "element_versions"), table(spark, sf, "attrs_long"), "session")
+
+
 @query(f"with {STATUS} select dbnum, sesno, operation, count(*) as n from status where sesno between 5 and {SESSION} group by 1, 2, 3")
 def increments_by_session(spark, sf):
     rows = changes.increments(table(spark, sf, "element_versions"), table(spark, sf, "attrs_long"), first=5, last=SESSION)
@@ -244,14 +271,24 @@ def recent_increments(spark, sf):
     return changes.increments(table(spark, sf, "element_versions"), table(spark, sf, "attrs_long"), recent).select("dbnum", "ref0", "ref1", "sesno", "operation")
 
 
+@query(f"""with {STATUS}, newest as (select dbnum, ref0, ref1, max(sesno) as sesno from standing group by 1, 2, 3),
+  o as (select own.dbnum, own.ref0, own.ref1, own.sesno, operation from own semi join newest using (dbnum, ref0, ref1, sesno) where sesno between 5 and {SESSION}),
+  d as (select distinct d.dbnum, d.ref0, d.ref1, d.sesno, 'Deleted' as operation from dropped d join newest n on n.dbnum = d.dbnum and n.ref0 = d.by_ref0 and n.ref1 = d.by_ref1 and n.sesno = d.sesno where d.sesno between 5 and {SESSION})
+  select * from o union all select * from d anti join o using (dbnum, ref0, ref1, sesno)""")
+def increments_at_newest(spark, sf):
+    """What a range of sessions did, as far as it is the last word on an element."""
+    rows = changes.increments(table(spark, sf, "element_versions"), table(spark, sf, "attrs_long"), first=5, last=SESSION, only_latest=True)
+    return rows.select("dbnum", "ref0", "ref1", "sesno", "operation")
+
+
 @query(f"with {STATUS} select dbnum, ref0, ref1, sesno, operation from (select *, row_number() over (partition by dbnum, ref0, ref1 order by sesno desc) as k from status) where k = 1 and operation <> 'Deleted'")
 def latest_state(spark, sf):
     return changes.latest_state(table(spark, sf, "element_versions"), table(spark, sf, "attrs_long"))
 
 
 @query(f"with {STANDING} select dbnum, ref0, ref1, case when bool_or(k = 1 and deleted) then 'Deleted' when count(*) = 1 then 'Add' else 'Modified' end as operation from ranked group by 1, 2, 3")
-def primary_status(spark, sf):
-    return changes.primary_status(table(spark, sf, "element_versions"))
+def version_status(spark, sf):
+    return changes.version_status(table(spark, sf, "element_versions"))
 
 
 @query(f"""with {STANDING},
@@ -264,8 +301,8 @@ def primary_status(spark, sf):
   select dbnum, ref0, ref1, case when deleted then 'Deleted' when not has_prev then 'Add'
     when not (owner_ref0 is null or owner_ref1 is null or (owner_ref0 = 0 and owner_ref1 = 0)) and case when has_owner then not in_list else noun is distinct from 'SITE' end then 'Deleted'
     when lost then 'Deleted' else 'Modified' end as operation from judged""")
-def primary_status_by_owner(spark, sf):
-    return changes.primary_status_by_owner(table(spark, sf, "element_versions"))
+def primary_status(spark, sf):
+    return changes.primary_status(table(spark, sf, "element_versions"))
 
 
 @query(f"with {STANDING}, {PAIRS}, gone as (select dbnum, sesno, ref0, ref1, unnest(p_children) as c, children from pairs where not deleted and not p_deleted) select distinct dbnum, sesno, ref0, ref1, c.ref0 as child_ref0, c.ref1 as child_ref1 from gone where not list_contains(coalesce(children, []), c)")
