@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from elemlake.operators.change_feed import operation
-from elemlake.operators.lookup import ELEMENT
 
 #: Words of one search.
 MOST_WORDS = 64
@@ -128,5 +127,3 @@ def insert_ignore(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
     """The rows of new whose key is not stored yet, each key once."""
     return new.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
 
-
-ELEMENT_KEYS = ELEMENT

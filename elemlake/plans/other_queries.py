@@ -40,13 +40,12 @@ adds as (
     select *, row_number() over (partition by dbnum, ref0, ref1, sesno order by op_no, details is null, change_id) as n
     from changes where upper(trim(operation_type)) in ('ADD', '新增') and ref0 is not null and ref1 is not null) where n = 1),
 docs as (
-  select ref0 || '_' || ref1 || '_' || sesno as id, ref0 || '_' || ref1 as refno, coalesce(details->>'$.whole_attmap.NAME', ref0 || '_' || ref1) as name, entity_type as element_type, sesno, 'Add' as operation_type, ts as timestamp, dbnum, details
+  select ref0 || '_' || ref1 || '_' || sesno as id, ref0 || '_' || ref1 as refno, coalesce(details->>'$.whole_attmap.NAME', ref0 || '_' || ref1) as name, entity_type as element_type, sesno, 'Add' as operation_type, ts as timestamp, dbnum,
+    array_to_string(list_transform(list_sort(map_entries(cast(details->'$.whole_attmap' as map(varchar, varchar)))), lambda e: concat_ws(' ', e.key, e.value)), ' ') as attributes_text
   from adds)
 """
-_TOKENS = "placed as (select distinct id, t.token from (select d.id, unnest(string_split_regex(lower(concat_ws(' ', d.name, d.element_type, d.refno)), '[^\\p{L}\\p{N}]+')) as token from docs d) t where t.token <> '')"
-
-# The same with keys and values of the attributes.
-_TEXT_TOKENS = "placed as (select distinct id, t.token from (select id, unnest(string_split_regex(lower(concat_ws(' ', name, element_type, refno, array_to_string(flatten(list_transform(map_entries(cast(details->'$.whole_attmap' as map(varchar, varchar))), lambda e: [e.key, e.value])), ' '))), '[^\\p{L}\\p{N}]+')) as token from docs) t where t.token <> '')"
+_WORDS = "array_to_string(list_sort(list_filter(list_distinct(string_split_regex(lower(coalesce(attributes_text, '')), '[^\\p{L}\\p{N}]+')), lambda t: t <> '')), ' ')"
+_TOKENS = "placed as (select distinct id, t.token from (select id, unnest(string_split_regex(lower(concat_ws(' ', name, element_type, refno, attributes_text)), '[^\\p{L}\\p{N}]+')) as token from docs) t where t.token <> '')"
 
 
 def _score(token: str, word: str) -> str:
@@ -56,67 +55,41 @@ def _score(token: str, word: str) -> str:
     return "case " + " ".join(cases) + " end"
 
 
-def _search_sql(words: list[str], where: str = "true", tokens: str = _TOKENS) -> str:
+def _search_sql(words: list[str], where: str = "true") -> str:
     scored = " union all ".join(f"select id, {i} as word, max({_score('token', w)}) as s from placed group by id having max({_score('token', w)}) is not null" for i, w in enumerate(words))
-    return f"with {_DOCS}, {tokens}, per_word as ({scored}), hits as (select id, cast(sum(s) as int) as score from per_word group by id having count(*) = {len(words)}) select id, refno, name, element_type, sesno, score from docs join hits using (id) where {where}"
-
-
-def _slim(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents searched by name, type and refno."""
-    return search.documents(table(spark, sf, "changes")).withColumn("attributes_text", F.lit(None).cast("string"))
+    return f"with {_DOCS}, {_TOKENS}, per_word as ({scored}), hits as (select id, cast(sum(s) as int) as score from per_word group by id having count(*) = {len(words)}) select id, refno, name, element_type, sesno, score from docs join hits using (id) where {where}"
 
 
-@query(f"with {_DOCS} select id, refno, name, element_type, sesno, operation_type, timestamp, dbnum from docs")
+@query(f"with {_DOCS} select id, refno, name, element_type, sesno, operation_type, timestamp, dbnum, {_WORDS} as words from docs")
 def search_documents(spark, sf):
-    return search.documents(table(spark, sf, "changes")).drop("attributes_text")
+    """The words of the attributes stand for their text, whose numbers and brackets are spelled by each engine in its own way."""
+    docs = search.documents(table(spark, sf, "changes"))
+    return docs.select("id", "refno", "name", "element_type", "sesno", "operation_type", "timestamp", "dbnum", F.array_join(F.array_sort(search.tokens_of(F.col("attributes_text"))), " ").alias("words"))
 
 
 @query(_search_sql(["suport", "f"]))
 def search_fuzzy(spark, sf):
-    return search.search(_slim(spark, sf), "suport f").select("id", "refno", "name", "element_type", "sesno", "score")
+    return search.search(search.documents(table(spark, sf, "changes")), "suport f").select("id", "refno", "name", "element_type", "sesno", "score")
 
 
 @query(_search_sql(["pipe"], "element_type = 'PIPE'"))
 def search_by_type(spark, sf):
-    return search.search_by_type(_slim(spark, sf), "PIPE").select("id", "refno", "name", "element_type", "sesno", "score")
+    return search.search_by_type(search.documents(table(spark, sf, "changes")), "PIPE").select("id", "refno", "name", "element_type", "sesno", "score")
 
 
 @query(_search_sql(["cooler"], "sesno between 3 and 30") + " order by sesno desc, id limit 25")
 def search_advanced(spark, sf):
-    return search.search(_slim(spark, sf), "cooler", {"sesno": (3, 30)}, "sesno:desc", 25).select("id", "refno", "name", "element_type", "sesno", "score")
+    return search.search(search.documents(table(spark, sf, "changes")), "cooler", {"sesno": (3, 30)}, "sesno:desc", 25).select("id", "refno", "name", "element_type", "sesno", "score")
 
 
 @query(f"select count(*) as n_hits, max(score) as best_score from ({_search_sql(['north'])})")
 def search_stats(spark, sf):
-    return search.search_stats(_slim(spark, sf), "north")
-
-
-# Searches of every searchable field, attributes_text included; those above keep to name, type and refno, as their SQL does.
-
-
-@query(_search_sql(["suport", "f"], tokens=_TEXT_TOKENS))
-def search_text_fuzzy(spark, sf):
-    return search.search(search.documents(table(spark, sf, "changes")), "suport f").select("id", "refno", "name", "element_type", "sesno", "score")
-
-
-@query(_search_sql(["pipe"], "element_type = 'PIPE'", _TEXT_TOKENS))
-def search_text_by_type(spark, sf):
-    return search.search_by_type(search.documents(table(spark, sf, "changes")), "PIPE").select("id", "refno", "name", "element_type", "sesno", "score")
-
-
-@query(_search_sql(["cooler"], "sesno between 3 and 30", _TEXT_TOKENS) + " order by sesno desc, id limit 25")
-def search_text_advanced(spark, sf):
-    return search.search(search.documents(table(spark, sf, "changes")), "cooler", {"sesno": (3, 30)}, "sesno:desc", 25).select("id", "refno", "name", "element_type", "sesno", "score")
-
-
-@query(f"select count(*) as n_hits, max(score) as best_score from ({_search_sql(['north'], tokens=_TEXT_TOKENS)})")
-def search_text_stats(spark, sf):
     return search.search_stats(search.documents(table(spark, sf, "changes")), "north")
 
 
-@query(f"with {_DOCS} select unnest(['id', 'refno', 'name', 'element_type', 'sesno', 'operation_type', 'timestamp', 'dbnum']) as field, unnest([count(id), count(refno), count(name), count(element_type), count(sesno), count(operation_type), count(timestamp), count(dbnum)]) as n from docs")
+@query(f"with {_DOCS} select unnest(['id', 'refno', 'name', 'element_type', 'sesno', 'operation_type', 'attributes_text', 'timestamp', 'dbnum']) as field, unnest([count(id), count(refno), count(name), count(element_type), count(sesno), count(operation_type), count(*), count(timestamp), count(dbnum)]) as n from docs")
 def search_index_stats(spark, sf):
-    return search.index_stats(search.documents(table(spark, sf, "changes")).drop("attributes_text"))
+    return search.index_stats(search.documents(table(spark, sf, "changes")))
 
 
 # Expressions: (MASS / 2 + SQRT(ABS(ANGL))) and a condition, over the newest version's attributes

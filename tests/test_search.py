@@ -30,7 +30,7 @@ def test_attributes_are_searched(spark, tmp_path):
     spark.createDataFrame(rows, CHANGES).write.parquet(f"{tmp_path}/changes.parquet")
     ask = lambda name: __spark_entry__.queries()[name](spark, str(tmp_path))
     ids = lambda name: {r.id for r in ask(name).collect()}
-    assert tuple(ask("search_text_stats").first()) == (len(begins("north")), 4) and len(begins("north")) == 4
-    assert ids("search_text_advanced") == begins("cooler") == {"1_1_5", "1_9_5"}
-    assert ids("search_text_by_type") == {f"1_{r}_5" for r, kind, _ in ADDED if kind == "PIPE"}
-    assert ids("search_text_fuzzy") == {"1_4_5", "1_6_5"}
+    assert tuple(ask("search_stats").first()) == (len(begins("north")), 4) and len(begins("north")) == 4
+    assert ids("search_advanced") == begins("cooler") == {"1_1_5", "1_9_5"}
+    assert ids("search_by_type") == {f"1_{r}_5" for r, kind, _ in ADDED if kind == "PIPE"}
+    assert ids("search_fuzzy") == {"1_4_5", "1_6_5"}
