@@ -3,18 +3,21 @@
 The attributes are split by how often they change: over all rows, the
 distinct values an element had of an attribute against the sessions that wrote it.
 Each satellite holds a row per element and session in which the hash of its
-attributes differs from the row before (hash-diff); rows are only ever
-appended. End sessions are not stored: a view computes them with lead().
+attributes differs from the row before (hash-diff), with those attributes
+and their values; rows are only ever appended. End sessions are not stored:
+views compute them with lead(). What an element was at any session can be
+read from its satellites alone.
 
 Defined results: rows repeated or differing in kind and tag change nothing;
-unset attributes are absent; numbers are compared as 32-bit reals; of two
-different values of one attribute in one session both count; rows without an
-element or session name no version and take no part; empty tables give no
-rows.
-
-Group sizes: after the first aggregation there is one narrow row per
-element and session, so a window over one element never holds more rows than
-its database has sessions, whatever share of the input rows is its.
+unset attributes are absent; numbers are compared as 32-bit reals, and of
+equal ones the least text is kept; of two different values of one attribute
+in one session both count and are kept; rows without an element or session
+name no version and take no part; empty tables give no rows.
+
+Group sizes: after the first aggregation there is one row per element and
+session, so a window over one element never holds more rows than its database
+has sessions, whatever share of the input rows is its. A view that reads no
+attributes (periods) has none aggregated: the optimizer prunes them.
 """
 
 from __future__ import annotations
@@ -26,6 +29,9 @@ from elemlake.plans.values import BOOKKEEPING, real_text
 
 VERSION = ["dbnum", "ref0", "ref1", "sesno"]
 ELEMENT = ["dbnum", "ref0", "ref1"]
+SATELLITES = ("slow", "fast")
+#: Names of fast attributes that are compared as constants; more are looked up in a table.
+MOST_CONSTANTS = 1024
 
 
 def value_text() -> Column:
@@ -40,12 +46,20 @@ def value_text() -> Column:
     )
 
 
+def value_json() -> Column:
+    """The value itself as JSON text, for keeping; null if the attribute is unset."""
+    return F.expr(
+        "coalesce(cast(v_int as string), cast(v_double as string), cast(v_bool as string), to_json(cast(v_str as variant)),"
+        " to_json(v_doubles), to_json(v_ints), to_json(v_strs), to_json(v_refs))"
+    )
+
+
 def set_attributes(attrs: DataFrame) -> DataFrame:
-    """(VERSION, key, h): the content of the versions, a hash per set attribute."""
+    """(VERSION, key, h, value): the content of the versions, a hash and the value per set attribute."""
     named = attrs.where(" and ".join(f"{c} is not null" for c in VERSION))
     content = ~F.col("key").isin(*BOOKKEEPING) | F.col("key").isNull()
-    value = value_text()
-    return named.where(content).select(*VERSION, "key", F.when(value.isNotNull(), F.xxhash64("key", value)).alias("h"), value.alias("value"))
+    text = value_text()
+    return named.where(content).select(*VERSION, "key", F.when(text.isNotNull(), F.xxhash64("key", text)).alias("h"), value_json().alias("value"))
 
 
 def change_rates(attrs: DataFrame) -> DataFrame:
@@ -59,51 +73,89 @@ def change_rates(attrs: DataFrame) -> DataFrame:
     return seen.select("key", (F.greatest(F.col("values") - F.col("elements"), F.lit(0)) / F.col("writes")).alias("rate"))
 
 
-def fast_attributes(attrs: DataFrame, rate: float = 0.1, most: int = 1024) -> list[str]:
-    """Names of the fast satellite's attributes. Only storage depends on the split, so the list is held to the `most` fastest."""
-    return [r["key"] for r in change_rates(attrs).where((F.col("rate") >= rate) & F.col("key").isNotNull()).orderBy(F.desc("rate"), "key").limit(most).collect()]
-
-
-def version_rows(attrs: DataFrame, versions: DataFrame, fast: list[str]) -> DataFrame:
-    """(VERSION, removed, slow, fast): one row per element and session, each satellite's attributes as one hash."""
-    in_fast = F.col("key").isin(fast) if fast else F.lit(False)
-    rows = set_attributes(attrs)
-    # Sets of hashes are combined before the shuffle, so repeated rows don't travel.
-    content = rows.groupBy(*VERSION).agg(
-        F.collect_set(F.when(~in_fast | F.col("key").isNull(), F.col("h"))).alias("slow"),
-        F.collect_set(F.when(in_fast, F.col("h"))).alias("fast"),
-    ).select(*VERSION, F.lit(False).alias("removed"), F.xxhash64(F.array_sort("slow")).alias("slow"), F.xxhash64(F.array_sort("fast")).alias("fast"))
-    none = F.xxhash64(F.array().cast("array<bigint>"))
-    standing = (
-        versions.where(" and ".join(f"{c} is not null" for c in VERSION))
-        .groupBy(*VERSION)
-        .agg(F.max(F.struct("byte_offset", "deleted")).alias("v"))
-        .select(*VERSION, F.coalesce("v.deleted", F.lit(False)).alias("removed"), F.lit(None).cast("bigint").alias("slow"), F.lit(None).cast("bigint").alias("fast"))
-    )
+def fast_attributes(attrs: DataFrame, rate: float = 0.1) -> DataFrame:
+    """(key) of the fast satellite's attributes, whose rate is at least the given one."""
+    return change_rates(attrs).where((F.col("rate") >= rate) & F.col("key").isNotNull()).select("key")
+
+
+def _with_speed(rows: DataFrame, fast: DataFrame | list[str]) -> DataFrame:
+    """rows with ``is_fast``. A few names become constants of the plan, so that rows need not move; more are joined."""
+    if isinstance(fast, DataFrame):
+        few = [r["key"] for r in fast.limit(MOST_CONSTANTS + 1).collect()]
+        if len(few) > MOST_CONSTANTS:
+            return rows.join(fast.distinct().withColumn("is_fast", F.lit(True)), "key", "left").withColumn("is_fast", F.coalesce("is_fast", F.lit(False)))
+        fast = sorted(few)
+    return rows.withColumn("is_fast", F.coalesce(F.col("key").isin(fast), F.lit(False)) if fast else F.lit(False))
+
+
+def version_rows(attrs: DataFrame, versions: DataFrame, fast: DataFrame | list[str]) -> DataFrame:
+    """One row per element and session: (VERSION, removed, slow, fast, slow_attributes, fast_attributes), each satellite's attributes with one hash.
+
+    Attribute rows and versions meet in one aggregation: attrs_long is read and shuffled once.
+    """
+    rows = _with_speed(set_attributes(attrs), fast)
     # A version without attribute rows is an element with an empty map.
-    both = content.unionByName(standing).groupBy(*VERSION).agg(F.max("removed").alias("removed"), F.max("slow").alias("slow"), F.max("fast").alias("fast"))
-    return both.select(*VERSION, "removed", *[F.when(~F.col("removed"), F.coalesce(c, none)).alias(c) for c in ("slow", "fast")])
+    both = rows.unionByName(
+        versions.where(" and ".join(f"{c} is not null" for c in VERSION)).select(*VERSION, F.struct("byte_offset", F.coalesce("deleted", F.lit(False)).alias("deleted")).alias("state")),
+        allowMissingColumns=True,
+    )
+    mine = {"slow": ~F.col("is_fast"), "fast": F.col("is_fast")}
+    # Sets are combined before the shuffle, so repeated rows don't travel.
+    seen = both.groupBy(*VERSION).agg(
+        F.max("state").alias("state"),
+        *[F.collect_set(F.when(own, F.col("h"))).alias(f"{name}_set") for name, own in mine.items()],
+        *[F.collect_set(F.when(own & F.col("h").isNotNull(), F.struct("key", "h", "value"))).alias(f"{name}_rows") for name, own in mine.items()],
+    )
+    removed = F.coalesce("state.deleted", F.lit(False))
+
+    def kept(name: str) -> Column:
+        """One value for each content."""
+        return F.expr(f"transform(filter(array_sort({name}_rows), (x, i) -> i = 0 or get(array_sort({name}_rows), i - 1).h != x.h), x -> struct(x.key, x.value))")
+
+    columns = [F.when(~removed, F.xxhash64(F.array_sort(f"{name}_set"))).alias(name) for name in SATELLITES]
+    columns += [F.when(~removed, kept(name)).alias(f"{name}_attributes") for name in SATELLITES]
+    return seen.select(*VERSION, removed.alias("removed"), *columns)
 
 
-def satellite(rows: DataFrame, name: str) -> DataFrame:
-    """The rows of one satellite: (VERSION, satellite, hash, removed), appended where the hash or existence differs from the row before."""
+def _chosen(column: str) -> Column:
+    return F.when(F.col("satellite") == "slow", F.col(f"slow{column}")).otherwise(F.col(f"fast{column}"))
+
+
+def changed_rows(rows: DataFrame, known: Column | None = None) -> DataFrame:
+    """The satellites' rows of versions: (VERSION, satellite, hash, removed, attributes), where hash or existence differs from the version before.
+
+    known is what stood before an element's first row: a map of satellite to (hash, removed).
+    """
     order = Window.partitionBy(*ELEMENT).orderBy("sesno")
-    before = F.lag(F.struct(F.col(name).alias("h"), "removed")).over(order)
-    now = F.struct(F.col(name).alias("h"), F.col("removed"))
-    return rows.withColumn("before", before).where(~now.eqNullSafe(F.col("before"))).select(*VERSION, F.lit(name).alias("satellite"), F.col(name).alias("hash"), "removed")
+
+    def differs(name: str) -> Column:
+        now = F.struct(F.col(name).alias("hash"), F.col("removed"))
+        before = F.lag(now).over(order)
+        return ~now.eqNullSafe(before if known is None else F.coalesce(before, known[name]))
+
+    names = F.array_compact(F.array(*[F.when(F.col(f"_{name}"), F.lit(name)) for name in SATELLITES]))
+    marked = rows.withColumns({f"_{name}": differs(name) for name in SATELLITES})
+    return marked.withColumn("satellite", F.explode(names)).select(*VERSION, "satellite", _chosen("").alias("hash"), "removed", _chosen("_attributes").alias("attributes"))
 
 
 def satellites(attrs: DataFrame, versions: DataFrame, rate: float = 0.1) -> DataFrame:
     """Both satellites' rows."""
-    rows = version_rows(attrs, versions, fast_attributes(attrs, rate))
-    return satellite(rows, "slow").unionByName(satellite(rows, "fast"))
+    return changed_rows(version_rows(attrs, versions, fast_attributes(attrs, rate)))
+
+
+def append_satellites(stored: DataFrame, new_rows: DataFrame) -> DataFrame:
+    """The rows that sessions after the stored ones add. new_rows comes from version_rows(); stored stays as it is."""
+    newest = stored.groupBy(*ELEMENT, "satellite").agg(F.max(F.struct("sesno", "hash", "removed")).alias("last"))
+    last = newest.groupBy(*ELEMENT).agg(F.map_from_entries(F.collect_list(F.struct("satellite", F.struct("last.hash", "last.removed")))).alias("known"), F.max("last.sesno").alias("upto"))
+    fresh = new_rows.join(last, ELEMENT, "left").where("upto is null or sesno > upto")
+    return changed_rows(fresh, F.col("known"))
 
 
 def satellite_periods(appended: DataFrame) -> DataFrame:
-    """The view with ends: (ELEMENT, satellite, hash, from_sesno, to_sesno), to_sesno 0 if it still holds."""
+    """The view with ends: (ELEMENT, satellite, hash, from_sesno, to_sesno, attributes), to_sesno 0 if it still holds."""
     order = Window.partitionBy(*ELEMENT, "satellite").orderBy("sesno")
     ended = appended.withColumn("to_sesno", F.coalesce(F.lead("sesno").over(order), F.lit(0)))
-    return ended.where(~F.col("removed")).select(*ELEMENT, "satellite", "hash", F.col("sesno").alias("from_sesno"), "to_sesno")
+    return ended.where(~F.col("removed")).select(*ELEMENT, "satellite", "hash", F.col("sesno").alias("from_sesno"), "to_sesno", "attributes")
 
 
 def element_periods(appended: DataFrame) -> DataFrame:
@@ -114,12 +166,7 @@ def element_periods(appended: DataFrame) -> DataFrame:
     return ended.where(~F.col("removed")).select(*ELEMENT, F.col("sesno").alias("from_sesno"), "to_sesno")
 
 
-def append_satellites(stored: DataFrame, new_rows: DataFrame) -> DataFrame:
-    """The rows that sessions after the stored ones add. new_rows comes from version_rows(); stored stays as it is."""
-    newest = stored.groupBy(*ELEMENT, "satellite").agg(F.max(F.struct("sesno", "hash", "removed")).alias("last"))
-    fresh = new_rows.select(*VERSION, "removed", F.explode(F.create_map(F.lit("slow"), F.col("slow"), F.lit("fast"), F.col("fast"))).alias("satellite", "hash"))
-    order = Window.partitionBy(*ELEMENT, "satellite").orderBy("sesno")
-    known = fresh.join(newest, [*ELEMENT, "satellite"], "left").where("last is null or sesno > last.sesno")
-    before = F.coalesce(F.lag(F.struct("hash", "removed")).over(order), F.struct("last.hash", "last.removed"))
-    now = F.struct("hash", "removed")
-    return known.withColumn("before", before).where(~now.eqNullSafe(F.col("before"))).select(*VERSION, "satellite", "hash", "removed")
+def attributes_as_of(appended: DataFrame, sesno: int) -> DataFrame:
+    """(ELEMENT, key, value, since): the attributes that elements had after a session, from the satellites alone; since is the satellite row's session."""
+    last = appended.where(F.col("sesno") <= sesno).groupBy(*ELEMENT, "satellite").agg(F.max_by(F.struct("sesno", "removed", "attributes"), "sesno").alias("x"))
+    return last.where("not x.removed").select(*ELEMENT, F.col("x.sesno").alias("since"), F.explode("x.attributes").alias("a")).select(*ELEMENT, "a.key", "a.value", "since")

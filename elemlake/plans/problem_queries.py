@@ -11,7 +11,7 @@ from elemlake.operators.attribute_pivot import unfilled_cells, wide_table
 from elemlake.operators.change_feed import current_attributes
 from elemlake.operators.hierarchy import element_hierarchy
 from elemlake.operators.references import orphan_references, orphan_report
-from elemlake.operators.satellites import element_periods, satellite_periods, satellites
+from elemlake.operators.satellites import attributes_as_of, element_periods, satellite_periods, satellites
 from elemlake.operators.snapshot_diff import snapshot_changes
 from elemlake.tables import table
 
@@ -43,6 +43,14 @@ def p3_satellites(spark: SparkSession, sf: str) -> DataFrame:
     return satellite_periods(stored).groupBy("dbnum", "satellite").agg(F.count(F.lit(1)).alias("n_periods"), F.count_if(F.col("to_sesno") == 0).alias("n_open"))
 
 
+def p3_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Every attribute of every element after session 20, read from the satellites; numbers as the 32-bit reals they are compared by, booleans and texts as they are."""
+    rows = attributes_as_of(satellites(table(spark, sf, "attrs_long"), table(spark, sf, "element_versions")), 20)
+    real = F.col("value").try_cast("double").cast("float").cast("double")
+    text = F.when(F.col("value").startswith('"'), F.variant_get(F.try_parse_json("value"), "$", "string")).when(F.col("value").isin("true", "false"), F.col("value"))
+    return rows.select("dbnum", "ref0", "ref1", "key", real.alias("number"), text.alias("text"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return current_attributes(table(spark, sf, "changes")).select("ref0", "ref1", "attr", "sesno", "op_no")
 
@@ -69,7 +77,7 @@ def p6_descendants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_wide, p2_found, p2_summary, p3_found, p3_satellites, p4_found, p5_found, p5_report, p6_found, p6_paths, p6_descendants)
+    f.__name__: f for f in (p1_found, p1_wide, p2_found, p2_summary, p3_found, p3_satellites, p3_as_of, p4_found, p5_found, p5_report, p6_found, p6_paths, p6_descendants)
 }
 
 _P1_LINES = r"""
@@ -166,6 +174,16 @@ periods as (select *, coalesce(lead(sesno) over (partition by dbnum, ref0, ref1
 select distinct ref0, ref1, sesno as from_sesno, to_sesno from periods where not gone
 """
 
+_P3_AS_OF = """
+with standing as (select dbnum, ref0, ref1, sesno, max((byte_offset, deleted)) as v from element_versions group by 1, 2, 3, 4),
+points as (select dbnum, ref0, ref1, sesno from standing union select dbnum, ref0, ref1, sesno from attrs_long),
+last as (select dbnum, ref0, ref1, max(sesno) as sesno from points where sesno <= 20 group by 1, 2, 3),
+live as (select l.* from last l left join standing s using (dbnum, ref0, ref1, sesno) where not coalesce(s.v[2], false))
+select distinct dbnum, ref0, ref1, key, cast(cast(coalesce(v_int, v_double) as float) as double) as number, case when v_int is null and v_double is null then coalesce(v_bool::varchar, v_str) end as text
+from attrs_long join live using (dbnum, ref0, ref1, sesno)
+where key not in ('PGNO', 'SESNO') and not (v_int is null and v_double is null and v_bool is null and v_str is null and v_doubles is null and v_refs is null)
+"""
+
 _P4 = """
 with ops as (
   select ref0, ref1, sesno, op_no, min(case upper(trim(operation_type)) when '新增' then 'a' when 'ADD' then 'a' when '修改' then 'm' when 'MODIFIED' then 'm' when '删除' then 'd' when 'DELETED' then 'd' else 'n' end) as kind,
@@ -232,6 +250,7 @@ ORACLES: dict[str, str] = {
     "p2_found": _P2 + "select dbnum, ses_no, ref0, ref1, diff_type, attr from found",
     "p2_summary": _P2 + "select dbnum, ses_no, diff_type, count(distinct (ref0, ref1)) as n_elements, count(*) as n_rows from found group by 1, 2, 3",
     "p3_found": _P3,
+    "p3_as_of": _P3_AS_OF,
     "p4_found": _P4,
     "p5_found": _P5 + "select * from found",
     "p5_report": _P5 + "select ref_field, dbnum, sesno, miss_kind, count(*) as n_references, count(distinct (target_ref0, target_ref1)) as n_targets from found group by 1, 2, 3, 4",

@@ -13,7 +13,7 @@ from elemlake.operators.attribute_pivot import unfilled_cells, wide_columns, wid
 from elemlake.operators.change_feed import current_attributes
 from elemlake.operators.hierarchy import element_hierarchy, hierarchy
 from elemlake.operators.references import contiguous_runs, orphan_references
-from elemlake.operators.satellites import append_satellites, element_periods, satellites, version_rows
+from elemlake.operators.satellites import append_satellites, attributes_as_of, changed_rows, element_periods, satellites, version_rows
 from elemlake.operators.snapshot_diff import snapshot_changes
 from elemlake.plans.skew import block_of, carry_forward, cut_points, row_numbers, sums_before
 
@@ -111,12 +111,14 @@ def test_periods(spark):
     # Built in two deliveries, the satellites are the same as at once.
     early = lambda d: d.where("sesno <= 3")
     whole = version_rows(a, v, ["A"])
-    from elemlake.operators.satellites import satellite
-
-    stored = satellite(early(whole), "slow").unionByName(satellite(early(whole), "fast"))
+    stored = changed_rows(early(whole))
     more = append_satellites(stored, whole)
-    at_once = satellite(whole, "slow").unionByName(satellite(whole, "fast"))
-    assert rows(stored.unionByName(more.select(*stored.columns))) == rows(at_once)
+    assert rows(stored.unionByName(more)) == rows(changed_rows(whole)) and more.count()
+    # The satellites tell the values of any session, whichever attributes are the fast ones.
+    for fast in ([], ["A"], ["A", "B", "L"], spark.createDataFrame([("A",), ("A",)], "key string")):
+        built = changed_rows(version_rows(a, v, fast))
+        for ses, known in {0: [], 1: [(1, "A", "1"), (2, None, "true")], 2: [(1, "A", "1"), (2, None, "true")], 5: [(2, None, "true")], 7: [(1, "A", '"1"'), (1, "L", "[1.0,null]"), (2, None, "true")], 8: [(2, None, "true")]}.items():
+            assert rows(attributes_as_of(built, ses).select("ref1", "key", "value")) == sorted(known, key=repr)
     assert element_periods(satellites(spark.createDataFrame([], ATTRS), spark.createDataFrame([], VERSIONS))).count() == 0
 
 
