@@ -39,13 +39,16 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return out
 
 
-def bucketed(df: DataFrame, name: str, keys: list[str], partition_by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
-    """df, written hash-bucketed and sorted by keys. Joins and aggregations on exactly these keys need no exchange."""
+def bucketed(df: DataFrame, name: str, keys: list[str], partition_by: list[str] | None = None, buckets: int | None = None, placed: bool = False) -> DataFrame:
+    """df, written hash-bucketed and sorted by keys. Joins and aggregations on exactly these keys need no exchange.
+
+    placed says that df comes from tables of the same buckets without an exchange, so that each task holds the rows of one bucket already.
+    """
     spark = df.sparkSession
     path = _new_path(spark, name)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # One task per bucket writes one file per partition value, instead of one per task and bucket.
-    writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+    writer = (df if placed else df.repartition(buckets, *keys)).write.bucketBy(buckets, *keys).sortBy(*keys)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     table = _table_name(path)

@@ -14,7 +14,7 @@ from elemlake.operators.change_feed import current_attributes
 from elemlake.operators.hierarchy import element_hierarchy, hierarchy
 from elemlake.operators.references import contiguous_runs, orphan_references
 from elemlake.operators.satellites import append_satellites, attributes_as_of, changed_rows, element_periods, satellites, version_rows
-from elemlake.operators.snapshot_diff import snapshot_changes
+from elemlake.operators.snapshot_diff import apply_snapshot, snapshot_changes
 from elemlake.plans.skew import block_of, carry_forward, cut_points, row_numbers, sums_before
 
 LINES = "source string, elem_no int, kind string, name string, attr_no int, key string, value string"
@@ -87,6 +87,16 @@ def test_snapshots(spark):
         found = snapshot_changes(clashing(spark.createDataFrame(data * 2, SNAPSHOTS)), buckets=3, steps_per_plan=steps)
         assert rows(found.select("dbnum", "ses_no", "ref0", "ref1", "diff_type", "attr")) == sorted(want, key=repr)
     assert snapshot_changes(spark.createDataFrame([], SNAPSHOTS), buckets=2).count() == 0
+    # Delivery by delivery the changes are the same; databases need not be delivered together.
+    index, found = None, []
+    late = [(3, 8, 1, 1, "A", "{}", day(1)), (3, 9, 1, 1, "A", '{"Q":1}', day(1)), (3, 9, 1, 2, "A", "{}", day(1))]
+    for lot in ([(1, 1), (2, 3)], [(1, 5), (3, 8)], [(3, 9)], [(1, 9)]):
+        delivery = [x for x in [*data, *late] if x[:2] in lot]
+        changes, index = apply_snapshot(index, clashing(spark.createDataFrame(delivery * 2, SNAPSHOTS)), buckets=3)
+        found += rows(changes.select("dbnum", "ses_no", "ref0", "ref1", "diff_type", "attr"))
+    assert sorted(found, key=repr) == sorted([*want, (3, 9, 1, 1, "changed", "Q"), (3, 9, 1, 2, "added", "")], key=repr)
+    # Values are kept only for records that were new or changed: 3 + 1 + 1, then 2 of database 1, two of 3, and 2 again.
+    assert [t.where("entries is not null").count() for t in index.tables] == [4, 3, 2, 2]
 
 
 # 3
