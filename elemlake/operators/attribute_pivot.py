@@ -2,13 +2,18 @@
 
 Lines (entity, kind, key, value) are read as the type their kind's layout
 gives them and reduced to one cell per entity and attribute with a map-side
-combine. The cells are written once, hash-bucketed by entity; every block of
-attributes is pivoted over that bucketing and the blocks are joined on the
-entity, so neither the pivots nor the joins shuffle.
+combine. Attributes are divided into blocks. The cells are written once,
+a partition per block, each hash-bucketed by entity in the same way; every
+block is pivoted from its own partition and the blocks are joined on the
+entity, so neither the pivots nor the joins shuffle and every cell is read
+once. Of many blocks a lot at a time is joined and written in the same buckets, so no plan
+grows with the number of attributes.
 
 Defined results: null, empty and ``unset`` values say nothing; a line whose
 type cannot be read and a cell with two different values give a null column
-and put the attribute's name into ``unfilled``; keys the layout does not
+and put the attribute's name into ``unfilled``; an integer beyond 64 bits is
+read, and compared digit by digit, but has no place in its column: the
+attribute is named in ``beyond``; keys the layout does not
 list are counted in ``n_unlisted``; repeated lines change nothing; an entity
 with null in its key is an entity of its own; an empty table gives an empty
 table with all columns.
@@ -21,10 +26,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from elemlake.plans.workspace import bucketed
+from elemlake.plans.workspace import bucketed, release
 
 #: Two readings of a number are the same within this.
 TOLERANCE = 0.002
+#: Rows of a layout up to which it is broadcast; a larger one is joined as any table.
+MOST_BROADCAST = 200_000
+#: The block of the rows that only name an entity.
+SPINE = -1
 
 # Units and what one is in the base unit; patterns of the value types.
 UNITS = {"mm": 1.0, "cm": 10.0, "m": 1000.0, "degc": 1.0, "pascal": 1.0, "kpa": 1000.0, "kg": 1.0}
@@ -49,13 +58,10 @@ _STORED = {"Integer": "integer", "Real": "number", "Boolean": "boolean", "Positi
 _SQL = {"integer": "bigint", "number": "double", "boolean": "boolean", "position": "array<double>", "text": "string"}
 
 
-def wide_columns(layout: DataFrame, most: int = 100_000) -> list[WideColumn]:
-    """One column per attribute, or per attribute and stored type where nouns disagree. The layout is schema, not data; its size is checked."""
-    rows = layout.select("attr", "attr_type").where("attr is not null").distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"the layout lists more than {most} attributes")
+def wide_columns(layout: DataFrame) -> list[WideColumn]:
+    """One column per attribute, or per attribute and stored type where nouns disagree. Names and types are schema, which the driver must know."""
     kinds: dict[str, set[str]] = {}
-    for r in rows:
+    for r in layout.select("attr", "attr_type").where("attr is not null").distinct().collect():
         kinds.setdefault(r["attr"], set()).add(_STORED.get(r["attr_type"], "text"))
     out = []
     for attr in sorted(kinds):
@@ -64,6 +70,11 @@ def wide_columns(layout: DataFrame, most: int = 100_000) -> list[WideColumn]:
     return out
 
 
+def _small(layout: DataFrame) -> DataFrame:
+    """The layout, broadcast if its checked size allows."""
+    return F.broadcast(layout) if layout.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else layout
+
+
 def _unit(unit: Column) -> Column:
     factor = F.lit(1.0)
     for name, by in UNITS.items():
@@ -83,7 +94,7 @@ def read_cells(lines: DataFrame, layout: DataFrame) -> DataFrame:
         value.alias("v"),
     )
     known = layout.where("noun is not null and attr is not null").select("noun", "attr", "attr_type").distinct()
-    rows = rows.join(F.broadcast(known), ["noun", "attr"])  # wide_columns() checks the layout's size
+    rows = rows.join(_small(known), ["noun", "attr"])
 
     kind, v = F.col("attr_type"), F.col("v")
 
@@ -105,79 +116,121 @@ def read_cells(lines: DataFrame, layout: DataFrame) -> DataFrame:
 
     lower = F.lower(v)
     boolean = F.when(F.lit("true").startswith(lower), F.lit(1.0)).when(F.lit("false").startswith(lower), F.lit(0.0))
-    x = (
-        F.when(kind == "Integer", F.when(v.rlike(INTEGER_PATTERN), v.cast("double")))
-        .when(kind == "Real", length("r", 0))
-        .when(kind == "Boolean", boolean)
-        .when(kind == "Position", F.when(position_ok, on("x")))
-    )
+    x = F.when(kind == "Real", length("r", 0)).when(kind == "Boolean", boolean).when(kind == "Position", F.when(position_ok, on("x")))
     y, z = (F.when(position_ok, on(c)) for c in "yz")
     text = F.when(kind == "Reference", F.when(v.rlike(REFERENCE_PATTERN), v)).when(
         kind.isin("Text", "Enum") | ~kind.isin(*_STORED),
         F.when(v.rlike("(?s)^'.*'$") & (F.length(v) > 1), F.expr("substring(v, 2, length(v) - 2)")).otherwise(v),
     )
-    whole = F.when(kind == "Integer", F.when(v.rlike(INTEGER_PATTERN), F.expr("try_cast(v as bigint)")))
-    rows = rows.select("entity", "attr", "attr_type", x.alias("x"), y.alias("y"), z.alias("z"), text.alias("t"), whole.alias("w"))
-    read = F.coalesce(F.col("x").isNotNull() | F.col("t").isNotNull(), F.lit(False))
-
+    # Integers of any length are compared by their digits.
+    digits = F.regexp_replace(v, r"^\+?(-?)0*(?=[0-9])", "$1")
+    digits = F.when((kind == "Integer") & v.rlike(INTEGER_PATTERN), F.when(digits == "-0", "0").otherwise(digits))
+    rows = rows.select("entity", "attr", "attr_type", x.alias("x"), y.alias("y"), z.alias("z"), F.coalesce(text, digits).alias("t"), digits.try_cast("bigint").alias("w"))
+    read = F.col("x").isNotNull() | F.col("t").isNotNull()
+
+    # Texts and types are told apart by hashes, so that a plan without text columns aggregates numbers only.
+    rows = rows.withColumns({"ht": F.when(F.col("t").isNotNull(), F.xxhash64("t")), "hk": F.xxhash64("attr_type")})
     cells = rows.groupBy("entity", "attr").agg(
         F.max(~read).alias("unread"),
-        *[f(c).alias(f"{f.__name__}_{c}") for c in ("x", "y", "z", "t", "attr_type") for f in (F.min, F.max)],
-        F.min("w").alias("w"),
+        *[f(c).alias(f"{f.__name__}_{c}") for c in ("x", "y", "z", "ht", "hk") for f in (F.min, F.max)],
+        F.min("w").alias("w"), F.min("t").alias("t"), F.min("attr_type").alias("attr_type"), F.max(digits_beyond()).alias("beyond"),
     )
     apart = F.lit(False)
     for c in "xyz":
         apart = apart | F.coalesce(F.col(f"max_{c}") - F.col(f"min_{c}") > TOLERANCE + 1e-9, F.lit(False))
-    for c in ("t", "attr_type"):
+    for c in ("ht", "hk"):
         apart = apart | F.coalesce(F.col(f"max_{c}") != F.col(f"min_{c}"), F.lit(False))
-    return cells.select("entity", "attr", (F.col("unread") | apart).alias("bad"), F.col("min_x").alias("x"), F.col("min_y").alias("y"), F.col("min_z").alias("z"), F.col("min_t").alias("t"), "w", F.col("min_attr_type").alias("attr_type"))
+    bad = F.col("unread") | apart
+    return cells.select("entity", "attr", bad.alias("bad"), F.col("min_x").alias("x"), F.col("min_y").alias("y"), F.col("min_z").alias("z"), "t", "w", "attr_type", (F.col("beyond") & ~bad).alias("beyond"))
+
+
+def digits_beyond() -> Column:
+    """Whether a line holds an integer that 64 bits cannot."""
+    return (F.col("attr_type") == "Integer") & F.col("t").isNotNull() & F.col("w").isNull()
+
 
+def _block(store: DataFrame, number: int, columns: list[WideColumn]) -> DataFrame:
+    """One block of attributes, pivoted: (entity, a column each, names of cells that are not filled or not held)."""
+    aggregates = [F.array_compact(F.collect_set(F.when(F.col(mark), F.col("attr")))).alias(f"_{name}_{number}") for mark, name in (("bad", "unfilled"), ("beyond", "beyond"))]
+    for c in columns:
+        types = [t for t, k in _STORED.items() if k == c.kind]
+        typed = F.col("attr_type").isin(types) | (F.lit(c.kind == "text") & ~F.col("attr_type").isin(*_STORED))
+        mine = (F.col("attr") == c.attr) & ~F.col("bad") & typed
+        if c.kind == "position":
+            value = F.when(F.max(F.when(mine, F.col("x"))).isNotNull(), F.array(*[F.max(F.when(mine, F.col(k))) for k in "xyz"]))
+        elif c.kind == "boolean":
+            value = F.max(F.when(mine, F.col("x"))) == 1.0
+        else:
+            value = F.max(F.when(mine, F.col({"integer": "w", "number": "x", "text": "t"}[c.kind])))
+        aggregates.append(value.cast(_SQL[c.kind]).alias(c.name))
+    return store.where(F.col("block") == number).groupBy("entity").agg(*aggregates)
 
-def wide_table(lines: DataFrame, layout: DataFrame, block_size: int = 32, buckets: int | None = None) -> DataFrame:
-    """One row per (source, elem_no): a typed column per attribute, ``unfilled`` and ``n_unlisted``.
+
+def wide_table(lines: DataFrame, layout: DataFrame, block_size: int = 32, buckets: int | None = None, blocks_per_plan: int = 8) -> DataFrame:
+    """One row per (source, elem_no): a typed column per attribute, ``unfilled``, ``beyond`` and ``n_unlisted``.
 
     block_size attributes are pivoted together, which bounds the aggregation
     buffer of one pass however many attributes there are.
     """
+    spark = lines.sparkSession
     columns = wide_columns(layout)
+    attrs = sorted({c.attr for c in columns})
+    number = {attr: i // block_size for i, attr in enumerate(attrs)}
+    blocks: list[list[WideColumn]] = [[] for _ in range(-(-len(attrs) // block_size))]
+    for c in columns:
+        blocks[number[c.attr]].append(c)
+    numbers = spark.createDataFrame(list(number.items()), "attr string, block int")
     listed = layout.where("noun is not null and attr is not null").select("noun", "attr").distinct().withColumn("listed", F.lit(True))
     spine = (
         lines.select(F.struct("source", "elem_no").alias("entity"), F.upper(F.substring(F.trim("kind"), 1, 4)).alias("noun"), F.upper(F.trim("key")).alias("attr"))
         .groupBy("entity", "noun", "attr").count()
-        .join(F.broadcast(listed), ["noun", "attr"], "left")
+        .join(_small(listed), ["noun", "attr"], "left")
         .groupBy("entity")
         .agg(F.count_if(F.col("listed").isNull() & F.col("attr").isNotNull()).cast("int").alias("n_unlisted"))
     )
-    cells = read_cells(lines, layout)
+    cells = read_cells(lines, layout).join(_small(numbers), "attr")
     store = bucketed(
-        cells.unionByName(spine.select("entity", F.lit(None).cast("string").alias("attr"), "n_unlisted"), allowMissingColumns=True),
-        "cells", ["entity"], buckets=buckets,
+        cells.unionByName(spine.select("entity", F.lit(SPINE).alias("block"), "n_unlisted"), allowMissingColumns=True),
+        "cells", ["entity"], partition_by=["block"], buckets=buckets,
     )
-    out = store.where("attr is null").select("entity", "n_unlisted")
-    parts = []
-    for at in range(0, len(columns), block_size):
-        block = columns[at : at + block_size]
-        attrs = sorted({c.attr for c in block})
-        part = f"_unfilled_{at}"
-        parts.append(part)
-        # An attribute of two stored types may lie in two blocks; its first column carries the mark.
-        first = [c.attr for c in block if next(x for x in columns if x.attr == c.attr) == c]
-        aggregates = [F.array_compact(F.collect_set(F.when(F.col("bad") & F.col("attr").isin(first), F.col("attr")))).alias(part)]
-        for c in block:
-            types = [t for t, k in _STORED.items() if k == c.kind]
-            mine = (F.col("attr") == c.attr) & ~F.col("bad") & F.col("attr_type").isin(types)
-            if c.kind == "position":
-                value = F.when(F.max(F.when(mine, F.col("x"))).isNotNull(), F.array(*[F.max(F.when(mine, F.col(k))) for k in "xyz"]))
-            elif c.kind == "boolean":
-                value = F.max(F.when(mine, F.col("x"))) == 1.0
-            else:
-                value = F.max(F.when(mine, F.col({"integer": "w", "number": "x", "text": "t"}[c.kind])))
-            aggregates.append(value.cast(_SQL[c.kind]).alias(c.name))
-        out = out.join(store.where(F.col("attr").isin(attrs)).groupBy("entity").agg(*aggregates), "entity", "left")
-    unfilled = F.array_sort(F.concat(*[F.coalesce(F.col(p), F.array().cast("array<string>")) for p in parts])) if parts else F.array().cast("array<string>")
-    return out.select("entity.source", "entity.elem_no", *[c.name for c in columns], unfilled.alias("unfilled"), "n_unlisted")
+    parts = [_block(store, k, block) for k, block in enumerate(blocks)]
+    while len(parts) > blocks_per_plan:
+        lots = [parts[i : i + blocks_per_plan] for i in range(0, len(parts), blocks_per_plan)]
+        joined = [_joined(lot, "full") for lot in lots]
+        made = [bucketed(part, "cell-blocks", ["entity"], buckets=buckets, placed=True) for part in joined]
+        for part in parts:
+            release(part)
+        parts = made
+    out = _joined([store.where(F.col("block") == SPINE).select("entity", "n_unlisted"), *parts], "left")
+
+    def names(kind: str) -> Column:
+        found = [F.coalesce(F.col(f"_{kind}_{k}"), F.array().cast("array<string>")) for k in range(len(blocks))]
+        return (F.array_sort(F.concat(*found)) if found else F.array().cast("array<string>")).alias(kind)
+
+    return out.select("entity.source", "entity.elem_no", *[c.name for c in columns], names("unfilled"), names("beyond"), "n_unlisted")
+
+
+def _joined(parts: list[DataFrame], how: str) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, "entity", how)
+    return out
 
 
 def unfilled_cells(lines: DataFrame, layout: DataFrame, **options) -> DataFrame:
     """(source, elem_no, key) of the cells of the wide table that could not be filled although lines name them."""
     return wide_table(lines, layout, **options).select("source", "elem_no", F.explode("unfilled").alias("key"))
+
+
+def long_form(wide: DataFrame) -> DataFrame:
+    """The filled cells of a wide table, a row each: (source, elem_no, column, number, text); positions and booleans as text."""
+    parts = []
+    for f in wide.schema:
+        if f.name in ("source", "elem_no", "unfilled", "beyond", "n_unlisted"):
+            continue
+        kind = f.dataType.simpleString()
+        number = F.col(f"`{f.name}`").cast("double") if kind in ("bigint", "double") else F.lit(None).cast("double")
+        text = F.lit(None).cast("string") if kind in ("bigint", "double") else F.array_join(F.transform(f"`{f.name}`", lambda x: F.round(x, 3).cast("string")), " ") if kind.startswith("array") else F.col(f"`{f.name}`").cast("string")
+        parts.append(F.struct(F.lit(f.name).alias("column"), number.alias("number"), text.alias("text")))
+    cells = F.filter(F.array(*parts), lambda c: c["number"].isNotNull() | c["text"].isNotNull())
+    return wide.select("source", "elem_no", F.explode(cells).alias("c")).select("source", "elem_no", "c.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from elemlake.operators.attribute_pivot import unfilled_cells, wide_table
+from elemlake.operators.attribute_pivot import long_form, unfilled_cells, wide_table
 from elemlake.operators.change_feed import current_attributes
 from elemlake.operators.hierarchy import element_hierarchy
 from elemlake.operators.references import orphan_references, orphan_report
@@ -24,6 +24,11 @@ def p1_wide(spark: SparkSession, sf: str) -> DataFrame:
     return wide_table(table(spark, sf, "dblist_attrs"), table(spark, sf, "noun_layout"))
 
 
+def p1_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The wide table's filled cells, a row each, so that SQL can compare every typed column."""
+    return long_form(p1_wide(spark, sf))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return snapshot_changes(table(spark, sf, "element_snapshots")).select("dbnum", "ses_no", "ref0", "ref1", "diff_type", "attr")
 
@@ -77,7 +82,7 @@ def p6_descendants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_wide, p2_found, p2_summary, p3_found, p3_satellites, p3_as_of, p4_found, p5_found, p5_report, p6_found, p6_paths, p6_descendants)
+    f.__name__: f for f in (p1_found, p1_wide, p1_cells, p2_found, p2_summary, p3_found, p3_satellites, p3_as_of, p4_found, p5_found, p5_report, p6_found, p6_paths, p6_descendants)
 }
 
 _P1_LINES = r"""
@@ -112,7 +117,7 @@ vals as (
   from axes),
 cells as (
   select source, elem_no, attr, bool_or(x is null and t is null) or max(x) - min(x) > 0.002000001 or max(y) - min(y) > 0.002000001 or max(z) - min(z) > 0.002000001 or coalesce(min(t) <> max(t), false) as bad,
-    min(x) as x, min(t) as t
+    min(x) as x, min(y) as y, min(z) as z, min(t) as t, min(kind) as kind
   from vals group by 1, 2, 3)
 """
 
@@ -247,6 +252,11 @@ from links l left join down d using (ref0, ref1) left join below b on b.node = l
 
 ORACLES: dict[str, str] = {
     "p1_found": f"with {_P1_LINES} select source, elem_no, attr as key from cells where bad",
+    "p1_cells": f"""with {_P1_LINES}, stored as (select distinct attr, case attr_type when 'Integer' then 'integer' when 'Real' then 'number' when 'Boolean' then 'boolean' when 'Position' then 'position' else 'text' end as stored from noun_layout),
+      several as (select attr, count(*) > 1 as several from stored group by 1)
+      select source, elem_no, case when several then attr || '_' || case kind when 'Integer' then 'integer' when 'Real' then 'number' when 'Boolean' then 'boolean' when 'Position' then 'position' else 'text' end else attr end as column,
+        case when kind in ('Integer', 'Real') then x end as number, case kind when 'Boolean' then (x = 1)::varchar when 'Position' then concat_ws(' ', round(x, 3)::double, round(y, 3)::double, round(z, 3)::double) else t end as text
+      from cells join several using (attr) where not coalesce(bad, false)""",
     "p2_found": _P2 + "select dbnum, ses_no, ref0, ref1, diff_type, attr from found",
     "p2_summary": _P2 + "select dbnum, ses_no, diff_type, count(distinct (ref0, ref1)) as n_elements, count(*) as n_rows from found group by 1, 2, 3",
     "p3_found": _P3,

@@ -9,7 +9,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from elemlake.operators.attribute_pivot import unfilled_cells, wide_columns, wide_table
+from elemlake.operators.attribute_pivot import long_form, unfilled_cells, wide_columns, wide_table
 from elemlake.operators.change_feed import current_attributes
 from elemlake.operators.hierarchy import element_hierarchy, hierarchy
 from elemlake.operators.references import contiguous_runs, orphan_references
@@ -68,9 +68,25 @@ def test_wide_rows(spark, layout):
     assert got["s", 1].N == 5 and got["s", 1].P == [1.0, 2.0, 3.0] and got["s", 1].R_number == 2000.0 and got["s", 1].R_text is None
     assert got["s", 2].R_text == "LONG" and got["s", 2].n_unlisted == 1 and got[None, 3].unfilled == [] and len(got) == 3
     assert wide_table(spark.createDataFrame([], LINES), layout, buckets=2).count() == 0
+    # Integers that 64 bits can't hold, or a real can't tell apart.
+    big = ["9007199254740992", "9007199254740993", "9" * 40, "+0" + "9" * 40, "-0", "00"]
+    lines = spark.createDataFrame([("s", n, "PIPE", None, i, "N", v) for n, i, v in [(1, 1, big[0]), (1, 2, big[1]), (2, 1, big[2]), (2, 2, big[3]), (3, 1, big[4]), (3, 2, big[5]), (4, 1, big[1])]], LINES)
+    got = {r.elem_no: (r.N, r.unfilled, r.beyond) for r in wide_table(lines, layout, buckets=2).collect()}
+    assert got == {1: (None, ["N"], []), 2: (None, [], ["N"]), 3: (0, [], []), 4: (int(big[1]), [], [])}
     assert wide_table(spark.createDataFrame(data, LINES), spark.createDataFrame([], LAYOUT), buckets=2).count() == 3
 
 
+def test_many_blocks_of_attributes(spark):
+    """Every block reads its own partition of the cells, and lots of blocks meet in a tree of joins."""
+    names = [f"A{i:04d}" for i in range(1000)]
+    layout = spark.createDataFrame([("PIPE", a, 1, 1, None, "Integer" if i % 2 else "Text", None, False) for i, a in enumerate(names)], LAYOUT)
+    rng = random.Random(1)
+    cells = {(e, a): rng.randrange(99) for e in range(20) for a in rng.sample(names, 30)}
+    lines = spark.createDataFrame([("s", e, "pipe", None, 1, a.lower(), str(v)) for (e, a), v in cells.items()], LINES)
+    found = long_form(wide_table(lines, layout, block_size=100, buckets=2, blocks_per_plan=3))
+    assert {(r.elem_no, r.column): r.number if r.number is not None else r.text for r in found.collect()} == {(e, a): float(v) if int(a[1:]) % 2 else str(v) for (e, a), v in cells.items()}
+
+
 # 2
 
 
