@@ -8,38 +8,52 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from elemlake.llm.packing import pack, packing_report, patterns, plan, tier_of
+from elemlake.llm.packing import containers, pack, packing_faults, packing_report, plan, tier_report, tiers_of, windows
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.integers(1, 64).flatmap(lambda c: st.tuples(st.just(c), st.dictionaries(st.integers(1, c), st.integers(0, 40), max_size=20))))
-def test_plan_places_everything_once(case):
+def test_tiers():
+    assert tiers_of(2048) == [2048, 1024, 512, 256, 128] and tiers_of(100) == [100] and tiers_of(1) == [1] and tiers_of(9, 2) == [9, 4, 2]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 64).flatmap(lambda c: st.tuples(st.just(c), st.dictionaries(st.integers(1, c), st.integers(0, 40), max_size=20))), st.integers(1, 20))
+def test_every_tier_is_packed_and_everything_placed_once(case, least):
     capacity, histogram = case
-    found = patterns(histogram, capacity)
+    sizes = tiers_of(capacity, least)
+    kinds = windows(histogram, capacity, least)
     placed = defaultdict(int)
-    for p in found:
-        assert 0 < sum(n * length for length, n in p.items) <= capacity and p.count > 0
-        for length, n in p.items:
-            placed[length] += n * p.count
+    for w in kinds:
+        shorter = sizes[w.tier + 1] if w.tier + 1 < len(sizes) else 0
+        assert 0 < w.used <= sizes[w.tier] and w.count > 0
+        # A window is opened by a piece of its tier; what fills it comes from the same or a shorter one.
+        assert shorter < w.items[0][0] <= sizes[w.tier] and all(length <= w.items[0][0] for length, _ in w.items)
+        for length, n in w.items:
+            placed[length] += n * w.count
     assert dict(placed) == {k: n for k, n in histogram.items() if n}
-    # The bulk plan is first fit decreasing (at most 11/9 of the best possible and one), container for container.
-    assert plan(histogram, capacity).containers == len(first_fit_decreasing(histogram, capacity))
-
-
-def first_fit_decreasing(histogram, capacity):
-    """Item by item."""
-    gaps = []
-    for length in sorted((k for k, n in histogram.items() for _ in range(n)), reverse=True):
-        at = next((i for i, gap in enumerate(gaps) if gap >= length), None)
-        if at is None:
-            gaps.append(capacity - length)
-        else:
-            gaps[at] -= length
-    return gaps
-
-
-def test_tiers():
-    assert [tier_of(x, 4096) for x in (4096, 2049, 2048, 1025, 1024, 1)] == [0, 0, 1, 1, 2, 12]
+    made = containers(kinds, capacity)
+    assert all(0 < c.used <= capacity and c.count > 0 for c in made)
+    seen = defaultdict(int)
+    for c in made:
+        for w, times in c.windows:
+            seen[id(w)] += times * c.count
+    assert dict(seen) == {id(w): w.count for w in kinds}
+    # The plan numbers every piece of every length once, and nothing overlaps in a container.
+    numbers, space = defaultdict(list), defaultdict(list)
+    for length, start, pieces, container, each, offset, _tier, _window, total in plan(histogram, capacity, least):
+        numbers[length].append((start, start + pieces))
+        for r in range(pieces):
+            space[container + r // each].append((offset + r % each * length, length))
+        assert total == sum(c.count for c in made)
+    for length, spans in numbers.items():
+        spans.sort()
+        assert spans[0][0] == 0 and spans[-1][1] == histogram[length] and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+    assert sorted(space) == list(range(sum(c.count for c in made)))
+    for items in space.values():
+        end = 0
+        for at, n in sorted(items):
+            assert at == end  # back to back
+            end += n
+        assert end <= capacity
 
 
 @pytest.fixture(scope="module")
@@ -52,7 +66,9 @@ def sizes():
 def test_pack(spark, sizes):
     docs = spark.createDataFrame(sizes, "doc_id bigint, n_tokens bigint").withColumn("block", F.lit("clash"))
     targets = spark.createDataFrame([("short", 512), ("long", 2048), ("long", 2048), ("none", None), ("zero", 0)], "container_kind string, capacity_tokens int")
-    rows = pack(docs.select("doc_id", "n_tokens"), targets, group_size=8, blocks=5).collect()
+    packed = pack(docs.select("doc_id", "n_tokens"), targets, group_size=8, blocks=5)
+    rows = packed.collect()
+    assert {r.container_kind for r in rows} == {"short", "long"}
     for kind, capacity in (("short", 512), ("long", 2048)):
         mine = [r for r in rows if r.container_kind == kind]
         pieces, inside = defaultdict(list), defaultdict(list)
@@ -60,6 +76,7 @@ def test_pack(spark, sizes):
             pieces[r.doc_id].append((r.piece_no, r.first_token, r.n_tokens))
             inside[r.container_id].append((r.position, r.n_tokens))
             assert r.capacity_tokens == capacity
+            assert (r.tier is None) == (r.n_tokens == 0) and (r.tier is None or r.window_position <= r.position and r.position + r.n_tokens <= r.window_position + capacity // 2**r.tier)
         for doc, n in sizes:
             got = sorted(pieces[doc])
             assert sum(x[2] for x in got) == n and (len(got) == 1) == (n <= capacity)
@@ -78,15 +95,28 @@ def test_pack(spark, sizes):
         assert max(map(len, groups.values())) - min(map(len, groups.values())) <= 1
 
 
-def test_report_and_empty(spark, sizes):
+def test_reports_and_empty(spark, sizes):
     docs = spark.createDataFrame(sizes, "doc_id bigint, n_tokens bigint")
     targets = spark.createDataFrame([("short", 512)], "container_kind string, capacity_tokens int")
-    report = packing_report(pack(docs, targets)).first()
+    packed = pack(docs, targets)
+    report = packing_report(packed).first()
     assert report.tokens == sum(n for _, n in sizes) and report.fullest <= 512 and report.used_share > 0.99
+    tiers = {r.tier: r for r in tier_report(packed).collect()}
+    assert sorted(tiers) == [0, 1, 2] and sum(r.tokens for r in tiers.values()) == report.tokens and all(0.9 < r.used_share <= 1 for r in tiers.values())
+    assert tuple(packing_faults(packed, docs).first()) == ("short", 512, 0, 0, 0, 0)
     assert pack(docs.limit(0), targets).count() == 0 and pack(docs, targets.limit(0)).count() == 0
     assert pack(docs.where("n_tokens = 0").limit(3), targets).count() == 3
 
 
+def test_coarse_units(spark, sizes):
+    """A capacity over the histogram's bars: nothing is lost or overlaps, and little space is."""
+    docs = spark.createDataFrame(sizes, "doc_id bigint, n_tokens bigint")
+    targets = spark.createDataFrame([("long", 2047), ("odd", 1000)], "container_kind string, capacity_tokens int")
+    packed = pack(docs, targets, bars=300)
+    assert sorted(tuple(r)[2:] for r in packing_faults(packed, docs).collect()) == [(0, 0, 0, 0)] * 2
+    assert all(r.used_share > 0.93 for r in packing_report(packed).collect())
+
+
 def test_tokens_are_those_of_the_tokenizer(spark):
     from elemlake.llm.tokens import encoder, tokenizer_dir, with_tokens
 
