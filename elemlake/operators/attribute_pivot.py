@@ -26,6 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from elemlake.plans.skew import block_of
 from elemlake.plans.workspace import bucketed, release
 
 #: Two readings of a number are the same within this.
@@ -70,9 +71,9 @@ def wide_columns(layout: DataFrame) -> list[WideColumn]:
     return out
 
 
-def _small(layout: DataFrame) -> DataFrame:
-    """The layout, broadcast if its checked size allows."""
-    return F.broadcast(layout) if layout.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else layout
+def is_small(layout: DataFrame) -> bool:
+    """Whether the layout's checked size allows to broadcast it."""
+    return layout.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
 
 
 def _unit(unit: Column) -> Column:
@@ -83,8 +84,8 @@ def _unit(unit: Column) -> Column:
     return factor
 
 
-def read_cells(lines: DataFrame, layout: DataFrame) -> DataFrame:
-    """One row per entity and listed attribute: its value by type, and whether the cell can be filled."""
+def read_cells(lines: DataFrame, layout: DataFrame, small: bool = True) -> DataFrame:
+    """One row per entity and listed attribute: its value by type, and whether the cell can be filled. small allows to broadcast the layout."""
     value = F.trim("value")
     said = F.col("value").isNotNull() & (value != "") & (F.lower(value) != "unset")
     rows = lines.where(said).select(
@@ -93,8 +94,8 @@ def read_cells(lines: DataFrame, layout: DataFrame) -> DataFrame:
         F.upper(F.trim("key")).alias("attr"),
         value.alias("v"),
     )
-    known = layout.where("noun is not null and attr is not null").select("noun", "attr", "attr_type").distinct()
-    rows = rows.join(_small(known), ["noun", "attr"])
+    known = layout.where("noun is not null and attr is not null").select("noun", "attr", "attr_type", F.xxhash64("attr_type").alias("typed")).distinct()
+    rows = rows.join(F.broadcast(known) if small else known, ["noun", "attr"])
 
     kind, v = F.col("attr_type"), F.col("v")
 
@@ -123,38 +124,32 @@ def read_cells(lines: DataFrame, layout: DataFrame) -> DataFrame:
         F.when(v.rlike("(?s)^'.*'$") & (F.length(v) > 1), F.expr("substring(v, 2, length(v) - 2)")).otherwise(v),
     )
     # Integers of any length are compared by their digits.
-    digits = F.regexp_replace(v, r"^\+?(-?)0*(?=[0-9])", "$1")
-    digits = F.when((kind == "Integer") & v.rlike(INTEGER_PATTERN), F.when(digits == "-0", "0").otherwise(digits))
-    rows = rows.select("entity", "attr", "attr_type", x.alias("x"), y.alias("y"), z.alias("z"), F.coalesce(text, digits).alias("t"), digits.try_cast("bigint").alias("w"))
-    read = F.col("x").isNotNull() | F.col("t").isNotNull()
+    plain = F.regexp_replace(v, r"^\+?(-?)0*(?=[0-9])", "$1")
+    digits = F.when(kind == "Integer", F.when(v.rlike(INTEGER_PATTERN), F.when(plain == "-0", "0").otherwise(plain)))
+    rows = rows.select("entity", "attr", "typed", x.alias("x"), y.alias("y"), z.alias("z"), text.alias("t"), digits.alias("digits"))
+    whole = F.col("digits").try_cast("bigint")
+    rows = rows.select("entity", "attr", "typed", "x", "y", "z", F.coalesce("t", "digits").alias("t"), whole.alias("w"), (F.col("digits").isNotNull() & whole.isNull()).alias("beyond"))
 
-    # Texts and types are told apart by hashes, so that a plan without text columns aggregates numbers only.
-    rows = rows.withColumns({"ht": F.when(F.col("t").isNotNull(), F.xxhash64("t")), "hk": F.xxhash64("attr_type")})
     cells = rows.groupBy("entity", "attr").agg(
-        F.max(~read).alias("unread"),
-        *[f(c).alias(f"{f.__name__}_{c}") for c in ("x", "y", "z", "ht", "hk") for f in (F.min, F.max)],
-        F.min("w").alias("w"), F.min("t").alias("t"), F.min("attr_type").alias("attr_type"), F.max(digits_beyond()).alias("beyond"),
+        F.max(F.col("x").isNull() & F.col("t").isNull()).alias("unread"), F.max("beyond").alias("beyond"), F.min("w").alias("w"),
+        *[f(c).alias(f"{f.__name__}_{c}") for c in ("x", "y", "z", "t", "typed") for f in (F.min, F.max)],
     )
     apart = F.lit(False)
     for c in "xyz":
         apart = apart | F.coalesce(F.col(f"max_{c}") - F.col(f"min_{c}") > TOLERANCE + 1e-9, F.lit(False))
-    for c in ("ht", "hk"):
+    for c in ("t", "typed"):
         apart = apart | F.coalesce(F.col(f"max_{c}") != F.col(f"min_{c}"), F.lit(False))
     bad = F.col("unread") | apart
-    return cells.select("entity", "attr", bad.alias("bad"), F.col("min_x").alias("x"), F.col("min_y").alias("y"), F.col("min_z").alias("z"), "t", "w", "attr_type", (F.col("beyond") & ~bad).alias("beyond"))
-
-
-def digits_beyond() -> Column:
-    """Whether a line holds an integer that 64 bits cannot."""
-    return (F.col("attr_type") == "Integer") & F.col("t").isNotNull() & F.col("w").isNull()
+    return cells.select("entity", "attr", bad.alias("bad"), (F.col("beyond") & ~bad).alias("beyond"), *[F.col(f"min_{c}").alias(c) for c in ("x", "y", "z", "t", "typed")], "w")
 
 
 def _block(store: DataFrame, number: int, columns: list[WideColumn]) -> DataFrame:
     """One block of attributes, pivoted: (entity, a column each, names of cells that are not filled or not held)."""
     aggregates = [F.array_compact(F.collect_set(F.when(F.col(mark), F.col("attr")))).alias(f"_{name}_{number}") for mark, name in (("bad", "unfilled"), ("beyond", "beyond"))]
     for c in columns:
-        types = [t for t, k in _STORED.items() if k == c.kind]
-        typed = F.col("attr_type").isin(types) | (F.lit(c.kind == "text") & ~F.col("attr_type").isin(*_STORED))
+        typed = F.col("typed").isin([F.xxhash64(F.lit(t)) for t, k in _STORED.items() if k == c.kind])
+        if c.kind == "text":
+            typed = typed | ~F.col("typed").isin([F.xxhash64(F.lit(t)) for t in _STORED])
         mine = (F.col("attr") == c.attr) & ~F.col("bad") & typed
         if c.kind == "position":
             value = F.when(F.max(F.when(mine, F.col("x"))).isNotNull(), F.array(*[F.max(F.when(mine, F.col(k))) for k in "xyz"]))
@@ -172,23 +167,22 @@ def wide_table(lines: DataFrame, layout: DataFrame, block_size: int = 32, bucket
     block_size attributes are pivoted together, which bounds the aggregation
     buffer of one pass however many attributes there are.
     """
-    spark = lines.sparkSession
-    columns = wide_columns(layout)
+    columns, small = wide_columns(layout), is_small(layout)
     attrs = sorted({c.attr for c in columns})
     number = {attr: i // block_size for i, attr in enumerate(attrs)}
     blocks: list[list[WideColumn]] = [[] for _ in range(-(-len(attrs) // block_size))]
     for c in columns:
         blocks[number[c.attr]].append(c)
-    numbers = spark.createDataFrame(list(number.items()), "attr string, block int")
+    ends = attrs[block_size - 1 : -1 : block_size]  # the last attribute of every block but the last
     listed = layout.where("noun is not null and attr is not null").select("noun", "attr").distinct().withColumn("listed", F.lit(True))
     spine = (
         lines.select(F.struct("source", "elem_no").alias("entity"), F.upper(F.substring(F.trim("kind"), 1, 4)).alias("noun"), F.upper(F.trim("key")).alias("attr"))
         .groupBy("entity", "noun", "attr").count()
-        .join(_small(listed), ["noun", "attr"], "left")
+        .join(F.broadcast(listed) if small else listed, ["noun", "attr"], "left")
         .groupBy("entity")
         .agg(F.count_if(F.col("listed").isNull() & F.col("attr").isNotNull()).cast("int").alias("n_unlisted"))
     )
-    cells = read_cells(lines, layout).join(_small(numbers), "attr")
+    cells = read_cells(lines, layout, small).withColumn("block", block_of(F.col("attr"), ends))
     store = bucketed(
         cells.unionByName(spine.select("entity", F.lit(SPINE).alias("block"), "n_unlisted"), allowMissingColumns=True),
         "cells", ["entity"], partition_by=["block"], buckets=buckets,
