@@ -5,16 +5,18 @@ hyphen, width does not matter, joined letters are their letters, characters
 that print nothing go, accents are taken off their letters. Then each token's scripts are
 resolved: a letter drawn alike in several alphabets could belong to any of
 them, another only to its own, and the intersection over the token's letters
-tells how it can be spelled consistently. A token written in several scripts
-whose intersection is not empty is a mixed-script confusable; one whose
-intersection holds several scripts is a whole-script confusable. The
+tells how it can be spelled consistently. A token that no single script covers as
+it is written, but one could, is a mixed-script confusable; one that a single script covers
+but that an alphabet preferred to it could spell as well is a whole-script
+confusable. Scripts that are written together (Chinese characters with Japanese syllables, Korean
+or Bopomofo) are one script here; signs common to all scripts decide nothing. The
 token is spelled in the first script of the intersection, in a fixed order;
 if it is empty, each look-alike takes the first alphabet that has it. Last, accents
 are put back.
 
 That spelling depends only on what the token looks like, so two texts have
 the same form exactly if they look the same in this sense. Letters and
-digits of one alphabet are never identified.
+digits of one alphabet are never identified, but for a few that are one letter in two codes.
 
 Defined results: a null text has no form and is in no pair; empty texts are
 equal, and look like texts of characters that print nothing; documents
@@ -36,25 +38,40 @@ from elemlake.plans.workspace import written
 
 # Letters drawn alike, a class a column, an alphabet a row; a dot where an alphabet has none.
 LOOK_ALIKES = {
-    "Latin":    "A B C E H I J K M N O P S T X Y Z a c d e h i j l o p q s v w x y",
-    "Cyrillic": "А В С Е Н І Ј К М . О Р Ѕ Т Х Ү . а с ԁ е һ і ј ӏ о р ԛ ѕ ѵ ԝ х у",
-    "Greek":    "Α Β Ϲ Ε Η Ι Ϳ Κ Μ Ν Ο Ρ . Τ Χ Υ Ζ . ϲ . . . . ϳ . ο ρ . . ν . . .",
-    "Armenian": ". . . . . . . . . . Օ . Տ . . . . . . . . հ . յ . օ . զ . . . . .",
+    "Latin":    "A B C D E F G H I J K L M N O P Q R S T U V W X Y Z a b c d e g h i j l n o p q s u v w x y",
+    "Cyrillic": "А В С . Е . Ԍ Н І Ј К . М . О Р Ԛ . Ѕ Т . Ѵ Ԝ Х Ү . а . с ԁ е . һ і ј ӏ . о р ԛ ѕ . ѵ ԝ х у",
+    "Greek":    "Α Β Ϲ . Ε Ϝ . Η Ι Ϳ Κ . Μ Ν Ο Ρ . . . Τ . . . Χ Υ Ζ . . ϲ . . . . . ϳ . . ο ρ . . . ν . . .",
+    "Armenian": ". . . . . . . . . . . . . . Օ . . . Տ . Ս . . . . . . . . . . ց հ . յ . ո օ . զ . ս . . . .",
+    "Coptic":   ". Ⲃ Ⲥ . . . . Ⲏ Ⲓ . Ⲕ . Ⲙ Ⲛ Ⲟ Ⲣ . . . Ⲧ . . . Ⲭ Ⲩ Ⲍ . . ⲥ . . . . . . . . ⲟ ⲣ . . . . . ⲭ .",
+    "Cherokee": "Ꭺ Ᏼ Ꮯ Ꭰ Ꭼ . Ꮐ Ꮋ . Ꭻ Ꮶ Ꮮ Ꮇ . . Ꮲ . Ꭱ Ꮪ Ꭲ . Ꮩ Ꮃ . Ꮍ Ꮓ . Ꮟ . Ꮷ . . . Ꭵ . . . . . . . . . . . Ꭹ",
+    "Lisu":     "ꓮ ꓐ ꓚ ꓓ ꓰ ꓝ ꓖ ꓧ ꓲ ꓙ ꓗ ꓡ ꓟ ꓠ ꓳ ꓑ . ꓣ ꓢ ꓔ ꓴ ꓦ ꓪ ꓫ ꓬ ꓜ . . . . . . . . . . . . . . . . . . . .",
 }
-# The order in which alphabets are preferred; hyphens; fillers that print nothing; line breaks.
-PREFERRED = ("Latin", "Cyrillic", "Greek", "Armenian")
+# Further codes of letters above, in their own alphabet; the order in which alphabets are preferred; hyphens; fillers that print nothing; line breaks.
+SAME_LETTER = {"Ӏ": "І", "ɡ": "g"}
+PREFERRED = ("Latin", "Cyrillic", "Greek", "Armenian", "Coptic", "Cherokee", "Lisu")
 HYPHENS = "\u002d\u058a\u2010\u2011\u2043\ufe63\uff0d"
 FILLERS = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\uffa0"
 LINE_BREAKS = "\u000b\u000c\u000d\u0085\u2028\u2029"
+# Scripts by the first words of a letter's name where that is not its script's own name, and the writing systems that use several scripts.
+NAMED = {"Cjk": "Han", "Katakana-hiragana": "Common", "Modifier": "Common", "Micro": "Common", "Feminine": "Common", "Masculine": "Common", "?": "Unknown"}
+WRITTEN_TOGETHER = {"Han": ("Japanese", "Korean", "Bopomofo-Han"), "Hiragana": ("Japanese",), "Katakana": ("Japanese",), "Hangul": ("Korean",), "Bopomofo": ("Bopomofo-Han",)}
 
-_CLASS_OF = {c: i for row in LOOK_ALIKES.values() for i, c in enumerate(row.split()) if c != "."}
 _SPELLING = {script: row.split() for script, row in LOOK_ALIKES.items()}
+_CLASS_OF = {c: i for row in _SPELLING.values() for i, c in enumerate(row) if c != "."}
+_CLASS_OF |= {c: _CLASS_OF[known] for c, known in SAME_LETTER.items() if known in _CLASS_OF}
 _SCRIPTS = [frozenset(s for s in PREFERRED if _SPELLING[s][i] != ".") for i in range(len(_SPELLING["Latin"]))]
 
 
 def script_of(letter: str) -> str:
-    """The alphabet in a letter's name: its first word."""
-    return unicodedata.name(letter, "?").split()[0].capitalize()
+    """The alphabet in a letter's name: its first word, or Common if it belongs to none."""
+    first = unicodedata.name(letter, "?").split()[0].capitalize()
+    return NAMED.get(first, first)
+
+
+def scripts_of(letter: str) -> frozenset[str] | None:
+    """The scripts a letter is written in, with the systems that use several; None if it may stand in any."""
+    own = script_of(letter)
+    return None if own == "Common" else frozenset((own, *WRITTEN_TOGETHER.get(own, ())))
 
 
 def fold_character(c: str) -> str:
@@ -92,22 +109,25 @@ class _Folds(dict):
 _FOLDS = _Folds()
 _PLAIN = re.compile(r"[\x20-\x7e\n]*")
 _TOKEN = re.compile(r"[\w\u0300-\u036f]+")
-_FOREIGN = re.compile(r"[\u0370-\u058f]")
+# Where the alphabets above but Latin have their letters; a text without any is spelled consistently.
+_FOREIGN = re.compile(r"[\u0261\u0370-\u058f\u13a0-\u13ff\u1c80-\u1c8f\u2c80-\u2cff\u2de0-\u2dff\ua4d0-\ua4ff\ua640-\ua69f\uab70-\uabbf]")
 _MOST_TOKENS = 1 << 17
 
 
-def resolved_scripts(token: str) -> tuple[frozenset[str], set[str]]:
-    """The scripts a token could be spelled in, and those it is written in. Accents and digits belong to any."""
+def resolved_scripts(token: str) -> tuple[frozenset[str], frozenset[str]]:
+    """The scripts a token could be spelled in, and those that cover it as it is written. Accents, digits and common signs belong to any."""
     possible: frozenset[str] | None = None
-    written_in: set[str] = set()
+    covering: frozenset[str] | None = None
     for c in token:
         if unicodedata.category(c)[0] != "L":
             continue
-        own = script_of(c)
-        written_in.add(own)
-        can = _SCRIPTS[_CLASS_OF[c]] if c in _CLASS_OF else frozenset((own,))
-        possible = can if possible is None else possible & can
-    return possible or frozenset(), written_in
+        own = scripts_of(c)
+        if own is not None:
+            covering = own if covering is None else covering & own
+        can = _SCRIPTS[_CLASS_OF[c]] if c in _CLASS_OF else own
+        if can is not None:
+            possible = can if possible is None else possible & can
+    return possible or frozenset(), covering if covering is not None else frozenset(PREFERRED)
 
 
 def consistent_token(token: str) -> str:
@@ -121,10 +141,11 @@ def consistent_token(token: str) -> str:
 
 def confusable_kind(token: str) -> str:
     """mixed, whole or none, for a folded token."""
-    possible, written_in = resolved_scripts(token)
-    if len(written_in) > 1:
-        return "mixed"
-    return "whole" if len(possible) > 1 else "none"
+    possible, covering = resolved_scripts(token)
+    if not covering:
+        return "mixed" if possible else "none"
+    preferred = next((s for s in PREFERRED if s in possible), None)
+    return "none" if preferred is None or preferred in covering else "whole"
 
 
 def folded(text: str) -> str:
@@ -173,7 +194,7 @@ def form_key(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 @F.pandas_udf(T.StructType([T.StructField("mixed", T.IntegerType()), T.StructField("whole", T.IntegerType())]))
 def confusable_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Tokens of a text that are mixed-script and whole-script confusables; whole ones only where they could be read in another alphabet than Latin."""
+    """Tokens of a text that are mixed-script and whole-script confusables; a word of Latin letters is neither, accents or not."""
     known: dict[str, str] = {}
     for texts in batches:
         rows = []
@@ -203,19 +224,23 @@ def look_alike_members(documents: DataFrame) -> DataFrame:
     return keyed.join(several, "form").distinct()
 
 
-def look_alike_pairs(documents: DataFrame) -> DataFrame:
+def look_alike_pairs(documents: DataFrame, per_salt: int = 5_000) -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: documents that look the same but differ in characters.
 
     Spellings of one form are paired first and documents attached to them, so
-    exact copies are never compared and the work is that of the output.
+    exact copies are never compared and the work is that of the output. Of a form that many documents have, one
+    side is dealt to salts, per_salt documents each, and the other sent to all of them.
     """
     members = written(look_alike_members(documents), "look-alikes")
-    spellings = members.select("form", "spelling").distinct()
+    sized = members.groupBy("form", "spelling").agg(F.count(F.lit(1)).alias("n"))
+    salts = sized.groupBy("form").agg((F.sum("n") / per_salt).cast("int").alias("last_salt"))
+    spellings = sized.select("form", "spelling")
     other = spellings.select("form", F.col("spelling").alias("spelling_b"))
     ways = spellings.withColumnRenamed("spelling", "spelling_a").join(other, "form").where("spelling_a != spelling_b")
-    left = members.select("form", F.col("spelling").alias("spelling_a"), F.col("doc_id").alias("doc_id_a"))
-    right = members.select("form", F.col("spelling").alias("spelling_b"), F.col("doc_id").alias("doc_id_b"))
-    return left.join(ways, ["form", "spelling_a"]).join(right, ["form", "spelling_b"]).where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b").distinct()
+    spread = members.join(salts, "form")
+    left = spread.select("form", F.col("spelling").alias("spelling_a"), F.col("doc_id").alias("doc_id_a"), F.pmod(F.xxhash64("doc_id"), F.col("last_salt") + 1).cast("int").alias("salt"))
+    right = spread.select("form", F.col("spelling").alias("spelling_b"), F.col("doc_id").alias("doc_id_b"), F.explode(F.sequence(F.lit(0), "last_salt")).alias("salt"))
+    return left.join(ways, ["form", "spelling_a"]).join(right, ["form", "spelling_b", "salt"]).where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b").distinct()
 
 
 def look_alike_classes(documents: DataFrame) -> DataFrame:
