@@ -12,10 +12,11 @@ from __future__ import annotations
 import math
 import struct
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from elemlake.functions.names import python_name_of_hash
@@ -421,19 +422,26 @@ def _call(name: str, opcode: int, args: list[Column], options: Options) -> Colum
         "STRING": lambda: F.format_number(a, 2) if b is None else F.call_function("format_string", b, a),
         "SUBSTRING": lambda: F.substr(a, b.cast("int"), args[2].cast("int")),
         "DEFINED": lambda: a.isNotNull(), "UNDEFINED": lambda: a.isNull(), "SET": lambda: a.isNotNull(), "UNSET": lambda: a.isNull(), "EMPTY": lambda: a == "",
-        "MATCHWILD": lambda: F.call_function("like", a, F.replace(F.replace(b, F.lit("*"), F.lit("%")), F.lit("?"), F.lit("_"))),
+        "MATCHWILD": lambda: F.call_function("like", a, _wildcards(b)),
         "PART": lambda: F.get(F.split(a, " "), b.cast("int") - 1),
         "OCCURS": lambda: F.try_divide(F.length(a) - F.length(F.replace(a, b, F.lit(""))), F.length(b)).cast("int"),
         "REPLACE": lambda: F.replace(a, b, args[2]),
         "VTEXT": lambda: F.coalesce(a, b), "VVALUE": lambda: F.coalesce(a, b),
         "IFTRUE": lambda: F.when(a, b).otherwise(args[2]),
-        "SPLIT": lambda: F.split(a, b),
+        "SPLIT": lambda: F.when(b == "", F.array(a)).otherwise(F.split(a, F.concat(F.lit("\\Q"), F.replace(b, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))),
     }
     if name not in plain:
         raise ExpressionError(f"opcode {opcode} cannot be evaluated", opcode)
     return plain[name]()
 
 
+def _wildcards(pattern: Column) -> Column:
+    """A pattern with * and ? for LIKE; whatever means something there and not here stands for itself."""
+    for plain, meant in (("\\", "\\\\"), ("%", "\\%"), ("_", "\\_"), ("*", "%"), ("?", "_")):
+        pattern = F.replace(pattern, F.lit(plain), F.lit(meant))
+    return pattern
+
+
 def _lookup(value: Column, table: dict[float, float] | None) -> Column:
     out = value
     for stored, nominal in (table or {}).items():
@@ -441,7 +449,28 @@ def _lookup(value: Column, table: dict[float, float] | None) -> Column:
     return out
 
 
-# Text attributes evaluated as UDFs
+# Payloads in rows
+
+
+def opcode_histogram(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """(opcode, n, known): how often each opcode occurs in all payloads; those that are no expression are left out. Counted in Arrow batches before anything moves."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: Counter[tuple[int, bool]] = Counter()
+        for batch in batches:
+            for value in batch[payload]:
+                if value is None:
+                    continue
+                try:
+                    counts, unknown = opcode_counts(bytes(value))
+                except ExpressionError:
+                    continue
+                for opcode, n in counts.items():
+                    total[opcode, opcode not in unknown] += n
+        yield pd.DataFrame([(o, n, known) for (o, known), n in total.items()], columns=["opcode", "n", "known"])
+
+    found = payloads.select(payload).mapInPandas(count, "opcode int, n bigint, known boolean")
+    return found.groupBy("opcode", "known").agg(F.sum("n").alias("n")).select("opcode", "n", "known")
 
 
 def encode_words(words: list[int]) -> bytes:

@@ -19,9 +19,10 @@ deliveries that differ, the one with details and then the lowest change_id
 counts; an attribute both removed and set by one operation is set; an empty
 feed leaves the base.
 
-Group sizes: elements with more than a block's share of all operations (there
-are fewer of them than blocks) are cut into blocks of the order (plans.skew),
-so one with a third of all operations is spread; the others are one block each.
+Group sizes: elements with more operations than ROWS_PER_BLOCK, which is what a
+task sorts, are cut into blocks of about that many in their order
+(plans.skew), so the number of blocks grows with the element; the others are
+one block each.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from elemlake.plans.skew import block_of, carry_forward, cut_points, hot_keys, is_one_of
+from elemlake.plans.skew import carry_forward, cut_groups, long_groups
 from elemlake.plans.workspace import written
 
 ELEMENT = ["ref0", "ref1"]
+#: Operations of one element that one task may sort.
+ROWS_PER_BLOCK = 100_000
 
 # The sesno of a base, before every other and before null.
 BASE = -(1 << 31)
@@ -70,24 +73,23 @@ def operations(changes: DataFrame) -> DataFrame:
     return rows.groupBy(*ELEMENT, "at").agg(F.min("delivery").alias("d")).select(*ELEMENT, "at", "d.kind", "d.details")
 
 
-def lives(ops: DataFrame, cuts: list, hot: list[tuple]) -> DataFrame:
+def lives(ops: DataFrame, groups: DataFrame | None, rows_per_block: int) -> DataFrame:
     """ops with the life each belongs to: the last add or delete at or before it (`life`), and the one it ends, if any (`ended_life`).
 
     Operations that take no effect are left out.
     """
-    is_hot = is_one_of(ELEMENT, hot)
-    blocked = ops.withColumn("block", F.when(is_hot, block_of(F.col("at"), cuts)).otherwise(F.lit(0)))
+    blocked = cut_groups(ops, ELEMENT, "at", groups, rows_per_block)
     mark = F.when(F.col("kind").isin("add", "delete"), F.struct("at", "kind"))
-    before = carry_forward(blocked, ELEMENT, "block", ["at"], mark, "last_life", inclusive=False, split=is_hot if hot else False)
+    before = carry_forward(blocked, ELEMENT, "block", ["at"], mark, "last_life", inclusive=False, split=False if groups is None else F.col("is_long"))
     exists = F.coalesce(F.col("last_life.kind") == "add", F.lit(False))
     effective = (F.col("kind") == "add") | (F.col("kind").isin("modify", "delete") & exists)
     life = F.when(F.col("kind") == "modify", F.col("last_life.at")).otherwise(F.col("at"))
     ended = F.when(F.col("kind").isin("add", "delete") & exists, F.col("last_life.at"))
-    return before.where(effective).select(*ELEMENT, "at", "block", "kind", life.alias("life"), ended.alias("ended_life"), "details")
+    return before.where(effective).select(*ELEMENT, "at", "block", "is_long", "kind", life.alias("life"), ended.alias("ended_life"), "details")
 
 
 def attribute_events(effective: DataFrame) -> DataFrame:
-    """(ELEMENT, attr, at, block, life, sets, value): what each operation does to each attribute; a row without attr ends a life."""
+    """(ELEMENT, attr, at, block, is_long, life, sets, value): what each operation does to each attribute; a row without attr ends a life."""
     parsed = effective.withColumn("d", F.from_json(F.when(F.col("kind") != "delete", F.col("details")), _DETAILS))
     parsed = parsed.select("*", *[F.map_keys(f"d.{f}").alias(f"{f}_keys") for f in ("added_attrs", "modified_attrs")])
     none = "cast(array() as array<struct<attr:string,life:bigint,sets:boolean,value:variant>>)"
@@ -103,19 +105,19 @@ def attribute_events(effective: DataFrame) -> DataFrame:
     whole = items("whole_attmap", True, "e.value")
     part = f"concat({items('modified_attrs', True, new)}, {items('added_attrs', True, 'e.value', 'modified_attrs_keys')}, {items('deleted_attrs', False, 'cast(null as variant)', 'modified_attrs_keys added_attrs_keys')})"
     end = f"if(ended_life is null, {none}, array(struct(cast(null as string) as attr, ended_life as life, false as sets, cast(null as variant) as value)))"
-    events = parsed.select(*ELEMENT, "at", "block", F.explode(F.expr(f"concat({end}, case kind when 'add' then {whole} when 'modify' then {part} else {none} end)")).alias("e"))
-    return events.select(*ELEMENT, "e.attr", "at", "block", "e.life", "e.sets", F.to_json("e.value").alias("value"))
+    events = parsed.select(*ELEMENT, "at", "block", "is_long", F.explode(F.expr(f"concat({end}, case kind when 'add' then {whole} when 'modify' then {part} else {none} end)")).alias("e"))
+    return events.select(*ELEMENT, "e.attr", "at", "block", "is_long", "e.life", "e.sets", F.to_json("e.value").alias("value"))
 
 
-def contributions(events: DataFrame, hot: list[tuple]) -> DataFrame:
-    """Signed rows (ELEMENT, attr, at, value, m). Only after-images carry values; a before-image names its row by the writer."""
+def contributions(events: DataFrame, cut: bool) -> DataFrame:
+    """Signed rows (ELEMENT, attr, at, value, m). Only after-images carry values; a before-image names its row by the writer. cut says whether there are elements of several blocks."""
     nothing = F.lit(None).cast("string").alias("value")
     acts = events.where("attr is not null")
     after = acts.where("sets").select(*ELEMENT, "attr", "at", "value", F.lit(1).alias("m"))
 
     # Within a life: each event replaces the write before it.
-    slim = acts.select(*ELEMENT, "attr", "life", "block", "at", "sets")
-    replaced = carry_forward(slim, [*ELEMENT, "attr", "life"], "block", ["at"], F.struct("at", "sets"), "before", inclusive=False, split=is_one_of(ELEMENT, hot) if hot else False)
+    slim = acts.select(*ELEMENT, "attr", "life", "block", "is_long", "at", "sets")
+    replaced = carry_forward(slim, [*ELEMENT, "attr", "life"], "block", ["at"], F.struct("at", "sets"), "before", inclusive=False, split=F.col("is_long") if cut else False)
     before = replaced.where("before.sets").select(*ELEMENT, "attr", F.col("before.at").alias("at"), nothing, F.lit(-1).alias("m"))
 
     # The end of a life replaces all that it left.
@@ -125,7 +127,7 @@ def contributions(events: DataFrame, hot: list[tuple]) -> DataFrame:
     return after.unionByName(before).unionByName(closed)
 
 
-def current_attributes(changes: DataFrame, base: DataFrame | None = None, blocks: int | None = None) -> DataFrame:
+def current_attributes(changes: DataFrame, base: DataFrame | None = None, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """The attributes of every existing element: (ref0, ref1, attr, value, sesno, op_no).
 
     base: an earlier result; its elements take part as added by the operations
@@ -137,11 +139,10 @@ def current_attributes(changes: DataFrame, base: DataFrame | None = None, blocks
         begun = base.groupBy(*ELEMENT).agg(F.to_json(F.struct(fields.alias("whole_attmap"))).alias("details"))
         start = begun.select(*ELEMENT, F.lit(BASE).cast("int").alias("sesno"), F.lit(None).cast("int").alias("op_no"), F.lit(None).cast("bigint").alias("change_id"), F.lit("Add").alias("operation_type"), "details")
         changes = start.unionByName(changes.select(*start.columns))
-    blocks = blocks or min(64, max(4, int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = cut_points(changes, position(), blocks)
-    hot = hot_keys(changes.where("ref0 is not null and ref1 is not null"), ELEMENT, blocks)
-    events = written(attribute_events(lives(operations(changes), cuts, hot)), "attribute-events")  # read several times below
-    signed = contributions(events, hot)
+    placed = changes.where("ref0 is not null and ref1 is not null").select(*ELEMENT, position().alias("at"))
+    groups = long_groups(placed, ELEMENT, "at", rows_per_block)
+    events = written(attribute_events(lives(operations(changes), groups, rows_per_block)), "attribute-events")  # read several times below
+    signed = contributions(events, groups is not None)
     state = signed.groupBy(*ELEMENT, "attr", "at").agg(F.sum("m").alias("m"), F.max("value").alias("value")).where("m > 0")
     sesno, op_no = place(F.col("at"))
     out = state.select(*ELEMENT, "attr", "value", sesno.alias("sesno"), op_no.alias("op_no"))

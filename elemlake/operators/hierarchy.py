@@ -13,7 +13,8 @@
    its head and the path to it, from its parent chain. Nodes read theirs
    off their chain: depth is the head's plus the place, the path is the chain's
    plus a piece of the chain, and the descendants of a node are the preorder
-   interval of its subtree.
+   interval of its subtree. Where paths are asked for, chains are cut into
+   segments, which follow one another as chains do, so that no row lists more than a segment.
 
 Defined results: null refnos and refnos outside 32 bits a word name no
 element; of the versions of one element the one with the largest (sesno,
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 from elemlake.plans.skew import sums_before
 from elemlake.plans.workspace import release, written
 
-#: Blocks over which the children of one parent are spread when their subtrees are laid out.
-SIBLING_BLOCKS = 64
+#: The least number of blocks over which the children of one parent are spread when their subtrees are laid out, and the chains for which there is one more.
+SIBLING_BLOCKS, CHAINS_PER_BLOCK = 64, 200_000
+#: Nodes of a chain that one row may list; longer chains are cut into segments where paths are asked for.
+SEGMENT = 4096
 
 
 def node_id(ref0: str, ref1: str) -> Column:
@@ -102,17 +105,31 @@ def chain_labels(trees: DataFrame) -> DataFrame:
     return out
 
 
+def cut_chains(labels: DataFrame, segment: int) -> DataFrame:
+    """labels with ``cut``: chains longer than a segment as several, each hanging on the one before by its heavy link."""
+    whole = labels.withColumn("cut", F.lit(False))
+    if labels.where(F.col("place") >= segment).isEmpty():
+        return whole
+    number = F.floor(F.col("place") / segment).cast("bigint")
+    starts = labels.where(F.col("place") % segment == 0).select("head", number.alias("number"), F.col("id").alias("start"))
+    parts = labels.withColumn("number", number).join(starts, ["head", "number"])
+    return written(parts.select("id", "parent", "size", "heavy", "heavy_size", F.col("start").alias("head"), (F.col("place") % segment).alias("place"), (F.col("number") > 0).alias("cut")), "segments")
+
+
 def chain_table(labels: DataFrame, paths: bool = False) -> DataFrame:
     """(head, root, depth, preorder[, prefix]) of every chain; prefix is the path to the head's parent."""
-    heads = labels.where("place = 0").select(F.col("id").alias("head"), "parent", "size")
-    # Where a chain's subtree starts below its parent: after the heavy subtree and the light siblings before it.
-    light = heads.where("parent is not null").withColumn("block", F.pmod(F.xxhash64("head"), F.lit(SIBLING_BLOCKS)))
-    laid = sums_before(light, ["parent"], "block", ["head"], "size", "before").select("head", "parent", "before")
+    heads = labels.where("place = 0").select(F.col("id").alias("head"), "parent", "size", "cut")
+    blocks = SIBLING_BLOCKS + heads.count() // CHAINS_PER_BLOCK
+    # Where a chain's subtree starts below its parent: after the heavy subtree and the light siblings before it. A further segment is the heavy subtree itself.
+    light = heads.where("parent is not null and not cut").withColumn("block", F.pmod(F.xxhash64("head"), F.lit(blocks)))
+    laid = sums_before(light, ["parent"], "block", ["head"], "size", "before").select("head", "parent", "before", "cut")
+    laid = laid.unionByName(heads.where("cut").select("head", "parent", F.lit(0).cast("bigint").alias("before"), "cut"))
     above = labels.select(F.col("id").alias("parent"), F.col("head").alias("parent_chain"), F.col("place").alias("parent_place"), "heavy_size")
-    waiting = laid.join(above, "parent").select("head", "parent_chain", "parent_place", (F.col("parent_place") + 1 + F.coalesce("heavy_size", F.lit(0)) + F.col("before")).alias("offset"))
+    after_heavy = F.when(F.col("cut"), F.lit(0)).otherwise(F.coalesce("heavy_size", F.lit(0)))
+    waiting = laid.join(above, "parent").select("head", "parent_chain", "parent_place", (F.col("parent_place") + 1 + after_heavy + F.col("before")).alias("offset"))
     done_columns = [F.col("head"), F.col("head").alias("root"), F.lit(0).cast("bigint").alias("depth"), F.lit(0).cast("bigint").alias("preorder")]
     if paths:
-        # The nodes of a chain, no more than the depth of its tree.
+        # The nodes of a chain, no more than a segment's.
         members = written(labels.groupBy(F.col("head").alias("parent_chain")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("members")), "members")
         done_columns.append(F.array().cast("array<bigint>").alias("prefix"))
     level = written(heads.where("parent is null").select(*done_columns), "chain-level")
@@ -138,7 +155,7 @@ def chain_table(labels: DataFrame, paths: bool = False) -> DataFrame:
     return out
 
 
-def hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
+def hierarchy(links: DataFrame, paths: bool = False, segment: int = SEGMENT) -> DataFrame:
     """A row per node of links (id, parent): (id, root, depth, preorder, last_descendant, n_descendants[, path]).
 
     The descendants of x are the nodes of its root whose preorder lies in
@@ -147,6 +164,7 @@ def hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
     """
     trees, loops = subtree_sizes(links)
     labels = chain_labels(trees)
+    labels = cut_chains(labels, segment) if paths else labels.withColumn("cut", F.lit(False))
     chains = chain_table(labels, paths)
     joined = labels.select("id", "head", "place", "size").join(chains, "head")
     first = F.col("preorder") + F.col("place")

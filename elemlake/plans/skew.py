@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from elemlake.plans.workspace import written
+
 
 def cut_points(df: DataFrame, order: Column, blocks: int) -> list:
     """Values of a numeric column that cut all rows into about equal blocks; one pass, blocks - 1 numbers to the driver."""
@@ -35,21 +37,29 @@ def block_of(order: Column, cuts: list) -> Column:
     return tree(0, len(cuts))
 
 
-def hot_keys(df: DataFrame, keys: list[str], blocks: int) -> list[tuple]:
-    """Keys that hold more than a block's share of all rows: fewer than there are blocks, so the driver may know them."""
-    total = df.count()
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * blocks > total)
-    return [tuple(r[k] for k in keys) for r in counts.collect()]
-
+def long_groups(df: DataFrame, keys: list[str], order: str, rows_per_block: int) -> DataFrame | None:
+    """How to cut groups of more than rows_per_block rows by a bigint order: (keys, _major, _before, _n, _low, _high), or None if there is no such group.
 
-def is_one_of(keys: list[str], found: list[tuple]) -> Column:
-    out = F.lit(False)
-    for values in found:
-        same = F.lit(True)
-        for k, v in zip(keys, values):
-            same = same & F.col(k).eqNullSafe(F.lit(v))
-        out = out | same
-    return out
+    _major is the order's high word, _before the number of the group's rows with a lower one, and _low and _high bound the low words. The table has a row per
+    high word of a long group, and there are fewer such groups than rows / rows_per_block; it stays distributed.
+    """
+    long = written(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows_per_block).drop("_rows"), "long-groups")
+    if long.isEmpty():
+        return None
+    minor = F.col(order).bitwiseAND(F.lit(0xFFFFFFFF))
+    counts = df.join(long, keys, "left_semi").groupBy(*keys, F.shiftright(order, 32).alias("_major")).agg(F.count(F.lit(1)).alias("_n"), F.min(minor).alias("_low"), F.max(minor).alias("_high"))
+    before = Window.partitionBy(*keys).orderBy("_major").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+
+
+def cut_groups(df: DataFrame, keys: list[str], order: str, groups: DataFrame | None, rows_per_block: int) -> DataFrame:
+    """df with ``block``, which rises with the order inside a group and holds about rows_per_block rows, and ``is_long``; 0 and false for groups that are not cut."""
+    if groups is None:
+        return df.withColumn("block", F.lit(0).cast("bigint")).withColumn("is_long", F.lit(False))
+    joined = df.withColumn("_major", F.shiftright(order, 32)).join(groups, [*keys, "_major"], "left")
+    inside = (F.col(order).bitwiseAND(F.lit(0xFFFFFFFF)) - F.col("_low")) / (F.col("_high") - F.col("_low") + 1)
+    block = F.floor((F.col("_before") + F.col("_n") * F.greatest(F.least(inside, F.lit(1.0)), F.lit(0.0))) / rows_per_block)
+    return joined.withColumn("block", F.coalesce(block, F.lit(0)).cast("bigint")).withColumn("is_long", F.col("_n").isNotNull()).drop("_major", "_before", "_n", "_low", "_high")
 
 
 def carry_forward(df: DataFrame, keys: list[str], block: str, order: list[str], value: Column, out: str, inclusive: bool, split: Column | bool = True) -> DataFrame:

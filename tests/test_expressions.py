@@ -8,7 +8,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from elemlake.functions.expressions import FUNCTIONS, INFIX, ExpressionError, Options, compile_expression, encode_words, opcode_counts, stored_number, to_text, tree_of_payload
+from elemlake.functions.expressions import FUNCTIONS, INFIX, ExpressionError, Options, compile_expression, encode_words, opcode_counts, opcode_histogram, stored_number, to_text, tree_of_payload
 from elemlake.functions.names import python_name_hash
 
 
@@ -98,3 +98,25 @@ def test_every_function_compiles_or_says_no(spark):
         compile_expression(tree_of_payload(encode_words(words)), F.col, options=Options(degrees=False, bores={1.0: 15.0}))
     assert row.select(compile_expression(tree_of_payload(encode_words([*attr("A"), 1010])), F.col, options=Options(bores={1.0: 15.0})).alias("x")).first().x == 15.0
     assert len(INFIX) == 13
+
+
+@pytest.mark.parametrize(
+    ("value", "pattern", "matches"),
+    [("a_b", "a_b", True), ("axb", "a_b", False), ("50%", "50%", True), ("500", "50%", False), ("a\\b", "a\\b", True), ("abc", "a*", True), ("abc", "a?", False), ("a*", "?*", True), ("", "*", True), (None, "*", None)],
+)
+def test_wildcards(spark, value, pattern, matches):
+    tree = tree_of_payload(encode_words([*attr("NAME"), *text(pattern), 1315]))
+    assert spark.createDataFrame([(value,)], "NAME string").select(compile_expression(tree, F.col)).first()[0] is matches
+
+
+@pytest.mark.parametrize(("value", "by", "parts"), [("a.b", ".", ["a", "b"]), ("a|b|", "|", ["a", "b", ""]), ("a\\Eb", "\\E", ["a", "b"]), ("ab", "", ["ab"]), ("", ",", [""]), (None, ",", None), ("a+b", "a+b", ["", ""])])
+def test_splitting(spark, value, by, parts):
+    tree = tree_of_payload(encode_words([*attr("NAME"), *text(by), 1829]))
+    assert spark.createDataFrame([(value,)], "NAME string").select(compile_expression(tree, F.col)).first()[0] == parts
+
+
+def test_opcodes_of_rows(spark):
+    payloads = [encode_words([*n(1), *n(2), 602]), encode_words([*n(1), 9999]), None, b"\0", encode_words([*n(1), *n(2), 602])]
+    found = opcode_histogram(spark.createDataFrame([(p,) for p in payloads], "payload binary").withColumn("n", F.lit(0)))
+    assert sorted(map(tuple, found.collect())) == [(0x65, 5, True), (602, 2, True), (9999, 1, False)]
+    assert opcode_histogram(spark.createDataFrame([], "payload binary")).count() == 0

@@ -15,7 +15,7 @@ from elemlake.operators.hierarchy import element_hierarchy, hierarchy
 from elemlake.operators.references import contiguous_runs, orphan_references
 from elemlake.operators.satellites import append_satellites, attributes_as_of, changed_rows, element_periods, satellites, version_rows
 from elemlake.operators.snapshot_diff import apply_snapshot, snapshot_changes
-from elemlake.plans.skew import block_of, carry_forward, cut_points, row_numbers, sums_before
+from elemlake.plans.skew import block_of, carry_forward, cut_groups, cut_points, long_groups, row_numbers, sums_before
 
 LINES = "source string, elem_no int, kind string, name string, attr_no int, key string, value string"
 LAYOUT = "noun string, attr string, attr_hash bigint, word_offset int, bit_index int, attr_type string, default_tag string, is_expr boolean"
@@ -188,7 +188,7 @@ def feed_rows(ops, seed=0):
 def test_feed(spark, seed):
     ops = random_feed(seed)
     changes = clashing(spark.createDataFrame(feed_rows(ops), CHANGES))
-    got = current_attributes(changes, blocks=1 + 6 * seed)
+    got = current_attributes(changes, rows_per_block=(10_000, 60, 3)[seed - 1])
     assert rows(got.select("ref0", "ref1", "attr", "sesno", "op_no")) == sorted(apply_plainly(ops), key=repr)
     # The feed in two parts, the second upon the first's result.
     first, second = ({k: v for k, v in ops.items() if (k[1] < 30) is early} for early in (True, False))
@@ -266,7 +266,7 @@ def test_hierarchy(spark, shape):
     if shape == "loops":
         parents |= {3: 3, 10: 11, 11: 10, 0: None, 1: None}
     links = spark.createDataFrame(list(parents.items()), "id bigint, parent bigint")
-    found = {r.id: r for r in hierarchy(links, paths=True).collect()}
+    found = {r.id: r for r in hierarchy(links, paths=True, segment=8 if shape == "line" else 2 if shape == "bush" else 4096).collect()}
     true = plainly(parents)
     assert set(found) == set(parents)
     for x, path in true.items():
@@ -314,6 +314,21 @@ def test_blocks_equal_plain_windows(spark, blocks):
         count[g], total[g] = count.get(g, 0) + 1, total.get(g, 0) + a
 
 
+def test_long_groups_are_cut_evenly(spark):
+    rng = random.Random(2)
+    # One group in many sessions, one within a single session, one that is short.
+    data = [(1, (s << 32) + o) for s in range(-1, 40) for o in range(rng.choice([1, 5, 60]))] + [(2, (7 << 32) + o) for o in rng.sample(range(3000), 900)] + [(3, 5)]
+    df = spark.createDataFrame(data, "g int, at bigint")
+    cut = cut_groups(df, ["g"], "at", long_groups(df, ["g"], "at", 100), 100).collect()
+    assert all(r.is_long == (r.g < 3) for r in cut) and {r.block for r in cut if r.g == 3} == {0}
+    for g in (1, 2):
+        mine = sorted((r["at"], r.block) for r in cut if r.g == g)
+        assert [b for _, b in mine] == sorted(b for _, b in mine)
+        sizes = [sum(b == k for _, b in mine) for k in {b for _, b in mine}]
+        assert max(sizes) <= 180 and len(sizes) >= len(mine) // 100
+    assert long_groups(df, ["g"], "at", 10_000) is None
+
+
 # Trees by level and by doubling
 
 
