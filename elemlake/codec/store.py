@@ -37,9 +37,13 @@ class StoreError(ValueError):
     """The bytes are no store, page or record of the expected form."""
 
 
+class ShortError(StoreError):
+    """The bytes end inside a record: with more of them it might be one."""
+
+
 def word(data: bytes, at: int, signed: bool = False) -> int:
     if at < 0 or at + 4 > len(data):
-        raise StoreError(f"no word at {at}")
+        raise ShortError(f"no word at {at}")
     return struct.unpack_from(">i" if signed else ">I", data, at)[0]
 
 
@@ -197,12 +201,15 @@ class Store:
             session.first_pgno = last.end_pgno + 1
         return found
 
-    def entries(self, root: int, strict: bool = False) -> Iterator[Entry]:
-        """All entries below a root, each page once; pages that cannot be read are passed over, or an error if strict. A start marker leads to what lies left of its page's first key."""
+    def entries(self, root: int, strict: bool = False, least_page: int = 0) -> Iterator[Entry]:
+        """All entries below a root, each page once; pages that cannot be read are passed over, or an error if strict. A start marker leads to what lies left of its page's first key.
+
+        Pages before least_page are not opened: stores only grow, so nothing in them or below leads to a later page.
+        """
         waiting, seen = [root], set()
         while waiting:
             pgno = waiting.pop()
-            if not pgno or pgno in seen:
+            if not pgno or pgno in seen or pgno < least_page:
                 continue
             seen.add(pgno)
             try:
@@ -247,7 +254,7 @@ class Store:
                 continue
         return found - {0, START_MARKER}
 
-    def scan(self, ref0s: set[int], start: int, end: int) -> Iterator[tuple[int, "Element"]]:
+    def scan(self, ref0s: set[int], start: int, end: int, layouts: "Layouts | None" = None) -> Iterator[tuple[int, "Element"]]:
         """Records that begin in [start, end), found by their words; they may end beyond it."""
         data = self.read(start, end - start + 16)
         marks = re.compile(rb"(?=\0\0\0[\x06-\xff](?:" + b"|".join(re.escape(struct.pack(">I", r)) for r in sorted(ref0s)) + b"))", re.DOTALL)
@@ -256,17 +263,17 @@ class Store:
             if (start + at) % 2 or start + at >= end or at + 16 > len(data) or not word(data, at + 8) or not python_name_of_hash(word(data, at + 12)):
                 continue
             try:
-                yield start + at, self.record(start + at)
+                yield start + at, self.record(start + at, layouts)
             except (StoreError, struct.error):
                 continue
 
     def address(self, e: Entry) -> int:
         return e.child_pgno * self.page_size + e.offset_words * 2
 
-    def newest(self, root: int, strict: bool = False) -> dict[Refno, Entry]:
-        """Leaf entry of every key; of several the one furthest back in the store wins."""
+    def newest(self, root: int, strict: bool = False, least_page: int = 0) -> dict[Refno, Entry]:
+        """Leaf entry of every key; of several the one furthest back in the store wins. With least_page, of those that point there or later."""
         out: dict[Refno, Entry] = {}
-        for e in self.entries(root, strict):
+        for e in self.entries(root, strict, least_page):
             key = (e.ref0, e.ref1)
             if e.level == 0 and key != (START_MARKER, START_MARKER) and (key not in out or self.address(e) > self.address(out[key])):
                 out[key] = e
@@ -287,14 +294,14 @@ class Store:
             pgno = (left[-1] if left else rows[0]).child_pgno
         return None
 
-    def record(self, at: int) -> "Element":
-        """The element at an address, whatever its length: the window doubles until the record ends inside it."""
+    def record(self, at: int, layouts: "Layouts | None" = None) -> "Element":
+        """The element at an address, whatever its length: while it goes on beyond the bytes read, twice as many are."""
         window = 1 << 12
         while True:
             data = self.read(at, window)
             try:
-                return read_element(data)
-            except StoreError:
+                return read_element(data, layouts)
+            except ShortError:
                 if len(data) < window:
                     raise
                 window *= 2
@@ -333,51 +340,231 @@ def _explicit_value(kind: str, payload: bytes) -> object:
     return refs[0] if kind == "element" and refs else refs
 
 
-def read_element(data: bytes) -> Element:
+@dataclass(frozen=True)
+class Place:
+    """Where the fixed part of a noun's records has an attribute: name, first word, bit, type and whether it holds an expression."""
+
+    attr: str
+    word: int
+    bit: int
+    kind: str
+    is_expr: bool = False
+
+
+Layouts = dict[str, list[Place]]  # by noun
+
+# Words that a type takes with reals of two words, how many of them are saved with reals of one, and the block flags.
+WIDTH, SAVED = {"Position": 6, "Reference": 2}, {"Real": 1, "Position": 3}
+EXPLICIT_FLAG, CHILDREN_FLAG = 1, 2
+MOST_PADDING = 4096  # bytes
+FIXED_WORDS, BLOCK_HEAD, SEGMENT_HEAD, MOST_BLOCK_WORDS = 6, 12, 24, 0xFFFF
+
+
+def _places(layout: list[Place], impl_words: int) -> tuple[bool, list[tuple[Place, int]]]:
+    """Whether the record has reals of one word, and the word at which each attribute stands in it.
+
+    It has if the last attribute would otherwise end behind the fixed part; every real before an attribute then moves it forward.
+    """
+    order = sorted(layout, key=lambda p: (p.word, p.bit))
+    short = bool(order) and order[-1].word + WIDTH.get(order[-1].kind, 1) > impl_words
+    out, saved = [], 0
+    for p in order:
+        out.append((p, p.word - saved if short else p.word))
+        if not p.is_expr:
+            saved += SAVED.get(p.kind, 0)
+    return short, out
+
+
+def read_implicit(data: bytes, layout: list[Place]) -> dict[str, tuple[str, object]]:
+    """The attributes of the fixed part of a record; those that lie outside it are not there."""
+    words = word(data, 0)
+    short, places = _places(layout, words)
+    real, size = (">f", 4) if short else (">d", 8)
+    out: dict[str, tuple[str, object]] = {}
+    for p, at in places:
+        start, end = at * 4, words * 4
+        width = size if p.kind == "Real" else 3 * size if p.kind == "Position" else 8 if p.kind == "Reference" else 4
+        if at < FIXED_WORDS or start + width > min(end, len(data)) or p.is_expr:
+            continue
+        if p.kind == "Real":
+            out[p.attr] = ("double", struct.unpack_from(real, data, start)[0])
+        elif p.kind == "Position":
+            out[p.attr] = ("doubles", list(struct.unpack_from(f">3{real[1]}", data, start)))
+        elif p.kind == "Reference":
+            out[p.attr] = ("element", struct.unpack_from(">2I", data, start))
+        elif p.kind == "Boolean":
+            out[p.attr] = ("bool", word(data, start) >> max(p.bit, 0) & 1 == 1)
+        elif p.kind == "Enum":
+            number = word(data, start, True)
+            out[p.attr] = ("string", python_name_of_hash(abs(number)) or str(number))
+        elif p.kind == "Text":
+            value = _implicit_text(data[start:end])
+            # An empty tolerance or quantity says 0.
+            out[p.attr] = ("string", "0" if not value and p.attr in ("MTOL", "MTOQ") else value)
+        else:
+            out[p.attr] = ("int", word(data, start, True))
+    return out
+
+
+def _implicit_text(data: bytes) -> str:
+    """Text behind its length: bytes one after another, or a character a word."""
+    size = max(word(data, 0, True), 0)
+    if size and len(data) > 4 and data[4]:
+        return decode_text(data[4 : 4 + size])
+    return bytes(data[7 : 4 + 4 * size : 4]).decode("latin-1")
+
+
+def write_implicit(values: dict[str, object], layout: list[Place], short: bool = False) -> bytes:
+    """The words behind the fixed head, as read_implicit() reads them; text must be the last attribute or fit before the next."""
+    order = sorted(layout, key=lambda p: (p.word, p.bit))
+    full = max((p.word + WIDTH.get(p.kind, 2 if p.kind == "Real" else 1) for p in order), default=FIXED_WORDS)
+    short_places = _places(layout, 0)[1] if order else []
+    places = [(p, at) for p, at in short_places] if short else [(p, p.word) for p in order]
+    texts = [at + 2 + len(encode_text(str(values[p.attr]))) // 4 for p, at in places if p.kind == "Text" and p.attr in values]
+    words = max([(max((at + (3 if p.kind == "Position" else 2 if p.kind == "Reference" else 1) for p, at in places), default=FIXED_WORDS)) if short else full, *texts])
+    data = bytearray(words * 4)
+    real = ">f" if short else ">d"
+    for p, at in places:
+        if p.attr not in values:
+            continue
+        value, start = values[p.attr], at * 4
+        if p.kind == "Real":
+            struct.pack_into(real, data, start, value)
+        elif p.kind == "Position":
+            struct.pack_into(f">3{real[1]}", data, start, *value)
+        elif p.kind == "Reference":
+            struct.pack_into(">2I", data, start, *value)
+        elif p.kind == "Boolean":
+            struct.pack_into(">I", data, start, word(data, start) | int(value) << max(p.bit, 0))
+        elif p.kind == "Enum":
+            struct.pack_into(">i", data, start, python_name_hash(value))
+        elif p.kind == "Text":
+            raw = encode_text(value)
+            struct.pack_into(f">i{len(raw)}s", data, start, len(raw), raw)
+        else:
+            struct.pack_into(">i", data, start, value)
+    return bytes(data[FIXED_WORDS * 4 :])
+
+
+def _segmented(data: bytes, at: int, flag: int) -> tuple[bytes, int]:
+    """The payload of the block at an address, its further segments included, and where it ends."""
+    end = at + 4 * struct.unpack_from(">H", data, at + 2)[0]
+    if end > len(data):
+        raise ShortError("a block ends outside the bytes read")
+    parts = [data[at + BLOCK_HEAD : end]]
+    while data[end : end + 6] == b"\0\0\0\7\0" + bytes([flag]):
+        if end + 8 > len(data):
+            raise ShortError("a segment begins outside the bytes read")
+        after = end + 4 + 4 * struct.unpack_from(">H", data, end + 6)[0]
+        if after < end + SEGMENT_HEAD:
+            raise StoreError("a segment is shorter than its head")
+        if after > len(data):
+            raise ShortError("a segment ends outside the bytes read")
+        parts.append(data[end + SEGMENT_HEAD : after])
+        end = after
+    if len(data) < end + 6 and data[end:].startswith(b"\0\0\0\7"[: len(data) - end]):
+        raise ShortError("whether a segment follows is outside the bytes read")
+    return b"".join(parts), end
+
+
+def _entry(data: bytes, at: int) -> tuple[str, tuple[str, object], int]:
+    hashed, packed = word(data, at, True), word(data, at + 4)
+    kind, size = EXPLICIT.get(packed >> 26), (packed & 0x3FFFFFF) * 4
+    if kind is None:
+        raise StoreError(f"{packed >> 26} is no type of an attribute")
+    if at + 8 + size > len(data):
+        raise ShortError("an attribute ends outside the bytes read")
+    name = python_name_of_hash(abs(hashed)) or f"HASH_{hashed}"
+    return name if hashed > 0 else f":{name}", (kind, _explicit_value(kind, data[at + 8 : at + 8 + size])), at + 8 + size
+
+
+def read_element(data: bytes, layouts: Layouts | None = None) -> Element:
+    """A record: padding, the fixed part, blocks of children and of attributes in any number of segments, or attributes without a block, up to the end mark."""
     start = 0
     while start + 4 <= len(data) and word(data, start) in (0, 7):  # padding before a record
         start += 4
     impl = word(data, start) * 4
     if impl < 24:
         raise StoreError("a record is shorter than its fixed part")
-    element = Element((word(data, start + 4), word(data, start + 8)), python_name_of_hash(word(data, start + 12)) or f"HASH_{word(data, start + 12)}", (word(data, start + 16), word(data, start + 20)))
+    refno = word(data, start + 4), word(data, start + 8)
+    element = Element(refno, python_name_of_hash(word(data, start + 12)) or f"HASH_{word(data, start + 12)}", (word(data, start + 16), word(data, start + 20)))
     at = start + impl
-    if at + 4 > len(data):
-        raise StoreError("the record ends outside the window")
-    flag, words = struct.unpack_from(">HH", data, at)
-    if flag == 2 and words >= 2:
-        flat = struct.unpack_from(f">{words}I", data[: at + 4 + words * 4] if at + 4 + words * 4 <= len(data) else _short(), at + 4)
-        element.children = list(zip(flat[2::2], flat[3::2]))
-        at += 4 + words * 4
-    while True:
-        if data[at : at + 8] == RECORD_END:
-            break
-        hashed, packed = word(data, at, True), word(data, at + 4)
-        kind, size = EXPLICIT.get(packed >> 26), (packed & 0x3FFFFFF) * 4
-        if kind is None or at + 8 + size > len(data):
-            raise StoreError("an attribute ends outside the window or has no known type")
-        name = python_name_of_hash(hashed) or f"HASH_{hashed}"
-        element.attrs[name if hashed > 0 else f":{name}"] = (kind, _explicit_value(kind, data[at + 8 : at + 8 + size]))
-        at += 8 + size
+    if at + 8 > len(data):
+        raise ShortError("the record ends outside the bytes read")
+    if layouts and element.noun in layouts:
+        element.attrs |= read_implicit(data[start:at], layouts[element.noun])
+    own, body, blank = data[start + 4 : start + 12], at, 0
+    # Zeros and marks right behind the fixed part are padding if a block of this element follows them.
+    ahead = at
+    while ahead + 4 <= min(len(data), at + 64) and word(data, ahead) in (0, 7):
+        ahead += 4
+    if data[ahead : ahead + 1] == b"\0" and data[ahead + 1 : ahead + 2] in (b"\1", b"\2") and data[ahead + 4 : ahead + 12] == own:
+        at = body = ahead
+    while data[at : at + 8] != RECORD_END:
+        mark = word(data, at)
+        if mark == 7 and blank < at - body:  # behind a block, a mark that begins no segment ends the record as well
+            element.length = at + 4
+            return element
+        if mark == 0 or mark == 7:  # padding between the parts
+            at, blank = at + 4, blank + 4
+            if blank > MOST_PADDING:
+                raise StoreError("padding without end")
+        elif len(data) < at + 12:
+            raise ShortError("a block begins outside the bytes read")
+        elif mark >> 16 in (EXPLICIT_FLAG, CHILDREN_FLAG) and mark & 0xFFFF >= 3 and data[at + 4 : at + 12] == own:
+            flag = mark >> 16
+            payload, at = _segmented(data, at, flag)
+            if flag == CHILDREN_FLAG:
+                flat = struct.unpack_from(f">{len(payload) // 8 * 2}I", payload)
+                element.children += zip(flat[::2], flat[1::2])
+                continue
+            inside = 0
+            try:
+                while inside < len(payload):
+                    name, value, inside = _entry(payload, inside)
+                    element.attrs[name] = value
+            except ShortError as e:
+                raise StoreError(f"a block breaks off: {e}") from None
+        else:
+            name, value, at = _entry(data, at)
+            element.attrs[name] = value
+        if at + 8 > len(data):
+            raise ShortError("the record ends outside the bytes read")
     element.length = at + 8
     return element
 
 
-def _short() -> bytes:
-    raise StoreError("the record ends outside the window")
+def _block(flag: int, refno: Refno, payload: bytes, most_words: int) -> bytes:
+    """A block and, where it has more words than it may, segments after it."""
+    first = (most_words - BLOCK_HEAD // 4) * 4
+    out = bytearray(struct.pack(">HH2I", flag, (BLOCK_HEAD + len(payload[:first])) // 4, *refno) + payload[:first])
+    each = (most_words - (SEGMENT_HEAD - 4) // 4) * 4
+    for at in range(first, len(payload), each):
+        part = payload[at : at + each]
+        out += struct.pack(">IHH4I", 7, flag, (SEGMENT_HEAD - 4 + len(part)) // 4, *refno, 0, 0) + part
+    return bytes(out)
+
 
+def write_element(element: Element, layouts: Layouts | None = None, most_words: int = MOST_BLOCK_WORDS, short: bool = False) -> bytes:
+    """A record: attributes that the noun's layout places in the fixed part, children and the other attributes in blocks of at most most_words words.
 
-def write_element(element: Element) -> bytes:
-    """A record; user attributes (``:NAME``) are stored under their negated hash."""
-    out = bytearray(struct.pack(">6I", 6, *element.refno, python_name_hash(element.noun), *element.owner))
+    User attributes (``:NAME``) are stored under their negated hash.
+    """
+    layout = (layouts or {}).get(element.noun, [])
+    placed = {p.attr for p in layout if not p.is_expr}
+    fixed = write_implicit({k: v for k, (_, v) in element.attrs.items() if k in placed}, layout, short) if layout else b""
+    out = bytearray(struct.pack(">6I", FIXED_WORDS + len(fixed) // 4, *element.refno, python_name_hash(element.noun), *element.owner)) + fixed
     if element.children:
-        out += struct.pack(">HH2I", 2, 2 + 2 * len(element.children), *element.refno)
-        for child in element.children:
-            out += struct.pack(">2I", *child)
+        out += _block(CHILDREN_FLAG, element.refno, b"".join(struct.pack(">2I", *c) for c in element.children), most_words)
+    entries = bytearray()
     for name, (kind, value) in element.attrs.items():
+        if name in placed:
+            continue
         payload = _explicit_payload(kind, value)
         hashed = -python_name_hash(name[1:]) if name.startswith(":") else python_name_hash(name)
-        out += struct.pack(">iI", hashed, EXPLICIT_CODE[kind] << 26 | len(payload) // 4) + payload
+        entries += struct.pack(">iI", hashed, EXPLICIT_CODE[kind] << 26 | len(payload) // 4) + payload
+    if entries:
+        out += _block(EXPLICIT_FLAG, element.refno, bytes(entries), most_words)
     return bytes(out) + RECORD_END
 
 
@@ -404,7 +591,7 @@ class Writer:
     """Builds a store commit by commit; bytes() gives what is written so far."""
 
     def __init__(self, dbnum: int, page_size: int = 2048):
-        self.dbnum, self.page_size = dbnum, page_size
+        self.dbnum, self.page_size, self.layouts = dbnum, page_size, None
         self.data = bytearray(page_size)
         self.places: dict[Refno, tuple[int, int]] = {}
         self.last_session = 0
@@ -444,7 +631,7 @@ class Writer:
             at = len(self.data)
             self.places[e.refno] = (at // self.page_size, at % self.page_size // 2)
             touched.add(e.refno)
-            self.data += write_element(e)
+            self.data += write_element(e, self.layouts)
         self._fill()
         for key in removed:
             self.places.pop(key, None)
@@ -476,11 +663,5 @@ def store_of_bytes(data: bytes) -> Store:
 
 
 def scan_records(data: bytes, ref0s: set[int], start: int, end: int) -> Iterator[tuple[int, Element]]:
-    """Records found without the index: every even address in [start, end) whose words look like one and whose high word is known."""
-    for at in range(start + start % 2, min(end, len(data) - 24), 2):
-        impl, ref0, ref1, noun = struct.unpack_from(">4I", data, at)
-        if impl == 6 and ref0 in ref0s and ref1 and python_name_of_hash(noun):
-            try:
-                yield at, read_element(data[at:])
-            except (StoreError, struct.error):
-                continue
+    """Records found without the index, in bytes at hand."""
+    return store_of_bytes(data).scan(ref0s, start, end)

@@ -124,6 +124,10 @@ def upsert(stored: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
 
 
 def insert_ignore(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of new whose key is not stored yet, each key once."""
-    return new.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
+    """The rows of new whose key is not stored yet, each key once; null is a value of a key like any other."""
+    known = stored.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return new.dropDuplicates(keys).join(known, same, "left_anti")
 

@@ -86,15 +86,11 @@ def below_worlds(versions: DataFrame, max_depth: int | None = None) -> DataFrame
 def siblings(versions: DataFrame) -> DataFrame:
     """(ELEMENT of the child, prev_ref1, next_ref1, is_first, is_last) in the parent's list.
 
-    Neighbours are read off the list itself: it is one array in one row, so no window over a parent is needed.
+    Neighbours are read off the list itself, before it is taken apart: a row a child holds what is beside it, not the list.
     """
-    now = existing(versions)
-    listed = now.select("dbnum", F.col("ref0").alias("parent0"), F.col("ref1").alias("parent1"), "children", F.posexplode("children").alias("ord", "c"))
-    return listed.select(
-        "dbnum", "parent0", "parent1", F.col("c.ref0").alias("ref0"), F.col("c.ref1").alias("ref1"), "ord",
-        F.expr("get(children, ord - 1).ref1").alias("prev_ref1"), F.expr("get(children, ord + 1).ref1").alias("next_ref1"),
-        (F.col("ord") == 0).alias("is_first"), (F.col("ord") == F.size("children") - 1).alias("is_last"),
-    )
+    beside = "transform(children, (c, i) -> struct(c.ref0 as ref0, c.ref1 as ref1, i as ord, get(children, i - 1).ref1 as prev_ref1, get(children, i + 1).ref1 as next_ref1, i = 0 as is_first, i = size(children) - 1 as is_last))"
+    now = existing(versions).select("dbnum", F.col("ref0").alias("parent0"), F.col("ref1").alias("parent1"), F.expr(beside).alias("beside"))
+    return now.select("dbnum", "parent0", "parent1", F.explode("beside").alias("c")).select("dbnum", "parent0", "parent1", "c.*")
 
 
 def child_counts(versions: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,8 +11,9 @@ from pyspark.sql import functions as F
 from elemlake.functions.expressions import Options, compile_expression, encode_words, opcode_counts, to_text, tree_of_payload
 from elemlake.functions.names import name_of_hash, parse_refno, python_name_hash, refno_text
 from elemlake.operators import chunks, lookup, search
-from elemlake.operators.change_feed import operation, place
-from elemlake.plans.workspace import shared_dir, written
+from elemlake.operators.change_feed import place
+from elemlake.plans.lookup_queries import ORACLES as LOOKUP_SQL
+from elemlake.plans.workspace import new_path, written
 from elemlake.sources.dictionary import schema_filter
 from elemlake.streaming import feed
 from elemlake.tables import table
@@ -196,32 +196,27 @@ def _feed(spark: SparkSession, sf: str) -> DataFrame:
     return feed.read_feed(spark, path, spark.read.parquet(path).schema)
 
 
-def _checkpoint(spark: SparkSession, name: str) -> str:
-    from uuid import uuid4
+def _run(stream: DataFrame, sink, name: str, mode: str = "append") -> None:
+    """Works the whole stream off into a foreachBatch sink, so that nothing gathers on the driver."""
+    checkpoint = new_path(stream.sparkSession, f"stream-{name}")
+    stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-    return f"{shared_dir(spark)}/elemlake-stream-{name}-{uuid4().hex}" if spark.conf.get("spark.checkpoint.dir", None) else tempfile.mkdtemp(prefix=f"elemlake-{name}-")
 
-
-def _collected(stream: DataFrame, spark: SparkSession, name: str, mode: str) -> DataFrame:
-    """The stream's output in a table of the shared folder: a foreachBatch sink, so nothing gathers on the driver."""
-    path = _checkpoint(spark, name)
-    sink = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}-out" if mode == "complete" else f"{path}-out/batch={number}")
-    stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", path).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}-out").select(*stream.columns)
-
-
-@query("select date_trunc('day', ts) as window_start, case upper(trim(operation_type)) when '新增' then 'add' when 'ADD' then 'add' when '修改' then 'modify' when 'MODIFIED' then 'modify' when '删除' then 'delete' when 'DELETED' then 'delete' else 'none' end as kind, count(*) as n from changes where ts is not null group by 1, 2")
+@query(LOOKUP_SQL["daily_operations"])
 def stream_daily(spark, sf):
-    rows = _feed(spark, sf).where("ts is not null")
-    counts = rows.groupBy(F.window("ts", "1 day").alias("w"), operation(F.col("operation_type")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-    return _collected(counts.select(F.col("w.start").alias("window_start"), "kind", "n"), spark, "daily", "complete")
+    """Operations by day and kind, from the feed as it arrives: repeated deliveries count once, late ones in full."""
+    path = new_path(spark, "daily")
+    _run(_feed(spark, sf), feed.keep_operations(path), "daily")
+    return feed.kept_daily(spark, path)
 
 
 @query("select ref0, ref1, max((sesno, op_no))[1] as sesno, max((sesno, op_no))[2] as op_no, count(*) as n from changes where ref0 is not null and ref1 is not null group by 1, 2")
 def stream_last_operation(spark, sf):
     """The keyed state of every element after the whole feed."""
-    rows = _collected(feed.follow_elements(_feed(spark, sf)), spark, "follow", "update")
-    last = rows.groupBy("ref0", "ref1").agg(F.max(F.struct("n", "last")).alias("x"))
+    path = new_path(spark, "follow")
+    stream = feed.follow_elements(_feed(spark, sf))
+    _run(stream, lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}"), "follow", "update")
+    last = spark.read.schema(stream.schema).parquet(path).groupBy("ref0", "ref1").agg(F.max(F.struct("n", "last")).alias("x"))
     sesno, op_no = place(F.col("x.last"))
     return last.select("ref0", "ref1", sesno.alias("sesno"), op_no.alias("op_no"), F.col("x.n").alias("n"))
 
@@ -229,8 +224,6 @@ def stream_last_operation(spark, sf):
 @query("select distinct dbnum, sesno, op_no from changes")
 def stream_append_new(spark, sf):
     """The feed appended operation by operation, repeated deliveries ignored."""
-    path = _checkpoint(spark, "append")
-    sink = feed.append_new(f"{path}-out", ["dbnum", "sesno", "op_no"])
-    stream = _feed(spark, sf).select("dbnum", "sesno", "op_no")
-    stream.writeStream.foreachBatch(sink).option("checkpointLocation", path).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}-out").select(*stream.columns)
+    path, keys = new_path(spark, "append"), ["dbnum", "sesno", "op_no"]
+    _run(_feed(spark, sf).select(*keys), feed.append_new(path, keys, F.floor(F.col("sesno") / 16).cast("int")), "append")
+    return spark.read.parquet(path).select(*keys)

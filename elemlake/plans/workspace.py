@@ -1,15 +1,22 @@
 """Tables written to the shared folder, to cut lineage between the rounds of an iterative operator.
 
 The folder is the one named in ``spark.checkpoint.dir``, which all executors
-share, so a lost executor only costs the tasks it was running. Only where
-that setting is missing (tests, a notebook) a local folder is made.
+share, so a lost executor only costs the tasks it was running. Only a session
+that is one process (tests, a notebook) gets a folder of its own where that
+setting is missing; on a cluster it is an error.
+
+Results are lazy and read these tables, so they live until the process ends, or until
+the ``tables()`` block in which they were made does.
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _FALLBACK:
         _FALLBACK.append(tempfile.mkdtemp(prefix="elemlake-"))
     return _FALLBACK[0]
@@ -29,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """df, written as Parquet to the shared folder and read again."""
     spark = df.sparkSession
-    path = _new_path(spark, name)
+    path = new_path(spark, name)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -45,7 +54,7 @@ def bucketed(df: DataFrame, name: str, keys: list[str], partition_by: list[str]
     placed says that df comes from tables of the same buckets without an exchange, so that each task holds the rows of one bucket already.
     """
     spark = df.sparkSession
-    path = _new_path(spark, name)
+    path = new_path(spark, name)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # One task per bucket writes one file per partition value, instead of one per task and bucket.
     writer = (df if placed else df.repartition(buckets, *keys)).write.bucketBy(buckets, *keys).sortBy(*keys)
@@ -70,7 +79,20 @@ def release(df: DataFrame | None) -> None:
     _WRITTEN.pop(path, None)
 
 
-def _new_path(spark: SparkSession, name: str) -> str:
+@contextlib.contextmanager
+def tables() -> Iterator[None]:
+    """Deletes the tables made inside the block at its end; results made there must have been written or collected by then."""
+    before = set(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in set(_WRITTEN) - before:
+            spark = _WRITTEN.pop(path)
+            spark.sql(f"DROP TABLE IF EXISTS {_table_name(path)}")
+            _delete(spark, path)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/elemlake-{name}-{uuid.uuid4().hex}"
     _WRITTEN[path] = spark
     return path

@@ -4,11 +4,14 @@
     spark.read.format("elemlake_store").option("table", "elements").load("/folder/*.db")
 
 Tables: headers, sessions, index, elements, attributes. The options
-min_sesno and max_sesno prune sessions before any of their pages are read;
-table and columns keep element decoding out of header and index reads.
+min_sesno and max_sesno, and with push=true and
+spark.sql.python.filterPushdown.enabled filters on sesno, prune sessions before any of their pages are read;
+table keeps element decoding out of header and index reads. The option layout
+(layout_option() makes it of a noun_layout table) adds the attributes of the records' fixed parts.
 Only files that the driver and all executors can open by path are read.
 
-elements and attributes need every index page of their session; one that cannot be
+A record that cannot be read is a row with its key, its address and the reason in ``error``;
+the option errors=fail makes it an error instead. elements and attributes need every index page of their session; one that cannot be
 read is an error. read_store() reads such files by a scan for records
 instead (tables damage, scanned_elements and scanned_attributes), a partition
 per segment_bytes of a file.
@@ -19,18 +22,18 @@ from __future__ import annotations
 import glob
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
 SCHEMAS = {
     "headers": "path string, dbnum int, latest_ses_pgno bigint, session_page_no bigint, page_size int, stored_page_count bigint, bytes bigint",
     "sessions": "path string, dbnum int, sesno int, ses_pgno bigint, prev_ses_pgno bigint, start_pgno bigint, end_pgno bigint, index_root_pgno bigint, claim_pgno bigint, ts timestamp, computer_name string, comments string",
     "index": "dbnum int, sesno int, page_no bigint, level int, ord int, ref0 bigint, ref1 bigint, child_pgno bigint, offset_words int, flag int",
-    "elements": "dbnum int, ref0 bigint, ref1 bigint, sesno int, byte_offset bigint, noun string, owner_ref0 bigint, owner_ref1 bigint, name string, children array<struct<ref0:bigint,ref1:bigint>>",
-    "attributes": "dbnum int, ref0 bigint, ref1 bigint, sesno int, key string, tag string, v_int bigint, v_double double, v_bool boolean, v_str string, v_ints array<int>, v_doubles array<double>, v_refs array<struct<ref0:bigint,ref1:bigint>>",
+    "elements": "dbnum int, ref0 bigint, ref1 bigint, sesno int, byte_offset bigint, noun string, owner_ref0 bigint, owner_ref1 bigint, name string, children array<struct<ref0:bigint,ref1:bigint>>, error string",
+    "attributes": "dbnum int, ref0 bigint, ref1 bigint, sesno int, key string, tag string, v_int bigint, v_double double, v_bool boolean, v_str string, v_ints array<int>, v_doubles array<double>, v_refs array<struct<ref0:bigint,ref1:bigint>>, error string",
     "damage": "path string, pages array<bigint>, ref0s array<bigint>",
 }
 SCHEMAS["scanned_elements"] = f"path string, {SCHEMAS['elements']}"
@@ -86,7 +89,7 @@ class StoreSource(DataSource):
         return SCHEMAS[self.options.get("table", "elements")]
 
     def reader(self, schema: StructType) -> "StoreReader":
-        return StoreReader(dict(self.options))
+        return (PushingReader if self.options.get("push") == "true" else StoreReader)(dict(self.options))
 
 
 class StoreReader(DataSourceReader):
@@ -94,9 +97,16 @@ class StoreReader(DataSourceReader):
         self.table = options.get("table", "elements")
         self.low, self.high = int(options.get("min_sesno", "0")), int(options.get("max_sesno", str(1 << 31)))
         self.segment = int(options.get("segment_bytes", str(SEGMENT_BYTES)))
+        self.fail = options.get("errors", "row") == "fail"
+        self.layout = json.loads(options.get("layout", "{}"))
         self.ref0s = {p: set(x) for p, x in json.loads(options.get("ref0s", "{}")).items()}
         self.paths = sorted(p for pattern in options["path"].split(",") for p in (glob.glob(pattern) if glob.has_magic(pattern) else [pattern]) if not p.endswith(EXTENSIONS_SKIPPED))
 
+    def _layouts(self):
+        from elemlake.codec.store import Place
+
+        return {noun: [Place(*p) for p in places] for noun, places in self.layout.items()} or None
+
     def partitions(self) -> list[InputPartition]:
         if self.table in ("headers", "sessions", "damage"):
             return [_Part(p) for p in self.paths]
@@ -105,7 +115,9 @@ class StoreReader(DataSourceReader):
         # Only headers and session pages are read here: a few pages a session.
         return [_Part(p, s.sesno, s.first_pgno, s.end_pgno, s.index_root_pgno) for p in self.paths for s in _sessions(p) if self.low <= s.sesno <= self.high]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition | None) -> Iterator[tuple]:
+        if partition is None:  # there are none
+            return
         store = _store(partition.path)
         db = store.header["db_num"]
         if self.table == "headers":
@@ -116,7 +128,7 @@ class StoreReader(DataSourceReader):
                 if self.low <= s.sesno <= self.high:
                     yield partition.path, db, s.sesno, s.ses_pgno, s.prev_ses_pgno, s.first_pgno, s.end_pgno, s.index_root_pgno, s.claim_pgno, s.ts, s.computer_name, s.comments
         elif self.table == "index":
-            for e in store.entries(partition.root):
+            for e in store.entries(partition.root, least_page=partition.first_pgno):
                 if partition.first_pgno <= e.page <= partition.end_pgno:  # pages that this session wrote
                     yield db, partition.sesno, e.page, e.level, e.ord, e.ref0, e.ref1, e.child_pgno, e.offset_words, e.flag
         elif self.table == "damage":
@@ -130,20 +142,29 @@ class StoreReader(DataSourceReader):
     def _elements(self, store, db: int, part: InputPartition) -> Iterator[tuple]:
         from elemlake.codec.store import StoreError
 
-        for key, e in store.newest(part.root, strict=True).items():
+        layouts = self._layouts()
+        # Pages of earlier sessions hold earlier records, which those sessions' partitions read.
+        for key, e in store.newest(part.root, strict=True, least_page=part.first_pgno).items():
             if not part.first_pgno <= e.child_pgno <= part.end_pgno:
-                continue  # written by an earlier session, whose partition reads it
+                continue
+            at = store.address(e)
             try:
-                x = store.record(store.address(e))
-            except StoreError:
-                continue  # unreadable records are left out; index rows still name them
-            yield from self._rows(db, key, part.sesno, store.address(e), x)
+                x = store.record(at, layouts)
+            except StoreError as error:
+                if self.fail:
+                    raise
+                yield self._unread(db, key, part.sesno, at, str(error))
+                continue
+            yield from self._rows(db, key, part.sesno, at, x)
+
+    def _unread(self, db: int, key: tuple[int, int], sesno: int, at: int, error: str) -> tuple:
+        return (db, *key, sesno, at, *[None] * 5, error) if self.table == "elements" else (db, *key, sesno, *[None] * 9, error)
 
     def _scanned(self, store, db: int, part: InputPartition) -> Iterator[tuple]:
         sessions = store.sessions()
         if store.cut(sessions):  # where the oldest session that is left begins is not known
             sessions = sessions[1:]
-        for at, x in store.scan(self.ref0s[part.path], part.start, part.end):
+        for at, x in store.scan(self.ref0s[part.path], part.start, part.end, self._layouts()):
             sesno = next((s.sesno for s in sessions if s.first_pgno <= at // store.page_size <= s.end_pgno), None)
             if sesno is None or self.low <= sesno <= self.high:
                 first = (part.path,) if self.table == "scanned_elements" else (part.path, at)
@@ -152,17 +173,39 @@ class StoreReader(DataSourceReader):
 
     def _rows(self, db: int, key: tuple[int, int], sesno: int | None, at: int, x) -> Iterator[tuple]:
         if self.table.endswith("elements"):
-            yield db, *key, sesno, at, x.noun, *x.owner, x.attrs.get("NAME", (None, None))[1], x.children
+            yield db, *key, sesno, at, x.noun, *x.owner, x.attrs.get("NAME", (None, None))[1], x.children, None
             return
         for name, (kind, value) in x.attrs.items():
             refs = [value] if kind == "element" else value if kind == "refs" else None
             yield (
                 db, *key, sesno, name, kind,
                 value if kind == "int" else None, value if kind == "double" else None, value if kind == "bool" else None, value if kind == "string" else None,
-                value if kind in ("ints", "words") else None, value if kind == "doubles" else None, refs,
+                value if kind in ("ints", "words") else None, value if kind == "doubles" else None, refs, None,
             )
 
 
+class PushingReader(StoreReader):
+    """A reader that takes filters; Spark refuses one where their pushdown is not enabled."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Narrows the sessions by what compares sesno with a number; Spark applies all filters again."""
+        for f in filters:
+            if getattr(f, "attribute", None) == ("sesno",) and isinstance(getattr(f, "value", None), int):
+                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                    self.high = min(self.high, f.value - isinstance(f, LessThan))
+            yield f
+
+
+def layout_option(layout) -> str:
+    """The option value of a noun_layout table, which is schema: a few rows a noun."""
+    places: dict[str, list] = {}
+    for r in layout.select("noun", "attr", "word_offset", "bit_index", "attr_type", "is_expr").where("noun is not null and attr is not null and word_offset is not null").distinct().collect():
+        places.setdefault(r["noun"], []).append([r["attr"], r["word_offset"], r["bit_index"] or 0, r["attr_type"], bool(r["is_expr"])])
+    return json.dumps(places)
+
+
 def read_store(spark, path: str, table: str = "elements", **options):
     """elements or attributes of stores, whether their index can be read or not.
 

@@ -1,24 +1,24 @@
 """The change feed and the stores as streams.
 
-Three forms: windowed counts with a watermark for late operations; a
-keyed state per element that follows its last operation; and batch-wise upkeep of tables, where each
-micro-batch appends only what is new (the state is the table itself, so a
-restart repeats nothing).
+Two forms: a keyed state per element that follows its last operation; and
+batch-wise upkeep of tables, where each micro-batch appends only what is
+new, or what it has reduced its rows to, to be merged when read. There the table is the
+state: a batch that is run again writes its own folder again, and operations that come late count like any other,
+however late they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from elemlake.operators.analytics import counts_by_kind, once
 from elemlake.operators.change_feed import operation, position
 from elemlake.operators.search import insert_ignore
 
-STATE = "last bigint, kind string, n bigint"
-FOLLOWED = "ref0 bigint, ref1 bigint, last bigint, kind string, n bigint"
+OPERATION = ["dbnum", "ref0", "ref1", "sesno", "op_no"]
 
 
 def read_feed(spark: SparkSession, path: str, schema, files_per_batch: int = 8) -> DataFrame:
@@ -32,54 +32,49 @@ def read_feed(spark: SparkSession, path: str, schema, files_per_batch: int = 8)
     return reader.parquet(path)
 
 
-def windowed_counts(changes: DataFrame, window: str = "1 day", slide: str | None = None, late: str = "30 days") -> DataFrame:
-    """(window_start, kind, n) of operations by time; rows later than the watermark are left out by the engine. Repeated deliveries within it count once."""
-    rows = changes.where("ts is not null").withWatermark("ts", late).dropDuplicatesWithinWatermark(["dbnum", "sesno", "op_no"])
-    span = F.window("ts", window, slide) if slide else F.window("ts", window)
-    return rows.groupBy(span.alias("w"), operation(F.col("operation_type")).alias("kind")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "kind", "n")
+def follow_elements(changes: DataFrame) -> DataFrame:
+    """(ref0, ref1, last, kind, n): per element its last operation in (sesno, op_no) order whatever the order of arrival; emitted when an element moves. The state is three values an element."""
+    rows = changes.where("ref0 is not null and ref1 is not null").select("ref0", "ref1", F.struct(position().alias("at"), operation(F.col("operation_type")).alias("kind")).alias("op"))
+    return rows.groupBy("ref0", "ref1").agg(F.max("op").alias("op"), F.count(F.lit(1)).alias("n")).select("ref0", "ref1", F.col("op.at").alias("last"), "op.kind", "n")
 
 
-def session_windows(changes: DataFrame, gap: str = "2 hours", late: str = "30 days") -> DataFrame:
-    """Bursts of work per database: operations with no longer pause than the gap."""
-    rows = changes.where("ts is not null").withWatermark("ts", late)
-    return rows.groupBy(F.session_window("ts", gap).alias("w"), "dbnum").agg(F.count(F.lit(1)).alias("n")).select("dbnum", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+def keep_operations(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that reduces a batch to one row per operation and keeps it; kept_daily() merges what several batches say of one."""
 
+    def sink(batch: DataFrame, number: int) -> None:
+        once(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-def follow_elements(changes: DataFrame) -> DataFrame:
-    """Keeps, per element, the last operation in (sesno, op_no) order whatever the order of arrival; emits an element when its state moves.
+    return sink
 
-    Operations are reduced within a batch by the state function's vectorised maximum; the state is three numbers an element.
-    """
 
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, kind, n = state.get if state.exists else (-(1 << 62), "none", 0)
-        for batch in batches:
-            n += len(batch)
-            top = batch.loc[batch["at"].idxmax()]
-            if top["at"] > last:
-                last, kind = int(top["at"]), str(top["kind"])
-        state.update((last, kind, n))
-        yield pd.DataFrame({"ref0": [key[0]], "ref1": [key[1]], "last": [last], "kind": [kind], "n": [n]})
+def kept_daily(spark: SparkSession, path: str) -> DataFrame:
+    """(day, n_add, n_modify, n_delete, n_none) of the operations kept so far, each counted once at its earliest time."""
+    kept = spark.read.parquet(path).groupBy(*OPERATION).agg(F.min("kind").alias("kind"), F.min("ts").alias("ts"))
+    return kept.where("ts is not null").groupBy(F.to_date("ts").alias("day")).agg(*counts_by_kind())
 
-    rows = changes.where("ref0 is not null and ref1 is not null").select("ref0", "ref1", position().alias("at"), operation(F.col("operation_type")).alias("kind"))
-    return rows.groupBy("ref0", "ref1").applyInPandasWithState(follow, FOLLOWED, STATE, "update", "NoTimeout")
 
+def append_new(path: str, keys: list[str], part: Column) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that appends the rows whose key is not in the table yet.
 
-def append_new(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that appends the rows whose key is not in the table yet."""
+    part is a value of the key by which the table is partitioned; of the table a batch reads only
+    the keys of the parts it has rows of, so rows near each other in it should arrive together.
+    """
 
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        rows = batch.dropDuplicates(keys).withColumn("part", part)
         try:
             # A batch that is run again must not find its own rows.
-            stored = spark.read.schema(batch.schema).parquet(path).where(F.col("batch") != number)
-            fresh = insert_ignore(stored, batch, keys)
+            table = spark.read.parquet(path)
+            asked = [r[0] for r in rows.select("part").distinct().collect()]  # no more than the table has partitions
+            stored = table.where((F.col("batch") != number) & (F.col("part").isin(asked) | F.col("part").isNull())).select(*keys)
+            fresh = insert_ignore(stored, rows, keys)
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            fresh = batch.dropDuplicates(keys)
+            fresh = rows
         # A batch that is run again writes its own folder again instead of adding to it.
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        fresh.write.mode("overwrite").partitionBy("part").parquet(f"{path}/batch={number}")
 
     return sink
 
@@ -88,10 +83,3 @@ def changed_stores(headers: DataFrame, known: DataFrame) -> DataFrame:
     """Stores whose newest session page differs from the one last seen; unchanged files are passed over."""
     seen = known.select("path", F.col("latest_ses_pgno").alias("seen_pgno"))
     return headers.join(seen, "path", "left").where(~F.col("latest_ses_pgno").eqNullSafe(F.col("seen_pgno"))).drop("seen_pgno")
-
-
-def run_to_end(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Works off all that is there and returns it as a table in memory; for checks against the batch result."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)

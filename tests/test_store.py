@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from elemlake.codec.store import ENTRIES_AT, START_MARKER, Element, StoreError, Writer, decode_text, encode_text, read_element, read_entries, scan_records, session_time, store_of_bytes, write_element
+from elemlake.codec.store import ENTRIES_AT, START_MARKER, Element, Place, ShortError, StoreError, Writer, decode_text, encode_text, read_element, read_entries, scan_records, session_time, store_of_bytes, write_element
 from elemlake.functions.names import python_name_hash, python_name_of_hash
 from elemlake.sources.dblist import parse_dump, write_dump
 from elemlake.sources.dictionary import decode_dictionary, encode_dictionary
@@ -32,6 +32,37 @@ def test_record_round_trip(refno, noun, owner, children, attrs):
     assert (read.refno, read.noun, read.owner, read.children, read.attrs) == (refno, noun, owner, children, attrs)
 
 
+PLACES = [Place("NUM", 6, 0, "Integer"), Place("MASS", 7, 0, "Real"), Place("LOCK", 9, 0, "Boolean"), Place("BUIL", 9, 3, "Boolean"), Place("POS", 10, 0, "Position"), Place("SPRE", 16, 0, "Reference"), Place("PURP", 18, 0, "Enum"), Place("RULE", 19, 0, "Real", True), Place("DESC", 20, 0, "Text")]
+
+
+@settings(max_examples=150, deadline=None)
+@given(
+    st.tuples(word32, word32), st.lists(st.tuples(word32, word32), max_size=9), st.dictionaries(names.filter(lambda n: n not in {p.attr for p in PLACES}), values, max_size=4), st.integers(12, 40), st.booleans(),
+    st.fixed_dictionaries({"NUM": st.integers(-9, 1 << 30), "MASS": st.sampled_from([0.0, 2.5, -1024.25]), "LOCK": st.booleans(), "BUIL": st.booleans(), "POS": st.lists(st.sampled_from([0.0, 1.5, -3.25]), min_size=3, max_size=3), "SPRE": st.tuples(word32, word32), "PURP": names, "DESC": st.sampled_from(["", "pump", "综合 a"])}),
+)
+def test_segments_and_fixed_parts(refno, children, attrs, most_words, short, fixed):
+    kinds = {"NUM": "int", "MASS": "double", "LOCK": "bool", "BUIL": "bool", "POS": "doubles", "SPRE": "element", "PURP": "string", "DESC": "string"}
+    layouts = {"PUMP": PLACES}
+    whole = {k: (kinds[k], v) for k, v in fixed.items()} | attrs
+    data = write_element(Element(refno, "PUMP", (1, 2), children, whole), layouts, most_words, short)
+    read = read_element(b"\0\0\0\7" + data + b"\1\2\3\4", layouts)
+    assert read.children == children and read.attrs == whole
+    assert set(read_element(data).attrs) == set(attrs)  # without a layout, what the blocks say
+    for end in range(0, len(data) - 1, 7):
+        with pytest.raises(ShortError):
+            read_element(data[:end], layouts)
+
+
+def test_other_ends_and_paddings():
+    data = write_element(Element((1, 2), "PUMP", (1, 2), [(3, 4)], {"NUM": ("int", 5)}))
+    fixed, rest = data[:24], data[24:-8]
+    for padded in (fixed + b"\0" * 8 + b"\0\0\0\7" + rest + b"\0\0\0\7\0\0\0\6", fixed + rest + b"\0" * 12 + b"\0\0\0\7"):
+        read = read_element(padded)
+        assert (read.children, read.attrs) == ([(3, 4)], {"NUM": ("int", 5)})
+    with pytest.raises(StoreError, match="padding"):
+        read_element(fixed + b"\0" * 9000)
+
+
 @given(st.text("aZ 0综合技术廊道厂房()é", max_size=30))
 def test_text_round_trip(text):
     assert decode_text(encode_text(text)) == text
@@ -132,6 +163,9 @@ def test_data_source(spark, tmp_path):
     assert read("elements").count() == 401 and read("elements", min_sesno="2", max_sesno="2").count() == 1
     assert read("attributes").where("key = 'MASS'").first().v_double == 2.5
     assert read("index").where("level = 0").count() > 401
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    assert [tuple(r) for r in read("elements", push="true").where("sesno >= 2 and sesno < 3").select("ref1", "noun", "error").collect()] == [(17, "ZONE", None)]
+    assert read("elements", push="true").where("sesno > 3").count() == 0 and read("elements", push="true").where("sesno <= 2 and ref1 = 17").count() == 2
     from elemlake.operators.lookup import index_map
 
     save_offsets(index_map(read("index")), str(tmp_path / "saved"), 2048)
@@ -159,6 +193,31 @@ def test_damaged_index_is_scanned(spark, tmp_path):
     assert sorted(map(repr, read_store(spark, f"{tmp_path}/*.db").collect())) == sorted(tables["elements"] * 2)
 
 
+def test_unreadable_records_are_told(spark, tmp_path):
+    from elemlake.sources.store import StoreSource, layout_option
+
+    data = bytearray(store_of_three_sessions())
+    store = store_of_bytes(bytes(data))
+    struct.pack_into(">I", data, store.address(store.newest(store.sessions()[0].index_root_pgno)[5, 33]), 3)  # a record of three words
+    (tmp_path / "a.db").write_bytes(data)
+    spark.dataSource.register(StoreSource)
+    read = lambda t, **o: spark.read.format("elemlake_store").option("table", t).options(**o).load(f"{tmp_path}/a.db")
+    for t in ("elements", "attributes"):
+        lost = read(t).where("error is not null").collect()
+        assert [(r.ref0, r.ref1, r.sesno) for r in lost] == [(5, 33, 1)] and "shorter" in lost[0].error
+        with pytest.raises(Exception, match="shorter"):
+            read(t, errors="fail").count()
+    assert read("elements").count() == 401
+    w = Writer(1)
+    w.layouts = {"PUMP": PLACES}
+    w.commit(1, [Element((1, 1), "PUMP", (0, 0), [], {"MASS": ("double", 2.5), "LOCK": ("bool", True), "EXTRA": ("int", 4)})])
+    (tmp_path / "b.db").write_bytes(w.bytes())
+    layout = spark.createDataFrame([("PUMP", p.attr, 1, p.word, p.bit, p.kind, None, p.is_expr) for p in PLACES], "noun string, attr string, attr_hash bigint, word_offset int, bit_index int, attr_type string, default_tag string, is_expr boolean")
+    found = spark.read.format("elemlake_store").option("table", "attributes").option("layout", layout_option(layout)).load(f"{tmp_path}/b.db")
+    got = {r.key: r for r in found.collect()}
+    assert got["MASS"].v_double == 2.5 and got["LOCK"].v_bool is True and got["BUIL"].v_bool is False and got["EXTRA"].v_int == 4 and set(got) == {p.attr for p in PLACES if not p.is_expr} | {"EXTRA"}
+
+
 def test_unreadable_session_pages(spark, tmp_path):
     from elemlake.sources.store import StoreSource, read_store
 
