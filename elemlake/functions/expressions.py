@@ -83,12 +83,12 @@ class _Reader:
     def peek(self) -> int | None:
         return self.words[self.at] if self.at < len(self.words) else None
 
-    def block(self) -> None:
-        """Passes over a block that begins with its own length."""
+    def block(self) -> list[int]:
+        """A block that begins with its own length."""
         n = self.take()[0]
         if n <= 0:
             raise ExpressionError("a block without length")
-        self.take(n - 1)
+        return self.take(n - 1)
 
 
 def stored_number(a: int, b: int, c: int) -> float:
@@ -143,13 +143,13 @@ def _value(reader: _Reader, opcode: int, stack: list[Node]) -> Node | None:
 def _attribute(reader: _Reader, stack: list[Node]) -> Node:
     _, hashed, low, high, suffix = reader.take(5)
     name = _name(hashed) or "unknown attribute"
-    info = {"name": name, "known": abs(hashed) <= MOST_NAME_HASH, "low": low, "high": high, "suffix": None}
+    info = {"name": name, "known": abs(hashed) <= MOST_NAME_HASH, "low": low, "high": high, "suffix": None, "of": None}
     args: list[Node] = []
     if suffix:
         info["suffix"] = _name(suffix) or (str(suffix) if 0 < suffix <= 531441 else f"0x{suffix & 0xFFFFFFFF:08X}")
     elif low == -1 and stack:
         args = [stack.pop()]
-    # Trailers: qualifiers with their own operands, a unit, a source and a target element. They are passed over.
+    # Trailers: qualifiers with their own operands, a unit, the element whose attribute is meant, and a target. Only that element is kept.
     if reader.peek() == 2100:
         reader.take()
         for _ in range(reader.take()[0]):
@@ -165,7 +165,9 @@ def _attribute(reader: _Reader, stack: list[Node]) -> Node:
             reader.take()
         elif mark == blocks:
             reader.take()
-            reader.block()
+            words = reader.block()
+            if blocks == 1602 and len(words) >= 2 and words[0] and words[1] not in (0, 1701):
+                info["of"] = tuple(w & 0xFFFFFFFF for w in words[:2])
         elif mark is not None and mark == triples:
             reader.take(3)
     return Node("attribute", info, args)
@@ -331,6 +333,9 @@ def _print(node: Node, dialect: str) -> tuple[str, int]:
 
 def _attribute_text(node: Node, dialect: str) -> str:
     a = node.value
+    if a["of"]:
+        own = _attribute_text(Node("attribute", a | {"of": None}, node.args), dialect)
+        return f"({own} OF ={a['of'][0]}/{a['of'][1]})"
     text = ("ATTRIB " if a["known"] and dialect == "infix" else "") + a["name"]
     if a["suffix"] is not None:
         return f"{text} {a['suffix']}"
@@ -355,8 +360,31 @@ class Options:
     bores: dict[float, float] | None = None
 
 
-def compile_expression(node: Node, attribute: Callable[[str], Column], variable: Callable[[str], Column] | None = None, options: Options | None = None) -> Column:
-    """The tree as a Column. attribute gives the column of an attribute name, variable that of a variable name."""
+def other_elements(node: Node) -> list[tuple[str, int, int]]:
+    """(attribute, ref0, ref1) of the attributes that an expression reads from other elements."""
+    own = [(node.value["name"], *node.value["of"])] if node.kind == "attribute" and node.value["of"] else []
+    return list(dict.fromkeys([*own, *(x for a in node.args for x in other_elements(a))]))
+
+
+def values_of_others(node: Node, attrs: DataFrame) -> Callable[[str, int, int], Column]:
+    """Constants for the attributes of other elements, from (ref0, ref1, sesno, key, value) rows: the newest value each, null if there is none.
+
+    An expression names its elements itself, so they are as few as its words; the rows are looked up in one pass.
+    """
+    asked = other_elements(node)
+    found: dict[tuple, object] = {}
+    if asked:
+        wanted = F.lit(False)
+        for key, ref0, ref1 in asked:
+            wanted = wanted | ((F.col("key") == key) & (F.col("ref0") == ref0) & (F.col("ref1") == ref1))
+        rows = attrs.where(wanted).groupBy("key", "ref0", "ref1").agg(F.max_by("value", "sesno").alias("value")).collect()
+        found = {(r["key"], r["ref0"], r["ref1"]): r["value"] for r in rows}
+    kind = attrs.schema["value"].dataType
+    return lambda key, ref0, ref1: F.lit(found.get((key, ref0, ref1))).cast(kind)
+
+
+def compile_expression(node: Node, attribute: Callable[[str], Column], variable: Callable[[str], Column] | None = None, options: Options | None = None, other: Callable[[str, int, int], Column] | None = None) -> Column:
+    """The tree as a Column. attribute gives the column of an attribute name, variable that of a variable name, other that of an attribute of another element."""
     options = options or Options()
     variable = variable or attribute
 
@@ -375,7 +403,10 @@ def compile_expression(node: Node, attribute: Callable[[str], Column], variable:
         if n.kind == "variable":
             return variable(n.value)
         if n.kind == "attribute":
-            column, low, high = attribute(n.value["name"]), n.value["low"], n.value["high"]
+            if n.value["of"] and other is None:
+                raise ExpressionError("an attribute of another element, and no way to it")
+            column = other(n.value["name"], *n.value["of"]) if n.value["of"] else attribute(n.value["name"])
+            low, high = n.value["low"], n.value["high"]
             if n.args:
                 return F.get(column, go(n.args[0]).cast("int") - 1)
             if low > 0 and high > low and not (low == 1 and high == 500):

@@ -30,6 +30,13 @@ def tenths(raw: Column) -> Column:
     return -raw.cast("double") / 10
 
 
+def fortieths(raw: Column, decimals: int) -> Column:
+    """A number stored in fortieths, with two or three decimals: halves are rounded away from zero, but a small one whose last digit is 7 is cut off."""
+    scaled = raw.cast("float") / F.lit(40.0).cast("float") * F.lit(float(10**decimals)).cast("float")
+    whole = F.when(scaled < 0, F.ceil(scaled)).otherwise(F.floor(scaled))
+    return F.when((whole % 10 == 7) & (scaled < 100), whole.cast("double")).otherwise(F.round(scaled.cast("double"))) / 10**decimals
+
+
 def axis(code: Column, sign: Column) -> Column:
     """An axis with its sign flag; null for another code."""
     name = _case(code, AXES)

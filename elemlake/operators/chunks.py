@@ -66,6 +66,34 @@ def chunk_table(files: DataFrame, bits: int = 12) -> DataFrame:
     return files.select("path", "content").mapInPandas(cut, SCHEMA)
 
 
+def chunk_contents(files: DataFrame, bits: int = 12) -> DataFrame:
+    """The archive of files: (hash, content), each distinct chunk once. Equal chunks are reduced to one before they move."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = {}
+            for content in batch["content"]:
+                start = 0
+                for end in cut_positions(content or b"", bits):
+                    rows.setdefault(blake2b(content[start:end], digest_size=32).digest(), content[start:end])
+                    start = end
+            yield pd.DataFrame(list(rows.items()), columns=["hash", "content"])
+
+    return files.select("content").mapInPandas(cut, "hash binary, content binary").dropDuplicates(["hash"])
+
+
+def rebuild(chunks: DataFrame, contents: DataFrame) -> DataFrame:
+    """The files of a chunk table from contents: (path, content, missing). contents may come from an archive, from seeds that are at hand, or both.
+
+    A file is put together in one row, as it was read; missing counts its chunks without content, and such a file has none.
+    """
+    known = contents.dropDuplicates(["hash"]).select("hash", "content")
+    placed = chunks.join(known, "hash", "left")
+    files = placed.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", "content"))).alias("parts"), F.count_if(F.col("content").isNull()).alias("missing"))
+    whole = F.aggregate("parts", F.lit(b"").cast("binary"), lambda done, x: F.concat(done, x["content"]))
+    return files.select("path", F.when(F.col("missing") == 0, whole).alias("content"), "missing")
+
+
 def distinct_chunks(chunks: DataFrame) -> DataFrame:
     """(hash, length, uses): the dictionary of the archive."""
     return chunks.groupBy("hash").agg(F.first("length").alias("length"), F.count(F.lit(1)).alias("uses"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from elemlake.functions.names import name_hash, uda_label
-from elemlake.operators import analytics, changes, lookup, tree
+from elemlake.operators import analytics, changes, lookup, persistence, tree
+from elemlake.plans.workspace import new_path
 from elemlake.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -319,6 +320,54 @@ def versions_without_repeats(spark, sf):
     return changes.without_repeats(table(spark, sf, "element_versions"), table(spark, sf, "attrs_long")).select("dbnum", "ref0", "ref1", "sesno")
 
 
+# What is kept between runs
+
+
+@query(f"with {STATUS}, n as (select dbnum, sesno, count(*) filter (operation = 'Add') as add_count, count(*) filter (operation = 'Modified') as modify_count, count(*) filter (operation = 'Deleted') as delete_count from status group by 1, 2) select s.dbnum, s.sesno, s.computer_name, s.end_pgno, coalesce(n.add_count, 0)::int as add_count, coalesce(n.modify_count, 0)::int as modify_count, coalesce(n.delete_count, 0)::int as delete_count from sess s left join n using (dbnum, sesno)")
+def session_statistics(spark, sf):
+    rows = persistence.session_statistics(table(spark, sf, "sessions"), operation_status(spark, sf))
+    return rows.select("dbnum", "sesno", "computer_name", "end_pgno", "add_count", "modify_count", "delete_count")
+
+
+@query(f"with {STATUS} select dbnum, ref0, ref1, sesno, noun, name from standing semi join (select * from status where operation = 'Add') using (dbnum, ref0, ref1, sesno)")
+def added_elements(spark, sf):
+    return persistence.added_elements(operation_status(spark, sf), table(spark, sf, "element_versions")).select("dbnum", "ref0", "ref1", "sesno", "noun", "name")
+
+
+@query(f"""with {STANDING} select dbnum, sesno, '{{"id":"' || dbnum || '_' || sesno || '","sesno":' || sesno || ',"pgno":' || coalesce(ses_pgno, 0) || ',"dbnum":' || dbnum || ',"index_pgno":' || coalesce(index_root_pgno, 0) || ',"claim_pgno":' || coalesce(claim_pgno, 0) || ',"end_pgno":' || coalesce(end_pgno, 0)
+  || ',"computer_name":' || to_json(coalesce(computer_name, '')) || ',"comments":' || to_json(coalesce(comments, '')) || ',"date":"' || coalesce(strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00'), '') || '"}}' as json from sess""")
+def session_json(spark, sf):
+    return persistence.session_json(table(spark, sf, "sessions"))
+
+
+@query(f"with {STANDING} select dbnum, ref0, ref1, sesno, noun, name from ranked where k > 1 and not deleted and noun is not null")
+def noun_history(spark, sf):
+    """Older versions in a table with a folder per noun, saved twice."""
+    path = new_path(spark, "history")
+    for _ in range(2):
+        persistence.save_noun_history(table(spark, sf, "element_versions").where("noun is not null"), path)
+    return spark.read.parquet(path).select("dbnum", "ref0", "ref1", "sesno", F.col("noun").cast("string").alias("noun"), "name")
+
+
+@query(f"with {STANDING}, keep as (select dbnum, ref0, ref1 from now where noun in ('WORL', 'SITE', 'ZONE', 'BRAN')), kids as (select dbnum, ref0, ref1, unnest(children) as c, generate_subscripts(children, 1) as ord from now semi join keep using (dbnum, ref0, ref1)), kept as (select k.dbnum, k.ref0, k.ref1, string_agg(c.ref0 || '/' || c.ref1, ' ' order by ord) as kids from kids k join keep on keep.dbnum = k.dbnum and keep.ref0 = k.c.ref0 and keep.ref1 = k.c.ref1 group by 1, 2, 3) select n.dbnum, n.ref0, n.ref1, n.noun, coalesce(kids, '') as children from now n semi join keep using (dbnum, ref0, ref1) left join kept using (dbnum, ref0, ref1)")
+def element_subset(spark, sf):
+    """The elements of a list, with the children that are in it."""
+    versions = table(spark, sf, "element_versions")
+    rows = persistence.subset(versions, lookup.existing(versions).where("noun in ('SITE', 'ZONE', 'BRAN')"))
+    return rows.select("dbnum", "ref0", "ref1", "noun", F.array_join(F.transform("children", lambda c: F.concat_ws("/", c["ref0"], c["ref1"])), " ").alias("children"))
+
+
+@query("select distinct noun, dbnum, ref0, ref1 from element_versions where noun is not null")
+def noun_members(spark, sf):
+    return persistence.noun_members(table(spark, sf, "element_versions"))
+
+
+@query("select distinct dbnum, ref0, ref1, sesno, byte_offset, name from element_versions where name is not null order by name, dbnum, ref0, ref1, sesno, byte_offset limit 100")
+def first_named(spark, sf):
+    rows = table(spark, sf, "element_versions").select("dbnum", "ref0", "ref1", "sesno", "byte_offset", "name").distinct()
+    return persistence.first_filled(rows, "name", ["name", "dbnum", "ref0", "ref1", "sesno", "byte_offset"], 100)
+
+
 # Analytics over the change log
 
 

@@ -13,6 +13,7 @@ from elemlake.functions.names import name_of_hash, parse_refno, python_name_hash
 from elemlake.operators import chunks, lookup, search
 from elemlake.operators.change_feed import place
 from elemlake.plans.lookup_queries import ORACLES as LOOKUP_SQL
+from elemlake.plans.lookup_queries import STANDING
 from elemlake.plans.workspace import new_path, written
 from elemlake.sources.dictionary import schema_filter
 from elemlake.streaming import feed
@@ -137,9 +138,9 @@ def expression_texts(spark, sf):
 # Codecs and names
 
 
-@query("select distinct dbnum, ref0, ref1, sesno, byte_offset, noun, coalesce(owner_ref0, 0) as owner_ref0, coalesce(owner_ref1, 0) as owner_ref1, coalesce(name, '') as name, coalesce(len(children), 0) as n_children from element_versions where not deleted and noun is not null")
+@query("select distinct dbnum, ref0, ref1, sesno, byte_offset, noun, coalesce(owner_ref0, 0) as owner_ref0, coalesce(owner_ref1, 0) as owner_ref1, coalesce(name, '') as name, coalesce(array_to_string([c.ref0 || '/' || c.ref1 for c in children], ' '), '') as children from element_versions where not deleted and noun is not null")
 def record_round_trip(spark, sf):
-    """Every version written as a binary record and read again."""
+    """Every version written as a binary record, lists of children in segments of four, and read again."""
     rows = table(spark, sf, "element_versions").where("not deleted and noun is not null").distinct()
 
     def there_and_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,14 +149,66 @@ def record_round_trip(spark, sf):
         for b in batches:
             out = []
             for db, r0, r1, ses, at, noun, o0, o1, name, children in b.itertuples(index=False):
-                attrs = {"NAME": ("string", name or "")}
                 kids = [] if children is None else [(c["ref0"], c["ref1"]) for c in children]
-                x = read_element(write_element(Element((r0, r1), noun, (int(o0), int(o1)), kids, attrs)))
-                out.append((db, *x.refno, ses, at, x.noun, *x.owner, x.attrs["NAME"][1], len(x.children)))
-            yield pd.DataFrame(out, columns=["dbnum", "ref0", "ref1", "sesno", "byte_offset", "noun", "owner_ref0", "owner_ref1", "name", "n_children"])
+                x = read_element(write_element(Element((r0, r1), noun, (int(o0), int(o1)), kids, {"NAME": ("string", name or "")}), most_words=13))
+                out.append((db, *x.refno, ses, at, x.noun, *x.owner, x.attrs["NAME"][1], " ".join(f"{a}/{b}" for a, b in x.children)))
+            yield pd.DataFrame(out, columns=["dbnum", "ref0", "ref1", "sesno", "byte_offset", "noun", "owner_ref0", "owner_ref1", "name", "children"])
 
     columns = ["dbnum", "ref0", "ref1", "sesno", "byte_offset", "noun", F.coalesce("owner_ref0", F.lit(0)).alias("owner_ref0"), F.coalesce("owner_ref1", F.lit(0)).alias("owner_ref1"), "name", "children"]
-    return rows.select(*columns).mapInPandas(there_and_back, "dbnum int, ref0 bigint, ref1 bigint, sesno int, byte_offset bigint, noun string, owner_ref0 bigint, owner_ref1 bigint, name string, n_children int")
+    return rows.select(*columns).mapInPandas(there_and_back, "dbnum int, ref0 bigint, ref1 bigint, sesno int, byte_offset bigint, noun string, owner_ref0 bigint, owner_ref1 bigint, name string, children string")
+
+
+_SET_VALUES = "not (v_int is null and v_double is null and v_bool is null and v_str is null and v_doubles is null and v_refs is null)"
+
+
+@query(f"""select dbnum, ref0, ref1, sesno, key, max(v_int) as v_int, max(v_double) as v_double, bool_or(v_bool) as v_bool, max(v_str) as v_str, array_to_string(max(v_doubles), ' ') as reals, max(array_to_string([r.ref0 || '/' || r.ref1 for r in v_refs], ' ')) as refs
+  from attrs_long where {_SET_VALUES} group by 1, 2, 3, 4, 5""")
+def record_attributes(spark, sf):
+    """Every attribute of every version in a binary record, a type code for each kind of value, and read again."""
+    values = {"v_int": F.max("v_int"), "v_double": F.max("v_double"), "v_bool": F.max("v_bool"), "v_str": F.max("v_str"), "v_doubles": F.max("v_doubles"), "refs": F.max(F.transform("v_refs", lambda r: F.concat_ws("/", r["ref0"], r["ref1"])))}
+    cells = table(spark, sf, "attrs_long").where(_SET_VALUES).groupBy(*lookup.VERSION, "key").agg(*[v.alias(n) for n, v in values.items()])
+    maps = cells.groupBy(*lookup.VERSION).agg(F.collect_list(F.struct("key", *values)).alias("cells"))  # the attributes of one version, which its noun's layout bounds
+
+    def there_and_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from elemlake.codec.store import Element, read_element, write_element
+
+        # A cell may hold values of several kinds; each goes under a name of its own.
+        codes = {"v_int": "I", "v_double": "D", "v_bool": "B", "v_str": "S", "v_doubles": "L", "refs": "R"}
+        for b in batches:
+            out = []
+            for db, r0, r1, ses, cells in b.itertuples(index=False):
+                given, names = {}, []
+                for i, c in enumerate(cells):
+                    names.append(c["key"])
+                    for column, code in codes.items():
+                        v = c[column]
+                        if v is None:
+                            continue
+                        name = f"{':' if c['key'].startswith(':') else ''}{code}{''.join(chr(65 + int(d)) for d in str(i))}"
+                        kind = {"I": "int" if -(1 << 31) <= v < 1 << 31 else "ints"} if code == "I" else {"D": "double", "B": "bool", "S": "string", "L": "doubles", "R": "refs"}
+                        value = v if code in "IBDS" else [float(x) for x in v] if code == "L" else [tuple(map(int, x.split("/"))) for x in v]
+                        given[name] = (kind[code], [v >> 32, v & 0x7FFFFFFF] if kind[code] == "ints" else value)
+                x = read_element(write_element(Element((r0, r1), "ELEM", (0, 0), [], given), most_words=40))
+                for i, key in enumerate(names):
+                    tail = "".join(chr(65 + int(d)) for d in str(i))
+                    found = {code: x.attrs.get(f"{':' if key.startswith(':') else ''}{code}{tail}", (None, None))[1] for code in codes.values()}
+                    out.append((db, *x.refno, ses, key, found["I"], found["D"], found["B"], found["S"], found["L"], None if found["R"] is None else " ".join(f"{a}/{c}" for a, c in found["R"])))
+            yield pd.DataFrame(out, columns=["dbnum", "ref0", "ref1", "sesno", "key", "v_int", "v_double", "v_bool", "v_str", "v_doubles", "refs"]).astype({"v_int": "Int64", "v_bool": "boolean"})
+
+    back = maps.mapInPandas(there_and_back, "dbnum int, ref0 bigint, ref1 bigint, sesno int, key string, v_int bigint, v_double double, v_bool boolean, v_str string, v_doubles array<double>, refs string")
+    return back.select(*lookup.VERSION, "key", "v_int", "v_double", "v_bool", "v_str", F.array_join(F.transform("v_doubles", lambda x: x.cast("string")), " ").alias("reals"), "refs")
+
+
+@query(f"with {STANDING} select dbnum, ref0, ref1, sesno, noun, coalesce(owner_ref0, 0) as owner_ref0, coalesce(owner_ref1, 0) as owner_ref1, coalesce(name, '') as name, coalesce(array_to_string([c.ref0 || '/' || c.ref1 for c in children], ' '), '') as children from standing where not deleted and noun is not null and sesno is not null")
+def store_elements(spark, sf):
+    """All versions written as binary stores, a commit a session, and read through the index of each session."""
+    from elemlake.sources.store import StoreSource, write_stores
+
+    path = new_path(spark, "stores")
+    write_stores(table(spark, sf, "element_versions").where("noun is not null"), path)
+    spark.dataSource.register(StoreSource)
+    rows = spark.read.format("elemlake_store").option("table", "elements").option("errors", "fail").load(f"{path}/*.db")
+    return rows.select("dbnum", "ref0", "ref1", "sesno", "noun", "owner_ref0", "owner_ref1", "name", F.array_join(F.transform("children", lambda c: F.concat_ws("/", c["ref0"], c["ref1"])), " ").alias("children"))
 
 
 @query("select distinct noun, noun_hash, noun as decoded from element_versions where noun_hash is not null")
@@ -182,6 +235,17 @@ def chunk_bytes(spark, sf):
     return chunks.chunk_table(files).agg(F.sum("length").alias("bytes"))
 
 
+@query("select doc_id, md5(text) as digest from documents where text <> ''")
+def chunk_rebuild(spark, sf):
+    """Every text put together again: half of them seed a copy, and only the chunks that the seeds lack are fetched from the archive."""
+    files = table(spark, sf, "documents").where("text != ''").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    wanted = written(chunks.chunk_table(files), "chunks")
+    seeds = chunks.chunk_contents(files.where("cast(path as bigint) % 2 = 0"))
+    fetched = chunks.chunk_contents(files).join(chunks.missing_chunks(wanted, seeds), "hash", "left_semi")
+    whole = chunks.rebuild(wanted, seeds.unionByName(fetched))
+    return whole.select(F.col("path").cast("bigint").alias("doc_id"), F.md5("content").alias("digest"))
+
+
 @query()
 def chunk_saving(spark, sf):
     files = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))

@@ -232,6 +232,43 @@ def read_store(spark, path: str, table: str = "elements", **options):
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def write_stores(versions, folder: str, bits: int = 12) -> int:
+    """Writes versions as stores into a folder that all executors share, a file per database and 2^bits neighbouring refnos, a commit per session; how many files.
+
+    A file is written by one task and holds at most the versions of its refnos. It appears under its name when it is whole, so a task that is run again does no harm.
+    """
+    from pyspark.sql import functions as F
+
+    from elemlake.operators.lookup import standing
+
+    local = folder.removeprefix("file://") if folder.startswith("file://") else folder.removeprefix("file:")
+
+    def build(key, rows):
+        import pandas as pd
+
+        from elemlake.codec.store import Element, Writer
+
+        dbnum, ref0, block = (int(k) for k in key)
+        writer = Writer(dbnum)
+        for sesno, part in rows.sort_values(["sesno", "ref1"]).groupby("sesno"):
+            live = part[~part["deleted"]]
+            elements = [
+                Element((int(r.ref0), int(r.ref1)), r.noun, (int(r.owner_ref0), int(r.owner_ref1)), [] if r.children is None else [(c["ref0"], c["ref1"]) for c in r.children], {"NAME": ("string", r.name or "")})
+                for r in live.itertuples(index=False)
+            ]
+            writer.commit(int(sesno), elements, tuple((int(r.ref0), int(r.ref1)) for r in part[part["deleted"]].itertuples(index=False)))
+        os.makedirs(local, exist_ok=True)
+        name = f"{local}/{dbnum}_{ref0}_{block}"
+        with open(f"{name}.{os.getpid()}", "wb") as file:
+            file.write(writer.bytes())
+        os.replace(f"{name}.{os.getpid()}", f"{name}.db")
+        return pd.DataFrame({"files": [1]})
+
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    rows = standing(versions).where("dbnum is not null and ref0 is not null and ref1 is not null and sesno is not null").select("dbnum", "ref0", "ref1", "sesno", "noun", "name", "deleted", "children", zero("owner_ref0"), zero("owner_ref1"), F.shiftright("ref1", bits).alias("block"))
+    return rows.groupBy("dbnum", "ref0", "block").applyInPandas(build, "files int").agg(F.count(F.lit(1)).alias("n")).first()["n"]
+
+
 def save_offsets(index_map, path: str, page_size: int) -> None:
     """The index map as Parquet with the page size it holds for."""
     from pyspark.sql import functions as F
