@@ -14,7 +14,7 @@ from elemlake.operators import chunks, lookup, search
 from elemlake.operators.change_feed import place
 from elemlake.plans.lookup_queries import ORACLES as LOOKUP_SQL
 from elemlake.plans.lookup_queries import STANDING
-from elemlake.plans.workspace import new_path, written
+from elemlake.plans.workspace import new_path, write_bytes, written
 from elemlake.sources.dictionary import schema_filter
 from elemlake.streaming import feed
 from elemlake.tables import table
@@ -228,6 +228,28 @@ def real_expressions(spark, sf):
     return schema_filter(table(spark, sf, "noun_layout"), "Real", expressions=True).select("noun", "attr", "attr_type")
 
 
+@query("select distinct noun, attr, attr_type as data_type, attr_hash from noun_layout where attr is not null and noun is not null")
+def dictionary_schema(spark, sf):
+    """The layout written as a dictionary file, a record and a definition an attribute and an entry a noun's attribute, and read again."""
+    from elemlake.sources import dictionary
+
+    codes = {name: code for code, name in dictionary.TYPES.items()}
+    layout = table(spark, sf, "noun_layout").select("noun", "attr", "attr_type").where("attr is not null and noun is not null").distinct().orderBy("noun", "attr", "attr_type").collect()
+    names = sorted({r["attr"] for r in layout})
+    type_of = {r["attr"]: codes[r["attr_type"]] for r in layout}
+    found = dictionary.Dictionary(
+        [dictionary.Record(i + 1, name, 1, [f"about {name}"]) for i, name in enumerate(["NONE", *names])],
+        [(python_name_hash(r["noun"]), names.index(r["attr"]) + 1, codes[r["attr_type"]]) for r in layout],
+        [(python_name_hash(name), kind, 1, 0) for name, kind in type_of.items() if python_name_hash(name) in dictionary.NAME_HASHES],
+    )
+    path = new_path(spark, "dictionary")
+    write_bytes(spark, f"{path}/one.dat", dictionary.encode_dictionary(found))
+    attributes, nouns = dictionary.read_dictionary(spark, path)
+    rows = dictionary.noun_schema(attributes, nouns).join(attributes.select(F.col("name").alias("attr"), "attr_hash"), "attr")
+    kind = F.element_at(F.create_map(*[x for code, name in dictionary.TYPES.items() for x in (F.lit(code), F.lit(name))]), F.col("type_code"))
+    return rows.select("noun", "attr", kind.alias("data_type"), "attr_hash")
+
+
 @query("select sum(octet_length(encode(text))) as bytes from documents where text <> ''")
 def chunk_bytes(spark, sf):
     """Every text cut into content-defined chunks: their lengths add up to the texts'."""

@@ -79,6 +79,14 @@ def release(df: DataFrame | None) -> None:
     _WRITTEN.pop(path, None)
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A file of the shared folder's file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(data))
+    out.close()
+
+
 @contextlib.contextmanager
 def tables() -> Iterator[None]:
     """Deletes the tables made inside the block at its end; results made there must have been written or collected by then."""

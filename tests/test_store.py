@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from elemlake.codec.store import ENTRIES_AT, START_MARKER, Element, Place, ShortError, StoreError, Writer, decode_text, encode_text, read_element, read_entries, scan_records, session_time, store_of_bytes, write_element
 from elemlake.functions.names import python_name_hash, python_name_of_hash
 from elemlake.sources.dblist import parse_dump, write_dump
-from elemlake.sources.dictionary import decode_dictionary, encode_dictionary
+from elemlake.sources.dictionary import Dictionary, Record, decode_dictionary, encode_dictionary, noun_schema, read_dictionary
 
 word32 = st.integers(1, (1 << 32) - 1)
 names = st.text("ABCDEFGHIJKLMNOPQRSTUVWXYZ", min_size=1, max_size=6)
@@ -145,10 +145,29 @@ def test_dump_rules():
     assert parse_dump(write_dump(dump.elements)).elements == dump.elements
 
 
-def test_dictionary_round_trip():
-    attributes = [(python_name_hash("MASS"), 2, 1, 4), (python_name_hash("DESC"), 5, 20, 0)]
-    found, nouns = decode_dictionary(encode_dictionary(attributes, [(python_name_hash("PIPE"), 1, 5)]))
-    assert [a[1:3] for a in found] == [("MASS", "Real"), ("DESC", "Text")] and nouns[0][1] == "PIPE" and decode_dictionary(b"") == ([], [])
+def test_dictionary_round_trip(spark, tmp_path):
+    many = [f"{a}{b}" for a in "ABCDEFGHIJ" for b in "KLMNOPQRSTUVWXYZ"]
+    found = Dictionary(
+        [Record(7, "MASS", 6, ["the mass", "m", "Mass", "physics"]), Record(8, "DESC", 99, []), Record(9, "SPRE", 1, ["a reference"]), *(Record(10 + i, n, 2, ["x" * 40]) for i, n in enumerate(many))],
+        [(python_name_hash("PIPE"), 1, 5), *((python_name_hash("BRAN"), i % 160 + 1, 1) for i in range(400))],
+        [(python_name_hash("MASS"), 2, 1, 0), (python_name_hash("DESC"), 5, 2, 1), (python_name_hash("SPRE"), 4, 2, 2), *((python_name_hash(n), 1, 4, 0) for n in many * 2)],
+        [42, 2, 100, 200],
+        [(python_name_hash(n), 3, i) for i, n in enumerate(many * 3)],
+        [(5, 1, 2), (9, 0, 7)],
+    )
+    data = encode_dictionary(found)
+    read = decode_dictionary(data)
+    assert read.records[0] == found.records[0] and read.records[1].unit == -1 and read.records[2:] == found.records[2:]
+    assert (read.nouns, read.definitions, read.defaults, read.index, read.syntax) == (found.nouns, found.definitions, found.defaults, found.index, found.syntax)
+    assert decode_dictionary(b"") == Dictionary() and len(decode_dictionary(data[: len(data) // 2]).records) > 0
+    (tmp_path / "d.dat").write_bytes(data)
+    attributes, nouns = read_dictionary(spark, str(tmp_path / "d.dat"))
+    rows = {r.name: r for r in attributes.collect()}
+    assert (rows["MASS"].data_type, rows["MASS"].storage, rows["MASS"].unit_name, rows["MASS"].category) == ("Real", "DAB", "Mass", "physics")
+    assert (rows["DESC"].data_type, rows["DESC"].unit_name) == ("Text", "Invalid") and rows[many[0]].storage == "Pseudo"
+    schema = noun_schema(attributes, nouns)
+    assert {(r.noun, r.attr, r.data_type) for r in schema.where("noun = 'PIPE'").collect()} == {("PIPE", "DESC", "Text")} and schema.count() == 401
+    assert noun_schema(attributes, nouns, 1).where("noun = 'PIPE'").first().attr == "MASS"
 
 
 def test_data_source(spark, tmp_path):
