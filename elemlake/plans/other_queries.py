@@ -240,7 +240,7 @@ def dictionary_schema(spark, sf):
     found = dictionary.Dictionary(
         [dictionary.Record(i + 1, name, 1, [f"about {name}"]) for i, name in enumerate(["NONE", *names])],
         [(python_name_hash(r["noun"]), names.index(r["attr"]) + 1, codes[r["attr_type"]]) for r in layout],
-        [(python_name_hash(name), kind, 1, 0) for name, kind in type_of.items() if python_name_hash(name) in dictionary.NAME_HASHES],
+        [(python_name_hash(name.lstrip(":")), kind, 1, 0) for name, kind in type_of.items()],
     )
     path = new_path(spark, "dictionary")
     write_bytes(spark, f"{path}/one.dat", dictionary.encode_dictionary(found))

@@ -182,7 +182,7 @@ def attribute_rows(found: Dictionary) -> list[tuple]:
     rows = []
     for i, r in enumerate(found.records):
         try:
-            hashed = python_name_hash(r.name)
+            hashed = python_name_hash(r.name.lstrip(":"))
         except ValueError:
             hashed = None
         kind, how, place = defined.get(hashed, (0, 0, 0))

@@ -8,7 +8,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from elemlake.functions.expressions import FUNCTIONS, INFIX, ExpressionError, Options, compile_expression, encode_words, opcode_counts, opcode_histogram, stored_number, to_text, tree_of_payload
+from elemlake.functions.expressions import FUNCTIONS, INFIX, ExpressionError, Options, compile_expression, encode_words, opcode_counts, opcode_histogram, other_elements, stored_number, to_text, tree_of_payload, values_of_others
 from elemlake.functions.names import python_name_hash
 
 
@@ -120,3 +120,25 @@ def test_opcodes_of_rows(spark):
     found = opcode_histogram(spark.createDataFrame([(p,) for p in payloads], "payload binary").withColumn("n", F.lit(0)))
     assert sorted(map(tuple, found.collect())) == [(0x65, 5, True), (602, 2, True), (9999, 1, False)]
     assert opcode_histogram(spark.createDataFrame([], "payload binary")).count() == 0
+
+
+def test_attribute_of_another_element(spark):
+    of = lambda ref0, ref1: [*attr("MASS"), 1602, 5, ref0, ref1, 0, 0]
+    tree = tree_of_payload(encode_words([*attr("MASS"), *of(13, 7), 802, *of(13, 8), 805]))
+    assert to_text(tree) == "(ATTRIB MASS + (ATTRIB MASS OF =13/7)) / (ATTRIB MASS OF =13/8)" and other_elements(tree) == [("MASS", 13, 7), ("MASS", 13, 8)]
+    attrs = spark.createDataFrame([(13, 7, 1, "MASS", 5.0), (13, 7, 3, "MASS", 9.0), (13, 7, 4, "ANGL", 1.0), (13, 8, 1, "MASS", 4.0), (13, 9, 9, "MASS", 0.0)], "ref0 bigint, ref1 bigint, sesno int, key string, value double")
+    rows = spark.createDataFrame([(3.0,), (None,)], "MASS double")
+    column = compile_expression(tree, F.col, other=values_of_others(tree, attrs))
+    assert [r[0] for r in rows.select(column).collect()] == [3.0, None]
+    missing = tree_of_payload(encode_words([*of(1, 1)]))
+    assert rows.select(compile_expression(missing, F.col, other=values_of_others(missing, attrs))).first()[0] is None
+    with pytest.raises(ExpressionError):
+        compile_expression(missing, F.col)
+    assert other_elements(tree_of_payload(encode_words([*attr("MASS"), 1602, 5, 0, 1701, 0, 0]))) == []
+
+
+def test_fortieths(spark):
+    from elemlake.functions.literals import fortieths
+
+    rows = spark.createDataFrame([(19,), (3,), (7,), (100,), (-3,), (None,)], "raw int").select(fortieths(F.col("raw"), 2).alias("two"), fortieths(F.col("raw"), 3).alias("three")).collect()
+    assert [r.two for r in rows] == [0.47, 0.07, 0.17, 2.5, -0.08, None] and [r.three for r in rows] == [0.475, 0.075, 0.175, 2.5, -0.075, None]
