@@ -167,12 +167,15 @@ def _status(pairs: DataFrame, versions: DataFrame, deltas: DataFrame, owner_as_o
         other = other | ~F.col(c).eqNullSafe(F.col(f"prev.{c}"))
     first = F.col("prev").isNull() | F.col("prev.deleted")
     operation = F.when(F.col("deleted"), "Deleted").when(first, "Add").when(gone, "Deleted").when(children_changed | other | F.col("n_attributes").isNotNull(), "Modified")
-    judged = rows.select(*VERSION, operation.alias("operation"), (operation == "Modified").alias("m"), children_changed.alias("c"), F.coalesce("n_attributes", F.lit(0)).alias("n"), F.when(~F.col("deleted") & ~first & ~gone, F.array_except(F.coalesce("prev.children", F.array()), F.coalesce("children", F.array()))).alias("dropped"))
-    own = judged.where("operation is not null").select(*VERSION, "operation", F.when(F.col("m"), F.col("c")).otherwise(F.lit(False)).alias("children_changed"), F.when(F.col("m"), F.col("n")).otherwise(F.lit(0)).cast("bigint").alias("n_attributes"), F.lit(0).alias("from_parent"))
-    lost = judged.where(F.size("dropped") > 0).select("dbnum", "sesno", F.explode("dropped").alias("x")).where("x.ref0 is not null and x.ref1 is not null")
-    lost = lost.select("dbnum", F.col("x.ref0").alias("ref0"), F.col("x.ref1").alias("ref1"), "sesno", F.lit("Deleted").alias("operation"), F.lit(False).alias("children_changed"), F.lit(0).cast("bigint").alias("n_attributes"), F.lit(1).alias("from_parent"))
-    # One row per element and session; its own comes before what a parent says of it. Both sides meet in one aggregation, not in a join.
-    best = own.unionByName(lost).groupBy(*VERSION).agg(F.min(F.struct("from_parent", "operation", "children_changed", "n_attributes")).alias("x"))
+    gone_children = F.when(~F.col("deleted") & ~first & ~gone, F.array_except(F.coalesce("prev.children", F.array()), F.coalesce("children", F.array())))
+    judged = rows.select(*VERSION, operation.alias("operation"), F.coalesce(operation == "Modified", F.lit(False)).alias("m"), children_changed.alias("c"), F.coalesce("n_attributes", F.lit(0)).alias("n"), gone_children.alias("dropped"))
+    # What a version says of itself and of children, in one pass: narrow rows, of which one stays per element and session. An element's own row comes before what a parent says.
+    said = F.expr(
+        "concat(if(operation is null, array(), array(struct(ref0, ref1, 0 as from_parent, operation, m and c as children_changed, if(m, n, 0L) as n_attributes))),"
+        " transform(filter(coalesce(dropped, array()), x -> x.ref0 is not null and x.ref1 is not null), x -> struct(x.ref0 as ref0, x.ref1 as ref1, 1 as from_parent, 'Deleted' as operation, false as children_changed, 0L as n_attributes)))"
+    )
+    told = judged.select("dbnum", "sesno", F.explode(said).alias("x")).select("dbnum", "sesno", "x.*")
+    best = told.groupBy(*VERSION).agg(F.min(F.struct("from_parent", "operation", "children_changed", "n_attributes")).alias("x"))
     return best.select(*VERSION, "x.operation", "x.children_changed", "x.n_attributes")
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from elemlake.plans.skew import sums_before
-from elemlake.plans.workspace import release, written
+from elemlake.plans.workspace import release, written, written_counting
 
 #: The least number of blocks over which the children of one parent are spread when their subtrees are laid out, and the chains for which there is one more.
 SIBLING_BLOCKS, CHAINS_PER_BLOCK = 64, 200_000
@@ -69,14 +69,13 @@ def parent_links(versions: DataFrame) -> DataFrame:
 
 def subtree_sizes(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cycle separation: (id, parent, size) of the nodes in trees, and (id) of those on or below loops."""
-    nodes = written(links.select("id", "parent", F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("size")), "doubling")
-    climbing = nodes.where("up is not null").count()
+    up = F.col("up").isNotNull()
+    nodes, climbing = written_counting(links.select("id", "parent", F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("size")), "doubling", up)
     while climbing:
         add = nodes.where("up is not null").groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more"))
         jumps = nodes.where("up is not null").select("id", "up").join(nodes.select(F.col("id").alias("up"), F.col("up").alias("next")), "up").where("next is not null").select("id", "next")
         step = nodes.select("id", "parent", "size").join(add, "id", "left").join(jumps, "id", "left")
-        after = written(step.select("id", "parent", F.col("next").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), "doubling")
-        left = after.where("up is not null").count()
+        after, left = written_counting(step.select("id", "parent", F.col("next").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), "doubling", up)
         release(nodes)
         nodes = after
         if left == climbing:
@@ -85,24 +84,24 @@ def subtree_sizes(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.where("up is null").select("id", "parent", "size"), nodes.where("up is not null").select("id")
 
 
-def chain_labels(trees: DataFrame) -> DataFrame:
-    """(id, parent, size, heavy, head, place): each tree node with its chain's head and its place in the chain; heavy is its heavy child."""
+def chain_labels(trees: DataFrame) -> tuple[DataFrame, int]:
+    """(id, parent, size, heavy, head, place): each tree node with its chain's head and its place in the chain; heavy is its heavy child. Also how many chains there are."""
     heavy = trees.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.max(F.struct("size", (-F.col("id")).alias("id"))).alias("h")).select("id", (-F.col("h.id")).alias("heavy"), F.col("h.size").alias("heavy_size"))
     with_heavy = written(trees.join(heavy, "id", "left"), "heavy")
     is_heavy = with_heavy.where("heavy is not null").select(F.col("heavy").alias("id"), F.col("id").alias("above"))
     start = with_heavy.select("id").join(is_heavy, "id", "left").select("id", F.coalesce("above", "id").alias("head"), F.when(F.col("above").isNull(), 0).otherwise(1).cast("bigint").alias("place"))
-    labels = written(start.withColumn("done", F.col("place") == 0), "chains")
-    while labels.where("not done").limit(1).count():
+    labels, open_count = written_counting(start.withColumn("done", F.col("place") == 0), "chains", ~F.col("done"))
+    while open_count:
         open_ = labels.where("not done").select("id", F.col("head").alias("via"), "place")
         there = labels.select(F.col("id").alias("via"), F.col("head").alias("far"), F.col("place").alias("more"), F.col("done").alias("far_done"))
         moved = open_.join(there, "via").select("id", F.col("far").alias("head"), (F.col("place") + F.col("more")).alias("place"), F.col("far_done").alias("done"))
-        after = written(labels.where("done").unionByName(moved), "chains")
+        after, open_count = written_counting(labels.where("done").unionByName(moved), "chains", ~F.col("done"))
         release(labels)
         labels = after
-    out = written(with_heavy.join(labels.drop("done"), "id"), "labels")
+    out, n_chains = written_counting(with_heavy.join(labels.drop("done"), "id"), "labels", F.col("place") == 0)
     release(labels)
     release(with_heavy)
-    return out
+    return out, n_chains
 
 
 def cut_chains(labels: DataFrame, segment: int) -> DataFrame:
@@ -116,10 +115,10 @@ def cut_chains(labels: DataFrame, segment: int) -> DataFrame:
     return written(parts.select("id", "parent", "size", "heavy", "heavy_size", F.col("start").alias("head"), (F.col("place") % segment).alias("place"), (F.col("number") > 0).alias("cut")), "segments")
 
 
-def chain_table(labels: DataFrame, paths: bool = False) -> DataFrame:
+def chain_table(labels: DataFrame, n_chains: int, paths: bool = False) -> DataFrame:
     """(head, root, depth, preorder[, prefix]) of every chain; prefix is the path to the head's parent."""
     heads = labels.where("place = 0").select(F.col("id").alias("head"), "parent", "size", "cut")
-    blocks = SIBLING_BLOCKS + heads.count() // CHAINS_PER_BLOCK
+    blocks = SIBLING_BLOCKS + n_chains // CHAINS_PER_BLOCK
     # Where a chain's subtree starts below its parent: after the heavy subtree and the light siblings before it. A further segment is the heavy subtree itself.
     light = heads.where("parent is not null and not cut").withColumn("block", F.pmod(F.xxhash64("head"), F.lit(blocks)))
     laid = sums_before(light, ["parent"], "block", ["head"], "size", "before").select("head", "parent", "before", "cut")
@@ -142,8 +141,8 @@ def chain_table(labels: DataFrame, paths: bool = False) -> DataFrame:
         if paths:
             found = found.join(members, "parent_chain")
             columns.append(F.concat(F.col("prefix"), F.slice("members", F.lit(1), (F.col("parent_place") + 1).cast("int"))).alias("prefix"))
-        level = written(found.select(*columns), "chain-level")
-        if level.limit(1).count() == 0:
+        level, n = written_counting(found.select(*columns), "chain-level", F.lit(True))
+        if n == 0:
             release(level)
             break
         levels.append(level)
@@ -163,9 +162,9 @@ def hierarchy(links: DataFrame, paths: bool = False, segment: int = SEGMENT) ->
     and nulls otherwise.
     """
     trees, loops = subtree_sizes(links)
-    labels = chain_labels(trees)
+    labels, n_chains = chain_labels(trees)
     labels = cut_chains(labels, segment) if paths else labels.withColumn("cut", F.lit(False))
-    chains = chain_table(labels, paths)
+    chains = chain_table(labels, n_chains, paths)
     joined = labels.select("id", "head", "place", "size").join(chains, "head")
     first = F.col("preorder") + F.col("place")
     columns = ["id", "root", (F.col("depth") + F.col("place")).cast("int").alias("depth"), first.alias("preorder"), (first + F.col("size") - 1).alias("last_descendant"), (F.col("size") - 1).alias("n_descendants")]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from elemlake.operators.lookup import ELEMENT, existing, known_children
-from elemlake.plans.workspace import release, written
+from elemlake.plans.workspace import release, written, written_counting
 
 
 def child_edges(versions: DataFrame) -> DataFrame:
@@ -42,12 +42,10 @@ def _by_doubling(roots: DataFrame, edges: DataFrame) -> DataFrame | None:
     Depths have no gaps, so a round that reaches nothing new is the last.
     """
     hops, most, step = edges, 2 * edges.count(), 1
-    reached = written(roots, "reached")
-    size = reached.count()
+    reached, size = written_counting(roots, "reached", F.lit(True))
     while True:
         far = _parents(reached, "depth").join(hops, ["dbnum", "parent0", "parent1"]).select(*ELEMENT, (F.col("depth") + step).alias("depth"))
-        after = written(reached.unionByName(far).groupBy(*ELEMENT).agg(F.min("depth").alias("depth")), "reached")
-        count = after.count()
+        after, count = written_counting(reached.unionByName(far).groupBy(*ELEMENT).agg(F.min("depth").alias("depth")), "reached", F.lit(True))
         release(reached)
         reached = after
         if count == size:
@@ -55,8 +53,8 @@ def _by_doubling(roots: DataFrame, edges: DataFrame) -> DataFrame | None:
         size, step = count, step * 2
         middle = hops.select("dbnum", "parent0", "parent1", F.col("ref0").alias("middle0"), F.col("ref1").alias("middle1"))
         below = hops.select("dbnum", F.col("parent0").alias("middle0"), F.col("parent1").alias("middle1"), "ref0", "ref1")
-        longer = written(middle.join(below, ["dbnum", "middle0", "middle1"]).drop("middle0", "middle1").distinct(), "hops")
-        if longer.count() > most:
+        longer, count = written_counting(middle.join(below, ["dbnum", "middle0", "middle1"]).drop("middle0", "middle1").distinct(), "hops", F.lit(True))
+        if count > most:
             return None
         hops = longer
 

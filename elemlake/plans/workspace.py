@@ -18,7 +18,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK: list[str] = []
 _WRITTEN: dict[str, SparkSession] = {}
@@ -48,6 +49,13 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return out
 
 
+def written_counting(df: DataFrame, name: str, counted: Column) -> tuple[DataFrame, int]:
+    """written(), and for how many rows a condition holds, counted while they are written instead of in a pass of its own."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count_if(counted).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def bucketed(df: DataFrame, name: str, keys: list[str], partition_by: list[str] | None = None, buckets: int | None = None, placed: bool = False) -> DataFrame:
     """df, written hash-bucketed and sorted by keys. Joins and aggregations on exactly these keys need no exchange.
 
