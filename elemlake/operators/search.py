@@ -1,7 +1,7 @@
 """Element search: documents, tokens, typo-tolerant matching, filters, order and paging.
 
 Query words meet the distinct tokens of the corpus, not its rows: tokens are
-counted once, the query's words (a handful, with a checked bound) are compared
+counted once, the query's words are compared
 with them, and documents join the few tokens that match. Ranking: exact before prefix
 before one edit (words of five letters and more) or two (nine and more).
 """
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from elemlake.operators.change_feed import operation
 
-#: Words of one search.
-MOST_WORDS = 64
+#: Words that are compared with the tokens in one expression; longer searches take several.
+WORDS_AT_ONCE = 64
 FILTERABLE = ("element_type", "operation_type", "sesno", "refno", "dbnum")
 SORTABLE = ("sesno", "timestamp", "name", "refno")
 
@@ -44,10 +44,7 @@ def tokens_of(text: Column) -> Column:
 
 
 def query_words(query: str) -> list[str]:
-    words = [w for w in dict.fromkeys(re.split(r"[\W_]+", query.lower())) if w]
-    if len(words) > MOST_WORDS:
-        raise ValueError(f"a search has at most {MOST_WORDS} words")
-    return words
+    return [w for w in dict.fromkeys(re.split(r"[\W_]+", query.lower())) if w]
 
 
 def token_score(token: Column, word: str) -> Column:
@@ -83,8 +80,12 @@ def search(docs: DataFrame, query: str = "", filters: dict[str, object] | None =
         text = F.concat_ws(" ", "name", "element_type", "attributes_text", "refno")
         placed = rows.select("id", F.explode(tokens_of(text)).alias("token"))
         distinct = placed.select("token").distinct()
-        hits = F.array_compact(F.array(*[F.when(token_score(F.col("token"), w).isNotNull(), F.struct(F.lit(i).alias("word"), token_score(F.col("token"), w).alias("s"))) for i, w in enumerate(words)]))
-        matching = distinct.select("token", F.explode(hits).alias("h")).select("token", "h.*")
+        matching = None
+        for start in range(0, len(words), WORDS_AT_ONCE):
+            some = list(enumerate(words))[start : start + WORDS_AT_ONCE]
+            hits = F.array_compact(F.array(*[F.when(token_score(F.col("token"), w).isNotNull(), F.struct(F.lit(i).alias("word"), token_score(F.col("token"), w).alias("s"))) for i, w in some]))
+            found = distinct.select("token", F.explode(hits).alias("h")).select("token", "h.*")
+            matching = found if matching is None else matching.unionByName(found)
         per_word = placed.join(matching, "token").groupBy("id", "word").agg(F.max("s").alias("s"))
         scored = per_word.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("s").cast("int").alias("score")).where(F.col("n") == len(words)).drop("n")
         rows = rows.join(scored, "id")

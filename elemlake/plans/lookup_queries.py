@@ -143,9 +143,11 @@ def in_both_stores(spark, sf):
     return table(spark, sf, "element_versions").select("ref0", "ref1").intersect(table(spark, sf, "index_entries").where("level = 0").select("ref0", "ref1"))
 
 
-@query("select ref0, ref1 from element_versions except select ref0, ref1 from index_entries where level = 0")
+@query("select dbnum, ref0, ref1, sesno from element_versions except select dbnum, ref0, ref1, sesno from index_entries where level = 0")
 def scan_only(spark, sf):
-    return table(spark, sf, "element_versions").select("ref0", "ref1").subtract(table(spark, sf, "index_entries").where("level = 0").select("ref0", "ref1"))
+    """Versions that the index of their session does not name."""
+    key = ["dbnum", "ref0", "ref1", "sesno"]
+    return table(spark, sf, "element_versions").select(*key).subtract(table(spark, sf, "index_entries").where("level = 0").select(*key))
 
 
 @query("select ref0, ref1 from index_entries where level = 0 except select ref0, ref1 from element_versions")

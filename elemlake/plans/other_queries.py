@@ -217,10 +217,10 @@ def noun_names(spark, sf):
     return rows.select("noun", "noun_hash", name_of_hash(F.col("noun_hash")).alias("decoded"))
 
 
-@query("select distinct v_str, cast(regexp_extract(v_str, '=([0-9]+)/([0-9]+)', 1) as bigint) as ref0, cast(regexp_extract(v_str, '=([0-9]+)/([0-9]+)', 2) as bigint) as ref1, replace(ltrim(v_str, '='), '/', '_') as shown from attrs_long where regexp_full_match(v_str, '=[0-9]+/[0-9]+')")
+@query("select distinct trim(value) as value, cast(regexp_extract(trim(value), '=([0-9]+)/([0-9]+)', 1) as bigint) as ref0, cast(regexp_extract(trim(value), '=([0-9]+)/([0-9]+)', 2) as bigint) as ref1, replace(ltrim(trim(value), '='), '/', '_') as shown from dblist_attrs where regexp_full_match(trim(value), '=[0-9]+/[0-9]+')")
 def reference_texts(spark, sf):
-    rows = table(spark, sf, "attrs_long").where(F.col("v_str").rlike("^=[0-9]+/[0-9]+$")).select("v_str").distinct().withColumn("r", parse_refno(F.col("v_str")))
-    return rows.select("v_str", "r.ref0", "r.ref1", refno_text(F.col("r.ref0"), F.col("r.ref1"), "_").alias("shown"))
+    rows = table(spark, sf, "dblist_attrs").select(F.trim("value").alias("value")).where(F.col("value").rlike("^=[0-9]+/[0-9]+$")).distinct().withColumn("r", parse_refno(F.col("value")))
+    return rows.select("value", "r.ref0", "r.ref1", refno_text(F.col("r.ref0"), F.col("r.ref1"), "_").alias("shown"))
 
 
 @query("select noun, attr, attr_type from noun_layout where attr_type = 'Real' and is_expr")
