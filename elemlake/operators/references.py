@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from elemlake.plans.workspace import written
+
 #: Keys of one block, as a power of two.
 BLOCK_BITS = 12
 START_MARKER = 0x80000001  # in both words
@@ -83,7 +85,8 @@ def absences(targets: DataFrame, versions: DataFrame) -> DataFrame:
 
 def orphan_references(versions: DataFrame, index_entries: DataFrame) -> DataFrame:
     """Every reference whose target does not exist at the row's session, with the kind of absence; repeated references once."""
-    standing = standing_versions(versions)
+    # Reduced once: references read owners and children of it, runs and states only keys.
+    standing = written(standing_versions(versions), "standing-versions")
     refs = references(standing, index_entries)
     gone = absences(refs.select("dbnum", "sesno", "target_ref0", "target_ref1"), standing)
     found = refs.join(gone, ["dbnum", "sesno", "target_ref0", "target_ref1"])
