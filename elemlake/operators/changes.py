@@ -227,14 +227,18 @@ def primary_status(versions: DataFrame) -> DataFrame:
 def increments(versions: DataFrame, attrs: DataFrame, sessions: DataFrame | None = None, first: int | None = None, last: int | None = None, owner_as_of: str = "latest", only_latest: bool = False) -> DataFrame:
     """operation_status() of some sessions: a range, a table of (dbnum, sesno), or both.
 
-    Only the versions of those sessions and the version before each are compared, and only their attributes are
-    hashed; what is read of the others are the owners. only_latest keeps what versions say that are their element's newest.
+    Only elements that those sessions wrote are looked at: their versions of those sessions are compared with the version before each, and
+    only the attributes of these are hashed. Of the others the owners they name are read. only_latest keeps what versions say that are their element's newest.
     """
-    rows = standing(versions if last is None else versions.where(F.col("sesno") <= last))
+    upto = versions if last is None else versions.where(F.col("sesno") <= last)
     asked = F.lit(True) if first is None else F.col("sesno") >= first
+    written_in = upto.where(asked)
     if sessions is not None:
-        chosen = sessions.select("dbnum", "sesno").distinct().withColumn("_chosen", F.lit(True))
-        rows = rows.join(chosen, ["dbnum", "sesno"], "left")  # a row per session: small beside the versions
+        chosen = sessions.select("dbnum", "sesno").distinct()
+        written_in = written_in.join(chosen, ["dbnum", "sesno"], "left_semi")
+    rows = standing(upto.join(written_in.select(*ELEMENT).distinct(), ELEMENT, "left_semi"))
+    if sessions is not None:
+        rows = rows.join(chosen.withColumn("_chosen", F.lit(True)), ["dbnum", "sesno"], "left")
         asked = asked & F.col("_chosen").isNotNull()
     rows = rows.withColumn("_asked", asked)
     order = Window.partitionBy(*ELEMENT).orderBy("sesno")
@@ -247,7 +251,8 @@ def increments(versions: DataFrame, attrs: DataFrame, sessions: DataFrame | None
     order_asked = F.coalesce(F.lead("_asked").over(order), F.lit(False))
     wanted = _neighbours(rows).withColumn("_next", order_asked).where("_asked or _next")
     deltas = _deltas(wanted, attrs.join(wanted.select(*VERSION), VERSION, "left_semi"), BOOKKEEPING)
-    return _status(pairs, versions, deltas, owner_as_of)
+    named = pairs.select("dbnum", F.col("owner_ref0").alias("ref0"), F.col("owner_ref1").alias("ref1")).distinct()
+    return _status(pairs, versions.join(named, ELEMENT, "left_semi"), deltas, owner_as_of)
 
 
 def recent_sessions(sessions: DataFrame, n: int = 1) -> DataFrame:

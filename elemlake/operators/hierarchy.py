@@ -173,6 +173,17 @@ def hierarchy(links: DataFrame, paths: bool = False, segment: int = SEGMENT) ->
     return joined.select(*columns).unionByName(loops.select("id", F.lit(-1).alias("depth")), allowMissingColumns=True)
 
 
+def subtree_sums(tree: DataFrame, amount: str, bits: int = 14) -> DataFrame:
+    """(id, total): the sum of an amount over every node and its descendants, read off the preorder intervals of hierarchy() rows that have it.
+
+    What comes before a node in its tree is summed in blocks of 2^bits places, so a tree may hold all nodes; nodes on or below loops have no total.
+    """
+    rows = tree.where("preorder is not null").select("id", "root", "preorder", "last_descendant", F.col(amount).alias("amount"), F.shiftright("preorder", bits).alias("block"))
+    summed = written(sums_before(rows, ["root"], "block", ["preorder"], "amount", "before"), "subtree-sums")
+    last = summed.select("root", F.col("preorder").alias("last_descendant"), (F.col("before") + F.col("amount")).alias("through"))
+    return summed.join(last, ["root", "last_descendant"]).select("id", (F.col("through") - F.col("before")).alias("total"))
+
+
 def element_hierarchy(versions: DataFrame, paths: bool = False) -> DataFrame:
     """The hierarchy of the elements that exist now, with refnos; elements on or below a loop have root (0, 0) and depth -1."""
     tree = hierarchy(parent_links(versions), paths)

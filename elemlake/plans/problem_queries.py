@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from elemlake.operators.attribute_pivot import long_form, unfilled_cells, wide_table
 from elemlake.operators.change_feed import current_attributes
-from elemlake.operators.hierarchy import element_hierarchy
+from elemlake.operators.hierarchy import element_hierarchy, hierarchy, parent_links, subtree_sums, words
 from elemlake.operators.references import orphan_references, orphan_report
 from elemlake.operators.satellites import attributes_as_of, element_periods, satellite_periods, satellites
 from elemlake.operators.snapshot_diff import snapshot_changes
@@ -81,8 +81,15 @@ def p6_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return element_hierarchy(table(spark, sf, "element_versions")).select("ref0", "ref1", "root_ref0", "root_ref1", "preorder", "last_descendant")
 
 
+def p6_subtrees(spark: SparkSession, sf: str) -> DataFrame:
+    """The sum of ref1 over every element and its descendants, from the preorder intervals: which elements they hold, told by a number that SQL can find."""
+    tree = hierarchy(parent_links(table(spark, sf, "element_versions"))).withColumn("amount", words("id")[1])
+    ref0, ref1 = words("id")
+    return subtree_sums(tree, "amount").select(ref0.alias("ref0"), ref1.alias("ref1"), "total")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_wide, p1_cells, p2_found, p2_summary, p3_found, p3_satellites, p3_as_of, p4_found, p5_found, p5_report, p6_found, p6_paths, p6_descendants)
+    f.__name__: f for f in (p1_found, p1_wide, p1_cells, p2_found, p2_summary, p3_found, p3_satellites, p3_as_of, p4_found, p5_found, p5_report, p6_found, p6_paths, p6_descendants, p6_subtrees)
 }
 
 _P1_LINES = r"""
@@ -250,6 +257,10 @@ from links l left join down d using (ref0, ref1) left join below b on b.node = l
 """
 )
 
+_P6_SUBTREES = _P6_PATHS[: _P6_PATHS.index("below as (")] + """sums as (select a as node, sum(ref1) as total from (select unnest(path) as a, ref1 from down) group by 1)
+select l.ref0, l.ref1, cast(s.total as bigint) as total from links l join sums s on s.node = l.ref0 || '/' || l.ref1
+"""
+
 ORACLES: dict[str, str] = {
     "p1_found": f"with {_P1_LINES} select source, elem_no, attr as key from cells where bad",
     "p1_cells": f"""with {_P1_LINES}, stored as (select distinct attr, case attr_type when 'Integer' then 'integer' when 'Real' then 'number' when 'Boolean' then 'boolean' when 'Position' then 'position' else 'text' end as stored from noun_layout),
@@ -266,4 +277,5 @@ ORACLES: dict[str, str] = {
     "p5_report": _P5 + "select ref_field, dbnum, sesno, miss_kind, count(*) as n_references, count(distinct (target_ref0, target_ref1)) as n_targets from found group by 1, 2, 3, 4",
     "p6_found": _P6,
     "p6_paths": _P6_PATHS,
+    "p6_subtrees": _P6_SUBTREES,
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from elemlake.operators.attribute_pivot import long_form, unfilled_cells, wide_columns, wide_table
 from elemlake.operators.change_feed import current_attributes
-from elemlake.operators.hierarchy import element_hierarchy, hierarchy
+from elemlake.operators.hierarchy import element_hierarchy, hierarchy, subtree_sums
 from elemlake.operators.references import contiguous_runs, orphan_references
 from elemlake.operators.satellites import append_satellites, attributes_as_of, changed_rows, element_periods, satellites, version_rows
 from elemlake.operators.snapshot_diff import apply_snapshot, snapshot_changes
@@ -277,6 +277,18 @@ def test_hierarchy(spark, shape):
         assert below == inside and found[x].n_descendants == len(below)
 
 
+def test_subtree_sums(spark):
+    rng = random.Random(8)
+    parents = {i: None if i % 50 == 0 else rng.randrange(i) for i in range(200)} | {300: 300}
+    links = spark.createDataFrame(list(parents.items()), "id bigint, parent bigint")
+    true = plainly(parents)
+    want = {x: sum(y for y, p in true.items() if p and x in p) for x, path in true.items() if path}
+    for bits in (2, 14):
+        got = {r.id: r.total for r in subtree_sums(hierarchy(links).withColumn("a", F.col("id")), "a", bits).collect()}
+        assert got == want
+    assert subtree_sums(hierarchy(links.limit(0)).withColumn("a", F.col("id")), "a").count() == 0
+
+
 def test_element_parents(spark):
     kids = lambda *r: [(1, x) for x in r]
     versions = [version(1, ref1=1, children=kids(2, 3, 5)), version(1, ref1=2), version(1, ref1=3, owner=(None, None)), version(1, ref1=4, owner=(1, 99)), version(1, ref1=5, owner=(1, 4)), version(1, ref1=6, children=kids(3)), version(1, ref1=7, owner=(1, 7)), version(1, ref1=8, owner=(1, 7)), version(1, ref1=9, owner=(1, 1)), version(2, True, ref1=9), (1, None, 5, 1, 1, "X", 1, 0, 0, None, None, False), (1, (1 << 32) - 1, 5, 1, 1, "X", 1, 1, 1, None, None, False)]
