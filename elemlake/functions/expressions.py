@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from elemlake.functions.names import python_name_of_hash
 
@@ -480,6 +481,65 @@ def _lookup(value: Column, table: dict[float, float] | None) -> Column:
     return out
 
 
+# Axes in explicit attributes
+
+# The marks of an axis payload and of its forms; axis codes; what a direction to a number of coordinates begins with.
+AXIS_HEAD, AXIS_MARK = 5, 2
+ONE_COORDINATE, TWO_COORDINATES, PLINE_POINT, DIRECTION_TO = 0x16, 0x17, 0x22, 0x34
+AXIS_CODES = {11: "X", 12: "-X", 13: "Y", 14: "-Y", 15: "Z", 16: "-Z"}
+POINT_WORDS, SINGLE_AXIS, TO_COUNT = (0x52, 3, 7), 61, {0x1F: 1, 0x20: 2, 0x21: 3}
+
+
+def _coordinate(words: list[int], negate: bool) -> tuple[str, list[int]]:
+    """An axis code, a length and an expression: the text with brackets, and the words after it. negate moves the sign of the axis into the brackets."""
+    if len(words) < 3 or words[1] < 2 or len(words) < words[1] + 1:
+        raise ExpressionError("a coordinate breaks off")
+    axis, n = AXIS_CODES.get(words[0], " "), words[1]
+    inside = to_text(tree_of_words(words[3 : n + 1]))
+    text = f"{axis[1:]} (NEG ( {inside} )) " if negate and axis.startswith("-") else f"{axis} ( {inside} ) "
+    return text, words[n + 1 :]
+
+
+def axis_text(payload: bytes) -> str | None:
+    """The text of an axis of an explicit attribute: one axis, axes with coordinates between them, a point of a p-line, or a direction to coordinates; None for another form."""
+    words = list(struct.unpack_from(f">{len(payload) // 4}i", payload))
+    if len(words) < AXIS_HEAD:
+        return None
+    mark, form, rest = words[3], words[4], words[AXIS_HEAD:]
+    if mark == AXIS_MARK and form in (ONE_COORDINATE, TWO_COORDINATES):
+        parts = []
+        for _ in range(1 if form == ONE_COORDINATE else 2):
+            text, rest = _coordinate(rest, False)
+            parts.append(text)
+        if not rest:
+            raise ExpressionError("the last axis is missing")
+        return ("AXIS " if parts[0].startswith("-") else "") + "".join(parts) + AXIS_CODES.get(rest[0], " ")
+    if mark == AXIS_MARK and form == PLINE_POINT:
+        return f"PP {rest[3]}" if tuple(rest[:3]) == POINT_WORDS and len(rest) > 3 else None
+    if mark == AXIS_MARK and form == DIRECTION_TO:
+        if len(rest) < 2 or rest[1] not in TO_COUNT:
+            return None
+        parts, count, rest = [], TO_COUNT[rest[1]], rest[2:]
+        for _ in range(count):
+            text, rest = _coordinate(rest, True)
+            parts.append(text)
+        return "TO " + "".join(parts)
+    return AXIS_CODES.get(rest[0]) if len(rest) > 1 and rest[1] == SINGLE_AXIS else None
+
+
+@F.pandas_udf(T.StringType())
+def explicit_axis(payloads: pd.Series) -> pd.Series:
+    """axis_text() of payloads; null also for those that break off."""
+
+    def text(payload: object) -> str | None:
+        try:
+            return None if payload is None else axis_text(bytes(payload))
+        except ExpressionError:
+            return None
+
+    return payloads.map(text)
+
+
 # Payloads in rows
 
 

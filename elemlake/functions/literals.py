@@ -10,7 +10,11 @@ DIRECTIONS = {11: "X", 12: "-X", 13: "Y", 14: "-Y", 15: "Z", 16: "-Z"}
 AXES = {1: "X", 2: "Y", 3: "Z"}
 NEGATIVE = 2
 SPECIAL = ("PREV", "NEXT", "BLRF NUM 1", "CATR", "BLTP 1")
-ANGLE_WORDS = ("DDHEIGHT", "DDANGLE", "DDRADIUS")
+ANGLE_WORDS = {-5: "DDHEIGHT", -4: "DDANGLE", -3: "DDRADIUS"}
+SIGNED_AXES = {1: "X", 2: "Y", 3: "Z", 4: "-X", 5: "-Y", 6: "-Z"}
+# Where the ranges of parameter numbers begin: design, inner, twice, twice design, twice inner; and the negative points.
+DESIGN, INNER, TWICE, TWICE_DESIGN, TWICE_INNER, TWICE_END, NEGATIVE_POINTS = 50, 101, 501, 550, 601, 1001, 1000
+AXIS, NEGATIVE_AXIS, POINT, AXIS_FLAG = 1, 2, 3, 2
 
 
 def _case(code: Column, names: dict[int, str]) -> Column:
@@ -43,6 +47,40 @@ def axis(code: Column, sign: Column) -> Column:
     return F.when(sign == NEGATIVE, F.concat(F.lit("-"), name)).otherwise(name)
 
 
+def angle_or_number(raw: Column) -> Column:
+    """A word for a design angle, or a number stored as negative tenths, as text."""
+    number = tenths(raw)
+    return F.coalesce(_case(raw, ANGLE_WORDS), F.when(number == F.floor(number), number.cast("bigint").cast("string")).otherwise(number.cast("string")))
+
+
+def parameter(raw: Column) -> Column:
+    """The text of a parameter number; negative ones are angles and numbers, those beyond all ranges say nothing."""
+    named = lambda words, less: F.concat(F.lit(words + " "), (raw - less).cast("string"))
+    return (
+        F.when(raw < 0, angle_or_number(raw))
+        .when(raw < DESIGN, named("PARAM", 0)).when(raw < INNER, named("DESIGN PARAM", DESIGN)).when(raw < TWICE, named("IPARAM", INNER - 1))
+        .when(raw < TWICE_DESIGN, named("TWICE PARAM", TWICE - 1)).when(raw < TWICE_INNER, named("TWICE DESIGN PARAM", TWICE_DESIGN)).when(raw < TWICE_END, named("IPARAM", TWICE_INNER - 1))
+        .when(raw >= TWICE_END, F.lit(""))
+    )
+
+
+def implicit_axis(flag: Column, kind: Column, value: Column) -> Column:
+    """The text of an axis in the fixed part of a record, from its three words; null for another form.
+
+    Kind 1 is an axis, 2 its negative, 3 a point; any other kind names two signed axes by its two digits, with an angle between them:
+    a parameter, or whole degrees in hundredths if the kind is negative.
+    """
+    first, second = (_case(F.floor(F.abs(kind) / 10) if place else F.abs(kind) % 10, SIGNED_AXES) for place in (1, 0))
+    degrees = F.when(value < 0, F.ceil(value / 100)).otherwise(F.floor(value / 100)).cast("string")
+    between = F.when(kind < 0, degrees).otherwise(parameter(value))
+    point = F.when(value >= NEGATIVE_POINTS, F.concat(F.lit("-P"), (value - NEGATIVE_POINTS).cast("string"))).otherwise(F.concat(F.lit("P"), value.cast("string")))
+    text = (
+        F.when(kind == AXIS, _case(value, AXES)).when(kind == NEGATIVE_AXIS, F.concat(F.lit("-"), _case(value, AXES)))
+        .when(kind == POINT, point).otherwise(F.concat(first, F.lit(" "), between, F.lit(" "), second))
+    )
+    return F.when(flag == AXIS_FLAG, text)
+
+
 def bucket_id(subtype: Column) -> Column:
     """Bucket number in a data page's subtype word."""
     return F.shiftright(subtype, 13).bitwiseAND(F.lit(0x1FFF))

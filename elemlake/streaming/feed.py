@@ -53,12 +53,13 @@ def kept_daily(spark: SparkSession, path: str) -> DataFrame:
     return kept.where("ts is not null").groupBy(F.to_date("ts").alias("day")).agg(*counts_by_kind())
 
 
-def append_new(path: str, keys: list[str], part: Column) -> Callable[[DataFrame, int], None]:
+def append_new(path: str, keys: list[str], part: Column | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink that appends the rows whose key is not in the table yet.
 
     part is a value of the key by which the table is partitioned; of the table a batch reads only
-    the keys of the parts it has rows of, so rows near each other in it should arrive together.
+    the keys of the parts it has rows of, so rows near each other in it should arrive together. Without it the table is one part.
     """
+    part = F.lit(0) if part is None else part
 
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
