@@ -57,7 +57,7 @@ def last_versions(versions: DataFrame) -> DataFrame:
 
 def parent_links(versions: DataFrame) -> DataFrame:
     """(id, parent): each existing element with its existing parent, or null."""
-    last = last_versions(versions)
+    last = written(last_versions(versions).select("id", "owner", "children"), "last-versions")  # read for owners, for existence and for children
     slim = last.select("id", "owner")
     owned = slim.where("owner is not null").join(slim.select(F.col("id").alias("owner"), F.col("id").alias("parent")), "owner", "left").select("id", "parent")
     held = last.select(F.col("id").alias("holder"), F.explode("children").alias("c")).select(node_id("c.ref0", "c.ref1").alias("id"), "holder").where("id is not null")
