@@ -125,6 +125,17 @@ def apply_snapshot(index: SnapshotIndex | None, snapshots: DataFrame, buckets: i
     return changes_of(table.where("diff_type is not null"), index.values), SnapshotIndex([*index.tables, table], buckets)
 
 
+def compact(index: SnapshotIndex) -> SnapshotIndex:
+    """An index of one table: the records that exist, with their values. After many deliveries it keeps plans short and leaves superseded values behind.
+
+    The old tables stay for the changes that were told from them; release() deletes them once those are written.
+    """
+    live = index.tables[-1].where("hash is not null").select(*KEY, "ses_no", "hash", "value_ses")
+    rows = live.join(index.values, [*KEY, "value_ses"])
+    table = rows.select(*KEY, "ses_no", "hash", "value_ses", F.lit(None).cast("string").alias("diff_type"), F.lit(None).cast("int").alias("old_ses"), "entries")
+    return SnapshotIndex([bucketed(table, "snapshot-index", KEY, buckets=index.buckets)], index.buckets)
+
+
 def snapshot_changes(snapshots: DataFrame, buckets: int | None = None, steps_per_plan: int = 12) -> DataFrame:
     """All changes between consecutive snapshots: (dbnum, ses_no, ref0, ref1, diff_type, attr, old_value, new_value).
 

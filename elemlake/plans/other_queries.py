@@ -93,6 +93,17 @@ def search_index_stats(spark, sf):
     return search.index_stats(search.documents(table(spark, sf, "changes")))
 
 
+@query(f"with {_DOCS} select refno, id, name, sesno from docs qualify row_number() over (partition by refno order by sesno desc, dbnum desc) = 1")
+def search_upsert(spark, sf):
+    """An index with one document an element, built from the first sessions and brought up to date by the others."""
+    docs = search.documents(table(spark, sf, "changes"))
+
+    def newest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("refno").agg(F.max(F.struct("sesno", "dbnum", "id", "name")).alias("d")).select("refno", "d.id", "d.name", "d.sesno")
+
+    return search.upsert(newest(docs.where("sesno <= 20")), newest(docs.where("sesno > 20")), "refno")
+
+
 # Expressions: (MASS / 2 + SQRT(ABS(ANGL))) and a condition, over the newest version's attributes
 
 

@@ -14,7 +14,7 @@ from elemlake.operators.change_feed import current_attributes
 from elemlake.operators.hierarchy import element_hierarchy, hierarchy, subtree_sums
 from elemlake.operators.references import contiguous_runs, orphan_references
 from elemlake.operators.satellites import append_satellites, attributes_as_of, changed_rows, element_periods, satellites, version_rows
-from elemlake.operators.snapshot_diff import apply_snapshot, snapshot_changes
+from elemlake.operators.snapshot_diff import apply_snapshot, compact, snapshot_changes
 from elemlake.plans.skew import block_of, carry_forward, cut_groups, cut_points, long_groups, row_numbers, sums_before
 
 LINES = "source string, elem_no int, kind string, name string, attr_no int, key string, value string"
@@ -110,9 +110,13 @@ def test_snapshots(spark):
         delivery = [x for x in [*data, *late] if x[:2] in lot]
         changes, index = apply_snapshot(index, clashing(spark.createDataFrame(delivery * 2, SNAPSHOTS)), buckets=3)
         found += rows(changes.select("dbnum", "ses_no", "ref0", "ref1", "diff_type", "attr"))
+        if lot == [(3, 9)]:
+            kept, index = index, compact(index)
+            assert rows(index.records) == rows(kept.records) and index.values.count() == index.records.count()
+            index.tables[:0] = kept.tables  # only for the count below
     assert sorted(found, key=repr) == sorted([*want, (3, 9, 1, 1, "changed", "Q"), (3, 9, 1, 2, "added", "")], key=repr)
     # Values are kept only for records that were new or changed: 3 + 1 + 1, then 2 of database 1, two of 3, and 2 again.
-    assert [t.where("entries is not null").count() for t in index.tables] == [4, 3, 2, 2]
+    assert [t.where("entries is not null").count() for t in index.tables] == [4, 3, 2, 6, 2]
 
 
 # 3
