@@ -41,6 +41,9 @@ BLOCK_TOKENS = 512
 #: Cells of the unit interval in which points look for their stretch, slots that are ranked together (as a power of two), and spare slots.
 CELLS, RANK_BITS, SPARE = 4096, 14, 8
 
+#: Rows of configuration that may be broadcast.
+MOST_BROADCAST = 500_000
+
 GOLDEN = (math.sqrt(5) - 1) / 2
 MIXED = "mix_name string, slot bigint, source string, doc_id bigint, use_no int, first_token bigint, n_tokens bigint"
 
@@ -77,7 +80,9 @@ def slot_sources(stretches: DataFrame) -> DataFrame:
     coarse = math.fmod(step * GOLDEN, 1.0)
     points = slots.withColumn("x", F.expr(f"pmod((slot div {step}) * double({coarse!r}) + (slot % {step}) * double({GOLDEN!r}) + 0.5d, 1.0d)")).withColumn("cell", F.floor(F.col("x") * CELLS).cast("int"))
     cells = stretches.select("mix_name", "source", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * CELLS).cast("int"), F.least(F.floor(F.col("high") * CELLS).cast("int"), F.lit(CELLS - 1)))).alias("cell"))
-    found = points.join(cells, ["mix_name", "cell"]).where("x >= low and x < high").select("mix_name", "slot", "source", "chunk")
+    # Spark takes the slots for as few as the mixes they are made from, and would broadcast them. What may be is the side with a bound: a mix has CELLS cells and one more per source.
+    few = mixes.count() * CELLS + stretches.count() <= MOST_BROADCAST
+    found = (points.join(F.broadcast(cells), ["mix_name", "cell"]) if few else points.hint("merge").join(cells, ["mix_name", "cell"])).where("x >= low and x < high").select("mix_name", "slot", "source", "chunk")
     return row_numbers(found, ["mix_name", "source"], "chunk", ["slot"], "rank").select("mix_name", "source", "rank", "slot")
 
 

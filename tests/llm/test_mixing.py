@@ -88,7 +88,9 @@ def test_empty(spark, sizes):
     assert mix(sizes.limit(0), targets).count() == 0 and mix(sizes, targets.limit(0)).count() == 0
 
 
-def test_same_result_again(spark, sizes):
+def test_same_result_again(spark, sizes, monkeypatch):
     targets = spark.createDataFrame([("m", "a", 1.0, 1), ("m", "b", 1.0, 1)], TARGETS)
     once, again = (sorted(map(tuple, mix(d, targets).collect())) for d in (sizes, sizes.repartition(3)))
     assert once == again
+    monkeypatch.setattr("elemlake.llm.mixing.MOST_BROADCAST", 0)  # more configuration than is broadcast
+    assert sorted(map(tuple, mix(sizes, targets).collect())) == once
