@@ -208,6 +208,8 @@ def _packed(sizes: DataFrame, listed: list[tuple[str, int]], group_size: int, bl
     spread = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(blocks)))
     numbered = row_numbers(spread, ["target", "units"], "block", ["doc_id", "piece_no"], "number").drop("block").withColumn("cell", F.shiftright("number", CELL_BITS))
     cells = segments.select("target", F.col("length").alias("units"), "start", "pieces", "container", "each", "offset", "tier", "window", F.explode(F.sequence(F.shiftright("start", CELL_BITS), F.shiftright(F.col("start") + F.col("pieces") - 1, CELL_BITS))).alias("cell"))
+    # The exchange shows the true size of the cells, which Spark would take for that of the few segments, before anything is broadcast.
+    cells = cells.repartition("target", "units", "cell")
     inside = (F.col("number") >= F.col("start")) & (F.col("number") < F.col("start") + F.col("pieces"))
     placed = numbered.where("units > 0").join(cells, ["target", "units", "cell"]).where(inside)
     r = F.col("number") - F.col("start")
