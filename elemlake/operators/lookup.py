@@ -77,6 +77,8 @@ def session_of_pages(pages: DataFrame, sessions: DataFrame, page: str, bits: int
     """
     ranges = session_ranges(sessions).where("first_pgno <= end_pgno")
     cut = ranges.select("dbnum", F.col("sesno").alias("page_sesno"), "first_pgno", "end_pgno", F.explode(F.sequence(F.shiftright("first_pgno", bits), F.shiftright("end_pgno", bits))).alias("page_block"))
+    # The exchange by the join's keys shows how many pieces there are, which Spark would take for the sessions they come from, before anything is broadcast.
+    cut = cut.repartition("dbnum", "page_block")
     left = pages.withColumn("page_block", F.shiftright(page, bits)).alias("l")
     inside = (F.col("l.dbnum") == F.col("r.dbnum")) & (F.col("l.page_block") == F.col("r.page_block")) & F.col(page).between(F.col("r.first_pgno"), F.col("r.end_pgno"))
     return left.join(cut.alias("r"), inside, "left").select(*[F.col(f"l.{c}") for c in pages.columns], "page_sesno")
